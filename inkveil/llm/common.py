@@ -6,6 +6,7 @@ none of those six bytes occurs inside a multi-byte character, so bytes can be sp
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,8 +55,21 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(self.path(name))
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def drop(self, name: str) -> None:
+        """Delete a table that no later step reads."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of jobs whose result is stored: it does so once the
+    driver has collected the objects that stand for them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import quality, secrets, sharding, token_counts
+from inkveil.llm import quality, secrets, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
+    "op2_substring_dedup": substring_dedup.op2,
     "op3_balanced_shards": sharding.op3,
     "op5_secret_scan": secrets.op5,
     "op9_quality_rules": quality.op9,
