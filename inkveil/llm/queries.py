@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import jaccard_join, quality, secrets, sharding, substring_dedup, token_counts
+from inkveil.llm import bpe, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
     "op2_substring_dedup": substring_dedup.op2,
     "op3_balanced_shards": sharding.op3,
+    "op4_bpe_words": bpe.op4,
     "op5_secret_scan": secrets.op5,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_quality_rules": quality.op9,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLES: dict[str, str] = {}
