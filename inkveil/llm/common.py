@@ -30,18 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is missing, a folder of our own is made, on a local master only."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get().rstrip("/")
+    if not d and got.isDefined():
+        d = got.get()
+    if d:
+        d = d.rstrip("/")
+        return "file://" + d[5:] if d.startswith("file:/") and not d.startswith("file://") else d
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     import tempfile
 
     d = "file://" + tempfile.mkdtemp(prefix="inkveil-")
     spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return shared_dir(spark)
 
 
 class Scratch:
