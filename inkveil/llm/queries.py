@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, warc
+from inkveil.llm import ann, bpe, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_balanced_shards": sharding.op3,
     "op4_bpe_words": bpe.op4,
     "op5_secret_scan": secrets.op5,
+    "op6_nn_descent": ann.op6,
     "op7_warc": warc.op7,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_quality_rules": quality.op9,
