@@ -245,7 +245,7 @@ def _compare(t: Threshold):
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, rk for every row of docs: component_id is the least id
+    """doc_id, n_shingles, component_id, group, rk for every row of docs: component_id is the least id
     reachable over links of Jaccard similarity >= num / den between sets of n-word shingles."""
     spark = docs.sparkSession
     tune(spark)
@@ -306,10 +306,10 @@ def _finish(spark: SparkSession, scratch: Scratch, t: Threshold, n: int, base: D
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = scratch.save(named.select("n", "s1", "s2", "label", "least"), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = scratch.save(named.join(least, "label").select("n", "s1", "s2", "component_id"), "least")
+    named = scratch.save(named.join(least, "label").select("n", "s1", "s2", "component_id", F.col("label").alias("group")), "least")
     release(spark)
-    out = sets.where("n > 0").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rk")
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "rk")
+    out = sets.where("n > 0").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "rk")
+    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "rk")
     return out.union(empty)
 
 
