@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import language, text, validators
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, WORD_EDGES
-from inkveil.operators import analytics, detect, document, vault
+from inkveil.operators import analytics, detect, document, layout, partial, search, vault
 from inkveil.sources.tables import document_pages, load, strip_tags, web_pages
 from inkveil.streaming.limiter import rate_limited
 
@@ -238,9 +238,10 @@ def propagate_exact(spark, sf_dir):
 
 @query()
 def document_regions(spark, sf_dir):
-    """The whole document stage: detect, propagate, drop contained, unify, sweep."""
+    """The whole document stage: detect, propagate values and parts of firms, drop contained, unify, sweep."""
     pages = document_pages(load(spark, sf_dir, "documents"))
-    found = document.drop_contained(document.propagate(detect.detect(pages), pages))
+    found = partial.propagate_parts(document.propagate(detect.detect(pages), pages), pages)
+    found = document.drop_contained(found)
     return document.final_sweep(document.unify_types(found))
 
 
@@ -388,3 +389,33 @@ def blacklist_exact(spark, sf_dir):
     terms = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.join(F.broadcast(terms), F.contains("text", "term")).select("item_id", "doc_id")  # terms are a user's list
+
+
+@query()
+def partial_org(spark, sf_dir):
+    pages = document_pages(load(spark, sf_dir, "documents"))
+    return partial.propagate_parts(detect.detect(pages), pages)
+
+
+@query()
+def layout_regions(spark, sf_dir):
+    """Boxes of all spans, on a synthetic grid of words."""
+    return layout.place(layout.with_grid(web_pages(load(spark, sf_dir, "pages"))))
+
+
+@query()
+def blacklist_fuzzy(spark, sf_dir):
+    """The first words of each benchmark passage, searched with a tolerance for spelling."""
+    items = load(spark, sf_dir, "benchmark").orderBy("item_id").limit(10)  # a user's short list
+    terms = [(r.item_id, " ".join(r.text.split()[:3])) for r in items.collect()]
+    return search.search_terms(document_pages(load(spark, sf_dir, "documents")), terms, 0.9)
+
+
+@query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
+def page_sizes(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("SELECT DISTINCT lower(text) AS key FROM " + REGIONS_SQL)
+def distinct_values(spark, sf_dir):
+    return simple_regions(spark, sf_dir).select(document.value_key(F.col("text")).alias("key")).distinct()

@@ -70,3 +70,37 @@ def test_limiter_forgets_rejected_hits(spark):
     rows = [(i, 1, float(t)) for i, t in enumerate((0, 1, 2, 10, 10.5, 11.5))]
     df = spark.createDataFrame(rows, "event_id long, user_id long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long"))).drop("s")
     assert [r.allowed for r in rate_limited(df, 2, 10).orderBy("event_id").collect()] == [True, True, False, False, True, True]
+
+
+def test_parts_of_firm_names():
+    from inkveil.operators.partial import groups_of, parts_of
+
+    assert groups_of(["360", "Capital", "747", "Group"]) == [["360", "Capital", "747"], ["Group"]]
+    assert parts_of("Deutsche Bank AG") == ["deutsche bank", "bank ag", "deutsche", "bank"] and parts_of("Acme Inc") == []
+    assert "bank" not in parts_of("Deutsche Bank AG", frozenset({"bank"}))
+
+
+def test_parts_are_found_and_retyped(spark):
+    from inkveil.operators.partial import propagate_parts
+
+    p = spark.createDataFrame([("d", 1, "Deutsche Bank AG"), ("d", 2, "at deutsche\nbank today"), ("d", 3, "Deutsche said")], "doc_id string, page_number long, text string")
+    r = regions(spark, [("d", 1, 0, 0, 16, "Deutsche Bank AG", "ORG", 0.9, "REGEX"), ("d", 3, 0, 0, 8, "Deutsche", "PERSON", 0.5, "NER")])
+    got = {(x.page_number, x.text, x.pii_type, x.confidence) for x in propagate_parts(r, p).collect()}
+    assert got == {(1, "Deutsche Bank AG", "ORG", 0.9), (2, "deutsche\nbank", "ORG", 0.765), (3, "Deutsche", "ORG", 0.765)}
+
+
+def test_streams(spark, tmp_path):
+    from inkveil.streaming.limiter import once_per_event, stream_detect, stream_limited
+
+    rows = [(i % 4, 1, 1000.0 + i % 4) for i in range(8)]
+    spark.createDataFrame(rows, "event_id long, user_id long, s double").selectExpr("event_id", "user_id", "timestamp_micros(CAST(s * 1000000 AS BIGINT)) AS ts").write.parquet(f"{tmp_path}/events")
+    events = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(f"{tmp_path}/events")
+    for name, frame in (("once", once_per_event(events)), ("limited", stream_limited(events, 3, 60.0))):
+        q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.table("once").count() == 4
+    assert spark.table("limited").where("allowed").count() == 3
+    spark.createDataFrame(PAGES[:1], "doc_id string, page_number long, text string").write.parquet(f"{tmp_path}/pages")
+    arriving = spark.readStream.schema("doc_id string, page_number long, text string").parquet(f"{tmp_path}/pages")
+    stream_detect(arriving, f"{tmp_path}/out", f"{tmp_path}/c", spans.Config(language="en")).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").where("pii_type = 'EMAIL'").count() == 1
