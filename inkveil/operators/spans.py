@@ -13,6 +13,7 @@ from inkveil.functions.language import language_py
 from inkveil.functions.validators import accepted
 from inkveil.lexicon.patterns import EXCLUDED, LABELLED, STANDALONE
 from inkveil.lexicon.words import CONTEXT, PHONE_LABELS
+from inkveil.operators.noise import Lexicon, firm_noise, person_noise, place_noise
 
 WINDOW, BOOST, PHONE_PENALTY, MARGIN = 100, 0.25, 0.15, 0.20
 
@@ -47,6 +48,7 @@ class Config:
     keep_custom: bool = False
     min_chars: int = 30
     names: frozenset[str] = field(default_factory=frozenset)
+    lexicon: Lexicon = field(default_factory=Lexicon)
 
 
 def template_pattern(parts: list[tuple[str, int, str]]) -> str:
@@ -341,8 +343,8 @@ def merge(cands: list[Candidate], text: str) -> list[Candidate]:
     return out
 
 
-def is_noise(c: Candidate) -> bool:
-    """Structural gates, the same for every source."""
+def is_noise(c: Candidate, lexicon: Lexicon = Lexicon()) -> bool:  # noqa: B008
+    """Structural gates, the same for every source, and the noise rules of each type."""
     t = c.text.strip()
     if c.kind == "EMAIL" and "@" not in t or c.kind == "CREDIT_CARD" and _digits(t) < 13:
         return True
@@ -350,6 +352,8 @@ def is_noise(c: Candidate) -> bool:
         return True
     if c.kind in ("ORG", "PERSON") and sum(x.isalpha() for x in t) < 3:
         return True
+    if c.kind == "ORG" and not c.emphasis and firm_noise(c.text) or c.kind == "LOCATION" and place_noise(c.text, lexicon) or c.kind == "PERSON" and person_noise(c.text, lexicon):
+        return True
     if c.kind == "PERSON" and c.source in ("NER", "GLINER") and c.start <= 5 and len(c.text.split()) >= 2:
         return True
     if c.kind == "ADDRESS" and not address_ok(c.text):
@@ -422,6 +426,6 @@ def detect_page(text: str, config: Config, models: dict[str, list[Span]] | None
         return []
     layer_boost(found)
     emphasis(found, text, quoted_ranges(text))
-    found = [c for c in merge(found, text) if not is_noise(c)]
+    found = [c for c in merge(found, text) if not is_noise(c, config.lexicon)]
     found = join_addresses(split_lines(found), text)
     return [c for c in found if c.confidence >= config.threshold and (config.keep_custom or c.kind != "CUSTOM")]
