@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from inkveil.functions.language import language_py
 from inkveil.functions.validators import accepted
-from inkveil.lexicon.patterns import EXCLUDED, LABELLED, STANDALONE
+from inkveil.lexicon.patterns import EXCLUDED, LABELLED, STANDALONE, VALUE
 from inkveil.lexicon.words import CONTEXT, PHONE_LABELS
 from inkveil.operators.noise import Lexicon, firm_noise, person_noise, place_noise
 
@@ -71,7 +71,7 @@ def _keywords(listed: str) -> re.Pattern:
 
 _flag = {"": 0, "i": re.IGNORECASE}
 _STANDALONE = [(re.compile(p, _flag[f]), t, c, langs) for t, c, langs, f, p in STANDALONE]
-_LABELLED = [(re.compile(p, _flag[f]), t, c, langs) for t, c, langs, f, p in LABELLED]
+_LABELLED = [(re.compile(p, _flag[f]), t, c, langs, VALUE in p) for t, c, langs, f, p in LABELLED]
 _EXCLUDED = [re.compile(p, _flag[f]) for f, p in EXCLUDED]
 _CONTEXT = {k: _keywords(v) for k, v in CONTEXT.items()}
 _PHONE_LABEL = _keywords(PHONE_LABELS)
@@ -134,8 +134,9 @@ def detect_patterns(text: str, config: Config, language: str | None) -> list[Spa
             for m in pattern.finditer(text):
                 if accepted(m[0], kind) and not excluded(text, *m.span()):
                     found.append(Span(*m.span(), m[0], kind, min(1.0, base + boost(text, *m.span(), kind))))
-    for pattern, kind, base, langs in _LABELLED:
-        if wanted(kind, langs):
+    colons = ":" in text
+    for pattern, kind, base, langs, colon in _LABELLED:
+        if wanted(kind, langs) and (colons or not colon):
             for m in pattern.finditer(text):
                 if m[1] and len(m[1].strip()) >= 3 and accepted(m[1], kind):
                     found.append(Span(*m.span(1), m[1], kind, min(1.0, base + boost(text, *m.span(1), kind))))
