@@ -62,10 +62,3 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(load(spark, sf_dir, "documents"), 40)
 
-
-ORACLE_OP3 = """
-WITH rows AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + 16 AS size, coalesce(text, '') AS t FROM documents),
-placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM rows),
-cut AS (SELECT *, CAST(least(((before * 2 + size) * 40) // (total * 2), 39) AS INTEGER) AS shard FROM placed)
-SELECT doc_id, size, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot FROM cut
-"""
