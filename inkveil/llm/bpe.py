@@ -1,13 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Documents are split into words as the tokenizer's pre-tokenizer does; each block of documents keeps
-its own word list, and a document becomes positions in its block's list. The distinct words of all
-blocks are encoded once each; an id-to-piece join gives their decoded form; ids and pieces are
-joined back to the block lists, and every document is put together again by position.
+its own word list, and a document becomes positions in its block's list. The lists are dealt out by
+a hash of the word, so that all rows of a word meet: there each distinct word is encoded once, and
+its ids go back to every block and position that asked. A document's ids are put together by
+position; pieces come from an id-to-piece join, a lookup in the tokenizer's piece table, whose size
+is a constant of the tokenizer.
 
-Blocks hold at most BLOCK_WORDS distinct words and BLOCK_POSITIONS words, or one document, so positions fit 16 bits, and the table of distinct
-words is joined by plain joins: it grows with the corpus and is never broadcast. A frequent word is
-one row per block, not one per occurrence.
+Blocks hold at most BLOCK_WORDS distinct words and BLOCK_POSITIONS words, or one document. The
+distinct words grow with the corpus and are never broadcast; a frequent word is one entry a block,
+not one an occurrence. Lists and positions travel packed (byte planes, zstandard), a row for many
+words, since rows of single words would take several times the size of the texts.
 
 For word-level BPE whose pieces never cross words (Split pre-tokenizer, no decoder), as in
 word_bpe_49k.json. Defined results: null and empty texts have no ids and decode to an empty text;
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +32,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkveil.llm.common import Scratch, load, tune, whole
+from inkveil.llm.common import Scratch, load, release, tune, whole
 
-BLOCK_WORDS, BLOCK_POSITIONS = 1 << 16, 1 << 20
+BLOCK_WORDS, BLOCK_POSITIONS = 1 << 18, 1 << 21
 #: Characters of whose class and case all Unicode versions agree, and which NFC leaves alone.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
 #: The pre-tokenizer's words, for such characters.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+NAMES = ["block", "rows", "at", "bucket", "words", "kind"]
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -66,42 +73,61 @@ def split_words(text: str, path: str) -> list[str]:
     return out
 
 
-def _split(path: str):
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _split(path: str, buckets: int):
+    """Rows of documents (`rows`: some documents of a block, `words`: how many words each has, `at`:
+    their positions in the block's list) and, at the end of a block, rows of its list: per bucket
+    the words, joined by a zero byte, and the steps between their positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         part, turn, known, held = TaskContext.get().partitionId() << 32, 0, {}, 0
 
         def listed(row_type: pa.DataType) -> pa.RecordBatch:
-            words = list(known)
-            n = len(words)
-            return pa.record_batch([pa.array([part + turn] * n, pa.int64()), pa.nulls(n, row_type), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(words, pa.string())], names=["block", "row", "at", "pos", "word"])
+            dealt: dict[int, list[tuple[bytes, int]]] = {}
+            for word, pos in known.items():
+                raw = word.encode()
+                dealt.setdefault(zlib.crc32(raw) % buckets, []).append((raw, pos))
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            words = [squeeze(b"\0".join(w for w, _ in x)) for x in dealt.values()]
+            at = [pack(np.diff([p for _, p in x], prepend=0)) for x in dealt.values()]
+            n = len(dealt)
+            return pa.RecordBatch.from_arrays([pa.array([part + turn] * n, pa.int64()), pa.nulls(n, pa.list_(row_type)), pa.array(at, pa.binary()), pa.array(list(dealt), pa.int32()), pa.array(words, pa.binary()), pa.array([1] * n, pa.int32())], names=NAMES)
+
+        def stored(rows: pa.Array, positions: list[np.ndarray]) -> pa.RecordBatch:
+            counts, at = pack(np.array([len(x) for x in positions])), pack(np.concatenate(positions))
+            many = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([part + turn]), many, pa.array([at], pa.binary()), pa.nulls(1, pa.int32()), pa.array([counts], pa.binary()), pa.array([0], pa.int32())], names=NAMES)
 
         row_type = pa.null()
         for batch in batches:
-            row_type = batch.column("row").type
-            blocks, packed = [], []
-            full: list[pa.RecordBatch] = []
-            for text in batch.column("text").to_pylist():
+            rows, first, positions = batch.column("row"), 0, []
+            row_type = rows.type
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 words = split_words(text, path)
-                while True:
-                    fresh = set(words).difference(known)
-                    if len(known) + len(fresh) <= BLOCK_WORDS and held + len(words) <= BLOCK_POSITIONS or not held:
-                        break
-                    full.append(listed(row_type))
-                    turn, known, held = turn + 1, {}, 0
+                fresh = set(words).difference(known)
+                if held and (len(known) + len(fresh) > BLOCK_WORDS or held + len(words) > BLOCK_POSITIONS):
+                    if positions:
+                        yield stored(rows.slice(first, k - first), positions)
+                    yield listed(row_type)
+                    turn, known, held, first, positions = turn + 1, {}, 0, k, []
+                    fresh = set(words)
                 held += len(words)
-                for word in fresh:
+                for word in dict.fromkeys(w for w in words if w in fresh):
                     known[word] = len(known)
-                # One text may have more distinct words than a block: it then has wider positions.
-                kind = "<u2" if len(known) <= BLOCK_WORDS else "<u4"
-                at = np.fromiter(map(known.__getitem__, words), kind, len(words))
-                blocks.append(part + turn)
-                packed.append((b"2" if kind == "<u2" else b"4") + squeeze(at.tobytes()))
-            n = len(blocks)
-            yield pa.record_batch([pa.array(blocks, pa.int64()), batch.column("row"), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=["block", "row", "at", "pos", "word"])
-            yield from full
+                positions.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+            if positions:
+                yield stored(rows.slice(first), positions)
         if known:
             yield listed(row_type)
 
@@ -109,38 +135,54 @@ def _split(path: str):
 
 
 def _encode(path: str):
+    """All lists of some buckets: each distinct word is encoded once; its ids go back, packed by block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, _ = tokenizer(path)
+        now, table = None, {}
         for batch in batches:
-            ids = [x.ids for x in tok.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            for block, bucket, words, at in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "at")), strict=True):
+                if bucket != now:  # rows are sorted: a bucket's words are forgotten once it is done
+                    now, table = bucket, {}
+                listed = zstandard.ZstdDecompressor().decompress(words).decode().split("\0")
+                fresh = [w for w in dict.fromkeys(listed) if w not in table]
+                table |= {w: x.ids for w, x in zip(fresh, tok.encode_batch(fresh, add_special_tokens=False), strict=True)}
+                ids = [table[w] for w in listed]
+                flat = np.fromiter((i for x in ids for i in x), np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at], pa.binary()), pa.array([pack(np.array([len(x) for x in ids]))], pa.binary()), pa.array([pack(flat)], pa.binary())], names=["owner", "pos", "counts", "ids"])
 
     return run
 
 
-def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Documents of a block with the ids and pieces of its words."""
-    n = max(words.column("pos").to_pylist(), default=-1) + 1
-    ids, pieces = [b""] * n, [""] * n
-    for pos, i, p in zip(*(words.column(c).to_pylist() for c in ("pos", "ids", "pieces")), strict=True):
-        ids[pos], pieces[pos] = np.array(i, "<u4").tobytes(), p
-    expand = zstandard.ZstdDecompressor().decompress
-    out_ids, out_text = [], []
-    for raw in docs.column("at").to_pylist():
-        at = np.frombuffer(expand(raw[1:]), "<u2" if raw[:1] == b"2" else "<u4").tolist()
-        out_ids.append(b"".join([ids[k] for k in at]))
-        out_text.append(" ".join([pieces[k] for k in at]))
-    counts = pa.array([len(x) // 4 for x in out_ids], pa.int64())
-    return pa.table({"row": docs.column("row"), "n_tokens": counts, "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
-
-
-def id_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of the whole vocabulary, its special strings included."""
+def _assemble(pieces):
+    def kernel(docs: pa.Table, words: pa.Table) -> pa.Table:
+        """Documents of a block with the ids of its words."""
+        name, found = pieces.value, {}
+        for pos, counts, ids in zip(*(words.column(c).to_pylist() for c in ("pos", "counts", "ids")), strict=True):
+            ends = np.cumsum(unpack(counts))
+            for p, part in zip(np.cumsum(unpack(pos)).tolist(), np.split(unpack(ids), ends[:-1]), strict=True):
+                found[p] = part.tobytes()
+        of = [found[p] for p in range(len(found))]
+        out_ids, out_text = [], []
+        for raw, sizes in zip(docs.column("at").to_pylist(), docs.column("words").to_pylist(), strict=True):
+            for at in np.split(unpack(raw), np.cumsum(unpack(sizes))[:-1]):
+                joined = b"".join([of[k] for k in at.tolist()])
+                out_ids.append(joined)
+                out_text.append(" ".join([name[i] for i in np.frombuffer(joined, "<u4").tolist()]))
+        counts = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+        return pa.table({"row": docs.column("rows").combine_chunks().flatten(), "n_tokens": counts, "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+
+    return kernel
+
+
+def id_pieces(path: str) -> list[str]:
+    """The piece of each id of the whole vocabulary, its special strings included."""
     with open(path) as f:
         spec = json.load(f)
-    assert spec.get("decoder") is None, "pieces are joined by spaces only where the file has no decoder"
+    if spec.get("decoder") is not None:
+        raise ValueError("pieces are joined by spaces only where the file has no decoder")
     rows = {i: w for w, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
+    return [rows.get(i, "") for i in range(max(rows) + 1)]
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -150,25 +192,25 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", carry: lis
     tune(spark)
     scratch = Scratch(spark, "bpe")
     base = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), whole(text_col).alias("text"))
-    schema = base.select("row").schema
-    full = spark.createDataFrame([], "block long").schema
-    full = full.add("row", schema["row"].dataType, True).add("at", "binary").add("pos", "integer").add("word", "string")
-    split = scratch.save(base.mapInArrow(_split(path), full), "split")
-    lists = split.where("word IS NOT NULL").select("block", "pos", "word")
-    words = scratch.save(lists.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>"), "words")
-    # The id-to-piece table has the vocabulary's size, a constant of the tokenizer.
-    spelled = words.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(id_pieces(spark, path)), "id")
-    spelled = spelled.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("p"))
-    spelled = spelled.select("word", F.col("p.id").alias("ids"), F.array_join("p.piece", " ").alias("pieces"))
-    spelled = scratch.save(spelled, "spelled")
-    back = lists.join(spelled, "word").select(F.col("block").alias("owner"), "pos", "ids", "pieces")
-    out = base.select("row").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
-    rows = split.where("word IS NULL").select("block", "row", "at")
-    return rows.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(_assemble, out)
+    kind = base.schema["row"].dataType
+    full = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("rows", T.ArrayType(kind)), ("at", T.BinaryType()), ("bucket", T.IntegerType()), ("words", T.BinaryType()), ("kind", T.IntegerType()))])
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Bucketed by block: the documents are later read in place, and only the ids are shuffled to them.
+    table = "inkveil_bpe_" + uuid.uuid4().hex
+    split = base.mapInArrow(_split(path, 4 * parts), full).write.option("compression", "zstd").option("path", scratch.path("split"))
+    split.partitionBy("kind").bucketBy(parts, "block").saveAsTable(table)
+    release(spark)
+    lists = spark.table(table).where("kind = 1").select("block", "at", "bucket", "words").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    back = scratch.save(lists.mapInArrow(_encode(path), "owner long, pos binary, counts binary, ids binary"), "back")
+    scratch.drop("split/kind=1")
+    out = T.StructType([T.StructField("row", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the tokenizer has ids
+    stored = spark.table(table).where("kind = 0").select("block", "rows", "at", "words")
+    return stored.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(_assemble(pieces), out)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
-    return out.select("row.doc_id", "n_tokens", F.lower(F.sha2("ids", 256)).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
