@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
 Equal vectors become one node, so copies do not crowd a graph. A first graph comes from comparing
-nodes inside cells around pivots, drawn as a bounded sample (one for PER_PIVOT nodes, PIVOTS vectors
-at most); a node lies in the cells of its SPREAD nearest pivots, and cells beyond CELL nodes are dealt
-into parts by hash. A node so meets a constant number of others, whatever the table's size. Each NN-descent round sends every node's vector to its
-neighbours and reverse neighbours; where two neighbours of a node meet, each learns of the other,
-and of all it learns a node keeps the best DEGREE. Queries start at their own node's neighbours and
-at hashed entry nodes, and expand the best unexpanded nodes of their beam, round by round, until
-the beam settles. Scores are recomputed on the original vectors in double precision.
+nodes inside cells around pivots; a node lies in the cells of its SPREAD nearest pivots. Each
+NN-descent round sends vectors to neighbours and reverse neighbours; where two neighbours of a node
+meet, each learns of the other, and of all it learns a node keeps the best DEGREE. Nodes around which
+no edge is new are left out of a round, and rounds go on until at most SETTLED of all edges are new.
+Queries start at their own node's neighbours and at hashed entry nodes, and expand the best unexpanded
+nodes of their beam, round by round, until none is left. Scores are recomputed on the original vectors
+in double precision.
 
 A node's reverse neighbours are taken up to REVERSE in a round, drawn by hash: the graph is the
 approximate part of the method, and its recall is measured against brute force in the tests. Copies
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import Scratch, load
 
 PIVOTS, PER_PIVOT, CELL, SPREAD = 4096, 400, 16384, 9
-DEGREE, REVERSE, ROUNDS = 20, 20, 1
-BEAM, EXPAND, SEARCH_ROUNDS, ENTRIES = 40, 16, 1, 2
+DEGREE, REVERSE, SETTLED = 20, 20, 0.001
+BEAM, EXPAND, ENTRIES = 40, 16, 2
 
 
 def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,7 +117,7 @@ def _local(degree: int):
     return kernel
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
     """(node, ids, sims): about the `degree` nearest nodes of each node. nodes: (node, vec)."""
     n = nodes.count()
     wanted = max(1, min(PIVOTS, n // PER_PIVOT))
@@ -137,8 +137,12 @@ def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds
     sizes = dealt.groupBy("cell").count()  # at most PIVOTS rows
     dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("count") / CELL)))
     graph = scratch.save(merged(dealt.groupBy("cell", "part").applyInArrow(_cell(degree), FOUND), degree), "graph-0")
-    for k in range(1, rounds + 1):
-        edges = graph.select("node", F.explode("ids").alias("to"))
+    edges = fresh = graph.select("node", F.explode("ids").alias("to"))
+    k = 0
+    # A list only ever changes for a better one, so the rounds come to an end.
+    while fresh.count() > settled * n * degree:
+        k += 1
+        active = fresh.select("node").union(fresh.select("to")).distinct()
         # Reverse neighbours: a hashed draw per (node, part of the edges), then per node; a hub meets in no one task whole.
         back = edges.select(F.col("to").alias("node"), F.struct(F.xxhash64("node", "to", F.lit(k)).alias("h"), F.col("node").alias("from")).alias("e"))
         for keys in (["node", "salt"], ["node"]):
@@ -148,11 +152,15 @@ def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, rounds
             else:
                 back = back.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, REVERSE).alias("e"))
         back = back.select("node", F.explode("e.from").alias("member"))
-        meets = edges.select("node", F.col("to").alias("member")).union(back)
+        meets = edges.select("node", F.col("to").alias("member")).union(back).join(active, "node", "left_semi")
         known = nodes.join(graph.select("node", F.when(F.size("sims") < degree, F.lit(float("-inf"))).otherwise(F.array_min("sims")).alias("least")), "node").select(F.col("node").alias("member"), "vec", "least")
         learnt = meets.join(known, "member").groupBy("node").applyInArrow(_local(degree), FOUND)
         graph = scratch.save(merged(learnt.union(graph), degree), f"graph-{k}")
-        scratch.drop(f"graph-{k - 1}")
+        now = graph.select("node", F.explode("ids").alias("to"))
+        fresh = scratch.save(now.join(edges, ["node", "to"], "left_anti"), f"fresh-{k}")
+        edges = now
+        for old in (f"graph-{k - 1}", f"fresh-{k - 1}"):
+            scratch.drop(old)
     return graph
 
 
@@ -163,7 +171,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("query"), batch.column("cand"), pa.array(sims)], names=["query", "cand", "sim"])
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int = BEAM, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
     """(query, cand, sim, done): the beam of each query (query, q, home) after the search; home may be null."""
     n = max(1, nodes.count())
     entry = queries.select("query", F.explode(F.array([F.pmod(F.xxhash64("query", F.lit(i)), F.lit(n)) for i in range(ENTRIES)])).alias("row"))
@@ -181,7 +189,9 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
         return kept.select("query", F.posexplode("b").alias("k", "e")).select("query", "k", F.col("e.cand").alias("cand"), (-F.col("e.s")).alias("sim"), F.col("e.done").alias("done"))
 
     state = scratch.save(top(scored(start.distinct())), "beam-0")
-    for k in range(1, rounds + 1):
+    k = 0
+    while state.where(~F.col("done")).limit(1).count():
+        k += 1
         opened = state.where("NOT done").groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "cand"))), 1, EXPAND).alias("o")).select("query", F.explode("o.cand").alias("cand"))
         opened = opened.withColumn("now", F.lit(True))
         reached = opened.join(graph.withColumnRenamed("node", "cand"), "cand").select("query", F.explode("ids").alias("cand")).distinct()
@@ -189,8 +199,6 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
         seen = state.join(opened, ["query", "cand"], "left").select("query", "cand", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         state = scratch.save(top(seen.union(scored(fresh))), f"beam-{k}")
         scratch.drop(f"beam-{k - 1}")
-        if not state.where(~F.col("done")).limit(1).count():
-            break
     return state
 
 

@@ -48,6 +48,31 @@ def test_nearest_small_and_empty(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def recall(graph, v, k):
+    sims = v @ v.T
+    np.fill_diagonal(sims, -np.inf)
+    near = np.argsort(-sims, axis=1)[:, :k]
+    return np.mean([len(set(r.ids[:k]) & set(near[r.node].tolist())) / k for r in graph.collect()])
+
+
+def unit_vectors(n, dim, seed):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
+    """Many more pivots than cells of a node, and two small cells for a node: one round finds little."""
+    monkeypatch.setattr(ann, "PER_PIVOT", 20)
+    monkeypatch.setattr(ann, "SPREAD", 2)
+    v = unit_vectors(3000, 8, 5)
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<float>")
+    graph = ann.build_graph(nodes, ann.Scratch(spark, "test"))
+    assert recall(graph, v, 20) >= 0.95
+    asked = nodes.where("node % 100 = 0").select(F.col("node").alias("query"), F.col("vec").alias("q"), F.col("node").alias("home"))
+    state = ann.search(asked, nodes, graph, ann.Scratch(spark, "test"))
+    assert state.count() == 30 * ann.BEAM and not state.where("NOT done").count()
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, digest string, kind string")
 
