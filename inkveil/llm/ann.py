@@ -1,7 +1,10 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
 Equal vectors become one node, so copies do not crowd a graph. A first graph comes from comparing
-nodes inside cells around pivots; a node lies in the cells of its SPREAD nearest pivots. Each
+nodes inside cells around pivots; a node lies in the cells of its SPREAD nearest pivots. There is a
+pivot for PER_PIVOT nodes, whatever the table's size, so cells do not grow with it; beyond PIVOTS the
+nearest pivots are looked for around the NEAR nearest of some pivots of pivots. Cells of more than CELL
+nodes are dealt into parts by hash, and each part meets each other one, a pair of them in a task. Each
 NN-descent round sends vectors to neighbours and reverse neighbours; where two neighbours of a node
 meet, each learns of the other, and of all it learns a node keeps the best DEGREE. Nodes around which
 no edge is new are left out of a round, and rounds go on until at most SETTLED of all edges are new.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import Scratch, load
 
-PIVOTS, PER_PIVOT, CELL, SPREAD = 4096, 400, 16384, 9
+PIVOTS, PER_PIVOT, CELL, SPREAD, NEAR = 4096, 400, 16384, 9, 8
 DEGREE, REVERSE, SETTLED = 20, 20, 0.001
 BEAM, EXPAND, ENTRIES = 40, 16, 2
 
@@ -117,26 +120,64 @@ def _local(degree: int):
     return kernel
 
 
+def nearest_pivots(table: np.ndarray, spread: int):
+    """A function from vectors to the indexes of their `spread` nearest rows of a table.
+
+    A table of more than PIVOTS rows is dealt to some of its rows: a vector is compared with the
+    pivots around the NEAR nearest of these only, which are about the square root of the table each.
+    -1 stands where fewer are found."""
+    if len(table) <= PIVOTS:
+        return lambda v: best(v @ table.T, spread)[0]
+    tops = table[: int(len(table) ** 0.5)]
+    home = np.concatenate([(table[i : i + 4096] @ tops.T).argmax(axis=1) for i in range(0, len(table), 4096)])
+    order = np.argsort(home, kind="stable")
+    lots = np.split(order, np.searchsorted(home[order], np.arange(1, len(tops))))
+
+    def look(v: np.ndarray) -> np.ndarray:
+        near, _ = best(v @ tops.T, NEAR)
+        at = np.full((len(v), near.shape[1] * spread), -1)
+        sims = np.full(at.shape, -np.inf, np.float32)
+        for top in np.unique(near):
+            rows, slot = np.nonzero(near == top)
+            if len(lots[top]):
+                found, s = best(v[rows] @ table[lots[top]].T, spread)
+                to = slot[:, None] * spread + np.arange(found.shape[1])
+                at[rows[:, None], to], sims[rows[:, None], to] = lots[top][found], s
+        return np.take_along_axis(at, best(sims, spread)[0], 1)
+
+    return look
+
+
 def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
     """(node, ids, sims): about the `degree` nearest nodes of each node. nodes: (node, vec)."""
     n = nodes.count()
-    wanted = max(1, min(PIVOTS, n // PER_PIVOT))
-    # The pivots are a sample of bounded size, drawn by hash.
-    pivots = [r.vec for r in nodes.orderBy(F.xxhash64("node"), "node").limit(wanted).collect()]
-    table = np.array(pivots, np.float32) if pivots else np.zeros((1, 1), np.float32)
+    wanted = max(1, n // PER_PIVOT)
+    # The pivots are drawn by hash, a large sample without sorting all nodes; one vector of PER_PIVOT goes to the driver and the workers.
+    if wanted > PIVOTS:
+        drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(PER_PIVOT)) == 0)
+    else:
+        drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted)
+    pivots = drawn.select("vec").toArrow().column("vec")
+    table = matrix(pivots).astype(np.float32) if len(pivots) else np.zeros((1, 1), np.float32)
     spread = min(SPREAD, len(table))
+    look = nearest_pivots(table, spread)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, _ = best(matrix(batch.column("vec")) @ table.T, spread)
-                take = np.repeat(np.arange(batch.num_rows), spread)
-                yield pa.record_batch([pa.array(at.ravel().astype(np.int32)), batch.column("node").take(pa.array(take)), batch.column("vec").take(pa.array(take))], names=["cell", "node", "vec"])
+                at = look(matrix(batch.column("vec"))).ravel().astype(np.int32)
+                take = np.repeat(np.arange(batch.num_rows), spread)[at >= 0]
+                yield pa.record_batch([pa.array(at[at >= 0]), batch.column("node").take(pa.array(take)), batch.column("vec").take(pa.array(take))], names=["cell", "node", "vec"])
 
     dealt = nodes.mapInArrow(cells, "cell int, node long, vec array<float>")
-    sizes = dealt.groupBy("cell").count()  # at most PIVOTS rows
-    dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("count") / CELL)))
-    graph = scratch.save(merged(dealt.groupBy("cell", "part").applyInArrow(_cell(degree), FOUND), degree), "graph-0")
+    sizes = dealt.groupBy("cell").count().where(F.col("count") > CELL)
+    # A large cell has parts of half a CELL; a node goes to the pairs of its part with each other one.
+    dealt = dealt.join(F.broadcast(sizes), "cell", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / (CELL / 2)), F.lit(1)))
+    own = F.pmod(F.xxhash64("node", "cell"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != own)
+    pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda p: F.least(own, p) * F.col("parts") + F.greatest(own, p)))
+    dealt = dealt.select("cell", "node", "vec", F.explode(pair).alias("pair"))
+    graph = scratch.save(merged(dealt.groupBy("cell", "pair").applyInArrow(_cell(degree), FOUND), degree), "graph-0")
     edges = fresh = graph.select("node", F.explode("ids").alias("to"))
     k = 0
     # A list only ever changes for a better one, so the rounds come to an end.

@@ -73,6 +73,29 @@ def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
     assert state.count() == 30 * ann.BEAM and not state.where("NOT done").count()
 
 
+def test_cells_beyond_a_part_are_compared_whole(spark, monkeypatch):
+    """One cell of many parts: the start alone, without rounds, finds every neighbour."""
+    monkeypatch.setattr(ann, "CELL", 100)
+    v = unit_vectors(390, 8, 6)
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<float>")
+    assert recall(ann.build_graph(nodes, ann.Scratch(spark, "test"), settled=1.0), v, 20) == 1.0
+
+
+def test_pivots_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PIVOTS", 16)
+    v = unit_vectors(4000, 8, 7)
+    found = ann.nearest_pivots(v, 9)(v[:200])
+    exact, _ = ann.best(v[:200] @ v.T, 9)
+    assert np.mean([len(set(a) & set(b)) / 9 for a, b in zip(found.tolist(), exact.tolist(), strict=True)]) >= 0.9
+    monkeypatch.setattr(ann, "PER_PIVOT", 20)  # some 200 pivots, not 16
+    seen = []
+    look = ann.nearest_pivots
+    monkeypatch.setattr(ann, "nearest_pivots", lambda table, spread: seen.append(len(table)) or look(table, spread))
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, vec array<float>")
+    graph = ann.build_graph(nodes, ann.Scratch(spark, "test"), settled=1.0)
+    assert 150 < seen[0] < 250 and recall(graph, v, 20) >= 0.8
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, digest string, kind string")
 
