@@ -27,7 +27,10 @@ KINDS = ("assign", "access", "hex", "pem", "jwt")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")
+#: A private key to its END line; where that is missing, its header lines and base64 body.
+_GAP = r"(?:\s|\\r|\\n)+"
+PEM = re.compile(rf"""-----BEGIN\x20([A-Z\x20]{{0,24}}PRIVATE\x20KEY)-----(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20\1-----
+|(?:{_GAP}[A-Z][A-Za-z-]*:\x20[^\r\n]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:{_GAP}[A-Za-z0-9+/]+={{1,2}}|\s*\n[A-Za-z0-9+/]+(?=[\x20\t\r]*(?:\n|\Z)))?(?:{_GAP}-----END\x20[A-Z\x20]{{0,24}}PRIVATE\x20KEY-----)?)""", re.VERBOSE)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 RULES = "\n".join(["1", *KINDS, ASSIGN.pattern, ACCESS.pattern, HEX.pattern, PEM.pattern, JWT.pattern])

@@ -11,7 +11,7 @@ import pytest
 from helpers import corpus, table, words
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, common, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts
+from inkveil.llm import bpe, common, jaccard_join, packing, quality, secrets, sharding, stages, substring_dedup, token_counts
 
 ROWS = corpus()
 
@@ -124,6 +124,26 @@ def test_secret_rules(text, spans):
     assert secrets.find_secrets(text) == spans
 
 
+KEY = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3/" * 12] * 3 + ["Zk9+"])
+
+
+@pytest.mark.parametrize("name", ["", "RSA ", "EC ", "ENCRYPTED "])
+@pytest.mark.parametrize("end", [True, False])
+def test_private_keys_are_hidden_whole(spark, name, end):
+    head = "Proc-Type: 4,ENCRYPTED\n\n" if name == "RSA " else ""
+    key = f"-----BEGIN {name}PRIVATE KEY-----\n{head}{KEY}" + (f"\n-----END {name}PRIVATE KEY-----" if end else "")
+    text = f"before {key}\nafter the key"
+    assert secrets.find_secrets(text)[0] == (7, 3, 7 + len(key))
+    out = stages.masked_secrets(spark, table(spark, [(1, text), (2, key.replace("\n", "\\n") + " x")]), "").collect()
+    assert {r.doc_id: r.text for r in out}[1] == "before [SECRET]\nafter the key"
+    assert "MII" not in {r.doc_id: r.text for r in out}[2] and "aB3" not in {r.doc_id: r.text for r in out}[2]
+
+
+def test_json_web_tokens_are_hidden(spark):
+    out = stages.masked_secrets(spark, table(spark, [(1, "a eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4fw b")]), "").collect()
+    assert [r.text for r in out] == ["a [SECRET] b"]
+
+
 def brute_measures(text: str | None) -> tuple:
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
