@@ -86,7 +86,7 @@ def unpack(raw: bytes) -> np.ndarray:
 def _split(path: str, buckets: int):
     """Rows of documents (`rows`: some documents of a block, `words`: how many words each has, `at`:
     their positions in the block's list) and, at the end of a block, rows of its list: per bucket
-    the words, joined by a zero byte, and the steps between their positions."""
+    the words, joined by a byte that UTF-8 never has, and the steps between their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -99,7 +99,7 @@ def _split(path: str, buckets: int):
                 raw = word.encode()
                 dealt.setdefault(zlib.crc32(raw) % buckets, []).append((raw, pos))
             squeeze = zstandard.ZstdCompressor(level=3).compress
-            words = [squeeze(b"\0".join(w for w, _ in x)) for x in dealt.values()]
+            words = [squeeze(b"\xff".join(w for w, _ in x)) for x in dealt.values()]
             at = [pack(np.diff([p for _, p in x], prepend=0)) for x in dealt.values()]
             n = len(dealt)
             return pa.RecordBatch.from_arrays([pa.array([part + turn] * n, pa.int64()), pa.nulls(n, pa.list_(row_type)), pa.array(at, pa.binary()), pa.array(list(dealt), pa.int32()), pa.array(words, pa.binary()), pa.array([1] * n, pa.int32())], names=NAMES)
@@ -144,7 +144,7 @@ def _encode(path: str):
             for block, bucket, words, at in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "at")), strict=True):
                 if bucket != now:  # rows are sorted: a bucket's words are forgotten once it is done
                     now, table = bucket, {}
-                listed = zstandard.ZstdDecompressor().decompress(words).decode().split("\0")
+                listed = [w.decode() for w in zstandard.ZstdDecompressor().decompress(words).split(b"\xff")]
                 fresh = [w for w in dict.fromkeys(listed) if w not in table]
                 table |= {w: x.ids for w, x in zip(fresh, tok.encode_batch(fresh, add_special_tokens=False), strict=True)}
                 ids = [table[w] for w in listed]

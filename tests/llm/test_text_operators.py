@@ -107,6 +107,16 @@ def test_bpe_words(docs, none):
     assert bpe.encode_decode(none, path).count() == 0
 
 
+def test_bpe_of_zero_characters(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["ab \x00 cd", "\x00", "a\x00\x00b \x00"]
+    got = bpe.encode_decode(table(spark, list(enumerate(texts))), path).select("row.doc_id", "ids").collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_secrets_and_ledger(spark, docs, none, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     for _ in range(2):
