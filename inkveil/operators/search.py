@@ -27,11 +27,19 @@ def find_term(term: str, text: str, fuzziness: float = 1.0) -> list[tuple[int, i
     if not key:
         return []
     found = [m.span() for m in flex_pattern(key).finditer(plain)]
-    if found or fuzziness >= 0.98:
+    if fuzziness >= 0.98:
         return found
     edits = max(1, round(len(key) * (1 - fuzziness)))
-    pattern = regex.compile(rf"(?bi)(?<!\w)(?:{regex.escape(key, literal_spaces=True)}){{e<={edits}}}(?!\w)")
-    return [m.span() for m in pattern.finditer(plain)]
+    pattern = regex.compile(rf"(?bi)(?:{regex.escape(key, literal_spaces=True)}){{e<={edits}}}")
+    # The best match of a gap comes first, wherever it stands; what lies before and after it is searched again.
+    gaps = list(zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(plain)], strict=True))
+    while gaps:
+        lo, hi = gaps.pop()
+        m = pattern.search(plain, lo, hi) if lo < hi else None
+        if m and m.end() > m.start():
+            found.append(m.span())
+            gaps += [(lo, m.start()), (m.end(), hi)]
+    return sorted(found)
 
 
 def fuzzy_find(needle: str, text: str, threshold: float = 0.75) -> int | None:

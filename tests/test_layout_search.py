@@ -59,6 +59,13 @@ def test_terms():
     assert search.find_term(" ", "x") == []
 
 
+def test_fuzzy_terms_beside_exact_ones_and_in_words():
+    text = "jonson met Johnson and McJohnsons, then johnsen"
+    got = [text[a:b] for a, b in search.find_term("Johnson", text, 0.9)]
+    assert got == ["jonson", "Johnson", "Johnson", "johnsen"]
+    assert search.find_term("Café Noir", "a CAFE \n  noir", 0.9) == [(2, 14)]
+
+
 @pytest.mark.parametrize(("needle", "text", "at"), [("abc", "xxabc", 2), ("ABC", "xxabc", 2), ("John Smith", "hello Jon Smith there", 5), ("zzz", "abc def", None), ("ab", "zz", None)])
 def test_fuzzy_find(needle, text, at):
     assert search.fuzzy_find(needle, text) == at
