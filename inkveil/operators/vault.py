@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from inkveil.functions.text import context_snippet
 from inkveil.lexicon.words import TOKEN_LETTERS
 
-#: Tokens per letter; numbers are dealt by a permutation of this range, so they never collide.
+#: Short tokens per letter; numbers are dealt by a permutation of this range, so they never collide. Later ones are wide.
 SPACE, STEP, SHIFT = 100_000, 61_803, 27_182
 TOKEN = r"\[[A-Z][0-9]{5}\]|\[ANON_[A-Z_]+_[A-F0-9]{6,12}\]"
 
+MINTED = r"^\[(?:ANON_)?([A-Z])(?:[0-9]{5}|_[A-F0-9]{12})\]$"
+
 
 def token_letter(kind: Column) -> Column:
     out = F.lit("U")
@@ -21,11 +23,12 @@ def token_letter(kind: Column) -> Column:
 
 
 def mint_tokens(regions: DataFrame, vault: DataFrame | None = None, text: DataFrame | None = None) -> DataFrame:
-    """Regions with action TOKENIZE and their tokens: a letter for the type and five digits.
+    """Regions with action TOKENIZE and their tokens: a letter for the type and five digits,
+    or [ANON_letter_number], with twelve hex digits, once the short ones are used up.
 
     Numbers follow the order of the regions within their letter, run through a permutation, and go
     on after those that the vault has used. Ranks come from counts per letter and document, not
-    from one sort of a whole letter; a letter holds SPACE tokens, and more raise an error."""
+    from one sort of a whole letter."""
     wanted = regions.where("action = 'TOKENIZE'").withColumn("letter", token_letter(F.col("pii_type")))
     per_doc = wanted.groupBy("letter", "doc_id").agg(F.count("*").alias("n"))
     before = per_doc.withColumn("before", F.sum("n").over(Window.partitionBy("letter").orderBy("doc_id")) - F.col("n")).drop("n")
@@ -33,13 +36,13 @@ def mint_tokens(regions: DataFrame, vault: DataFrame | None = None, text: DataFr
     ranked = wanted.withColumn("own", own).join(before, ["letter", "doc_id"])
     used = F.lit(0)
     if vault is not None:
-        taken = vault.groupBy(F.substring("token_string", 2, 1).alias("letter")).agg(F.count("*").alias("used"))
+        taken = vault.groupBy(F.regexp_extract("token_string", MINTED, 1).alias("letter")).agg(F.count("*").alias("used"))
         ranked, used = ranked.join(F.broadcast(taken), "letter", "left"), F.coalesce("used", F.lit(0))  # a row per letter
     rank = F.col("before") + F.col("own") + used
     number = F.pmod(rank * STEP + SHIFT, F.lit(SPACE))
-    ranked = ranked.withColumn("number", F.when(rank < SPACE, number).otherwise(F.raise_error(F.lit("no tokens left for a type"))))
-    token = F.concat(F.lit("["), "letter", F.lpad(F.col("number").cast("string"), 5, "0"), F.lit("]"))
-    out = ranked.withColumn("token_string", token).drop("letter", "own", "before", "number", "used")
+    short = F.concat(F.lit("["), "letter", F.lpad(number.cast("string"), 5, "0"), F.lit("]"))
+    wide = F.concat(F.lit("[ANON_"), "letter", F.lit("_"), F.lpad(F.hex(rank - SPACE), 12, "0"), F.lit("]"))
+    out = ranked.withColumn("token_string", F.when(rank < SPACE, short).otherwise(wide)).drop("letter", "own", "before", "used")
     return out
 
 

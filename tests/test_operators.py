@@ -104,3 +104,17 @@ def test_streams(spark, tmp_path):
     arriving = spark.readStream.schema("doc_id string, page_number long, text string").parquet(f"{tmp_path}/pages")
     stream_detect(arriving, f"{tmp_path}/out", f"{tmp_path}/c", spans.Config(language="en")).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").where("pii_type = 'EMAIL'").count() == 1
+
+
+def test_tokens_beyond_five_digits(spark, monkeypatch):
+    monkeypatch.setattr(vault, "SPACE", 4)
+    text = " ".join(f"u{i}@example.org" for i in range(10))
+    p = spark.createDataFrame([("d", 1, text)], "doc_id string, page_number long, text string")
+    r = detect.one_pattern(p, r"u[0-9]+@example\.org", "EMAIL").withColumn("action", F.lit("TOKENIZE"))
+    minted = vault.mint_tokens(r)
+    assert minted.select("token_string").distinct().count() == 10 and minted.where("token_string LIKE '[ANON_%'").count() == 6
+    rows = vault.vault_rows(minted, p, F.current_timestamp())
+    hidden = vault.redact(p, minted).select("doc_id", "page_number", "text")
+    assert "example" not in hidden.first().text and vault.detokenize(hidden, rows).first().text == text
+    again = vault.mint_tokens(r, rows)
+    assert rows.unionByName(vault.vault_rows(again, p, F.current_timestamp())).select("token_string").distinct().count() == 20
