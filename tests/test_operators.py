@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from inkveil import queries
 from inkveil.operators import detect, document, spans, vault
 from inkveil.streaming.limiter import Limiter, rate_limited
 
@@ -118,3 +119,19 @@ def test_tokens_beyond_five_digits(spark, monkeypatch):
     assert "example" not in hidden.first().text and vault.detokenize(hidden, rows).first().text == text
     again = vault.mint_tokens(r, rows)
     assert rows.unionByName(vault.vault_rows(again, p, F.current_timestamp())).select("token_string").distinct().count() == 20
+
+
+def test_import_into_a_vault_that_holds_a_part(spark):
+    p = spark.createDataFrame([("d", i, f"a{i}@example.org b{i}@example.org") for i in range(5)], "doc_id string, page_number long, text string")
+    r = detect.one_pattern(p, r"[ab][0-9]+@example\.org", "EMAIL").withColumn("action", F.lit("TOKENIZE"))
+    rows = vault.vault_rows(vault.mint_tokens(r), p, F.current_timestamp())
+    held = rows.where("original_text LIKE 'a%'")
+    fresh, counts = vault.import_tokens(held, rows)
+    assert tuple(counts.first()) == (5, 5, 0) and not fresh.where("original_text LIKE 'a%'").count()
+
+
+def test_import_query_meets_stored_tokens(spark, monkeypatch):
+    seen, real = [], vault.import_tokens
+    monkeypatch.setattr(vault, "import_tokens", lambda held, new: seen.append(held.join(new, "token_string", "left_semi").count()) or real(held, new))
+    got = queries.vault_import_dedupe(spark, "/root/testdata/sf0.001").first()
+    assert seen[-1] == got.skipped
