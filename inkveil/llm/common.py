@@ -54,9 +54,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", tidy: bool = True) -> DataFrame:
+        """Write a table and read it back; tidy: have the shuffle files behind it deleted now."""
         df.write.option("compression", codec).parquet(self.path(name))
-        release(self.spark)
+        if tidy:
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -81,6 +83,11 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def row_key(*columns: str) -> list[Column]:
+    """r1 and r2, which name a row by the columns: two independent 64-bit hashes."""
+    return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("r2"), *reversed(columns)).alias("r2")]
+
+
 def arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a kernel from batch to batch; empty batches are skipped."""
 

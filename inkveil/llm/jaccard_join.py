@@ -1,53 +1,61 @@
 """N-gram Jaccard join, size-aware: subsets for small sets, inverted lists for large ones.
 
-Sets are the distinct 3-word shingles of lower-cased texts (64-bit hashes). Equal sets are merged
-first; what follows works on one node per distinct set.
+Sets are the distinct n-word shingles of lower-cased texts (64-bit hashes). Equal sets are merged
+first (by size and two independent 64-bit sums); what follows works on one node per distinct set.
 
 Light part. Two sets of sizes a <= b link iff they share a subset of c(a, b) = ceil(t(a+b)/(1+t))
 elements. While sets are small that is all of a set or all but one or two elements, so every set
-emits its c-subsets for each pair of sizes: equal keys prove a link, and nothing is verified.
-
-Heavy part. A linked pair whose smaller set has a elements differs in at most H = (1-t)a/t
-elements. Elements are dealt into H + 1 blocks by hash, so the pair agrees in a whole block: each
-set enters the inverted list of each of its blocks (under its size class). Lists of single shingles
-would be useless here, as one passage that a third of all rows share would fill each of its lists
-with unrelated documents; a block holds about nine shingles and is shared by near copies only.
-Scanning: nodes that share lists form groups; each node is verified against the group's hub (the
-node whose blocks are most common); nodes not linked to the hub are then compared, in chunks of
-bounded size, with all nodes of the group by counting overlaps over inverted lists in memory. Every
-candidate pair of which one node is not linked to the hub is counted exactly, so no component is
-missed, and only a spanning set of links leaves a task.
+emits its c-subsets for each pair of sizes: equal keys (128 bits) prove a link.
+
+Heavy part. The elements of all sets have one order, rarest first, and a set of s elements enters the
+inverted lists of its first s - ceil(ts) + 1: linked sets share one of these. Rarity comes from one
+aggregate over all documents, a table of counters that shingles are hashed to; where counters are
+shared the order is less sharp, never wrong, as any order that all sets obey gives whole results. Elements of
+passages that many documents share come last, so lists hold near copies and a few strangers.
+
+Scanning. First every set of a list is tested against the list's hub, the set with the fewest rarer
+elements; the links found join near copies to components. Then lists that still hold sets of
+different components are scanned, in pairs of chunks of bounded size: of two sets of different
+components whose sizes, places in the list and sketches allow a link, the TOP best of each pair of
+components are verified, and if one of the rest may still matter, the scan is repeated with more. A
+sketch holds the parities of a set's elements hashed to bits: two sketches differ in at most as many
+bits as the sets differ in elements. Every link between components is therefore found, while links
+inside one are not looked for. Nothing is grouped transitively before it is verified.
 
 The boundary between the parts is the size at which the expected cost, from the histogram of set
 sizes over all documents, is least.
 
-Defined results: null and empty texts have an empty set and link with nothing; one or two words are
+Defined results: null and empty texts have an empty set and link with nothing; fewer words than n are
 one shingle; null ids form no component with others (component_id null unless an equal or linked
 set has an id); repeated rows each give a row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, Words, arrow, load, mix, ranges, release, signed, tune, whole, windows
+from inkveil.llm.common import Scratch, Words, arrow, load, mix, ranges, release, row_key, signed, tune, whole, windows
 from inkveil.llm.components import components
 
 #: Cost of one entry in an inverted list, with its share of verification, in subset keys.
 LIST_COST = 6
 #: Largest size that the light part may take.
 LIGHT_MAX = 24
-#: Ratio of neighbouring size classes of the inverted lists.
-CLASS_RATIO = 1.25
-#: Shingles and nodes per chunk of the in-memory comparison.
-CHUNK_ITEMS, CHUNK_NODES = 1 << 19, 1024
+#: Counters of the rarity table (its size is fixed: one byte each goes to every worker), and their chunks.
+COUNTERS, COUNTER_CHUNK = 1 << 21, 1 << 15
+#: Nodes of a list in one chunk, entries of small lists in one task, pairs of components' candidates at first.
+CHUNK_NODES, TASK_ENTRIES, TOP = 1024, 30000, 8
+#: Least bits of a sketch.
+SKETCH_BITS = 1024
+#: Ranks of hubs above this are taken as equal.
+HUB_RANKS = 8191
 
 
 class Threshold:
@@ -56,45 +64,35 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def overlap(self, a: int, b: int) -> int:
+    def overlap(self, a, b):
         """Least overlap of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
     def largest(self, a: int) -> int:
         return a * self.den // self.num
 
-    def smallest(self, b: int) -> int:
+    def smallest(self, b):
         return -(-b * self.num // self.den)
 
+    def prefix(self, s):
+        """Elements of a set of size s that go into lists."""
+        return s - self.smallest(s) + 1
+
     def partners(self, s: int, x: int) -> list[tuple[int, int, int]]:
         """(a, b, c) of the size pairs that s takes part in and whose smaller size is x at most."""
         pairs = [(min(s, o), max(s, o)) for o in range(self.smallest(s), self.largest(s) + 1)]
         found = [(a, b, self.overlap(a, b)) for a, b in pairs if a <= x]
         return [(a, b, c) for a, b, c in found if c <= a]
 
-    def classes(self, top: int) -> np.ndarray:
-        """Lower ends of the size classes, up to one above top."""
-        ends = [1]
-        while ends[-1] <= top:
-            ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS_RATIO)))
-        return np.array(ends)
-
-    def blocks(self, low: int, high: int) -> int:
-        """Blocks for pairs whose smaller size is in [low, high)."""
-        return (high - 1) * (self.den - self.num) // self.num + 1
-
 
 def boundary(sizes: dict[int, int], t: Threshold) -> int:
     """The light part's largest size, by cost. sizes: number of sets of each size up to LIGHT_MAX * 2."""
-    ends = t.classes(4 * LIGHT_MAX)
 
     def cost(x: int) -> float:
         total = 0.0
         for s, n in sizes.items():
             total += n * sum(comb(s, c) for _, _, c in t.partners(s, x))
-            if s > x:
-                j = int(np.searchsorted(ends, s, "right")) - 1
-                total += n * LIST_COST * t.blocks(ends[j], ends[j + 1])
+            total += n * LIST_COST * t.prefix(s) * (s > x)
         return total
 
     return min(range(LIGHT_MAX + 1), key=cost)
@@ -124,6 +122,17 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.searchsorted(doc, np.arange(w.n_docs + 1))
 
 
+def sketches(gram: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its elements hashed to bits; about half a bit an element, SKETCH_BITS at least."""
+    sizes = np.diff(offs)
+    bits = np.maximum(SKETCH_BITS, 1 << np.floor(np.log2(np.maximum(sizes, 2) / 2)).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    at = (mix(gram ^ np.uint64(0xA4093822299F31D0)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at + np.repeat(first[:-1], sizes), minlength=first[-1]) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 def _sets(n: int):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
@@ -133,59 +142,147 @@ def _sets(n: int):
                 total = np.zeros(len(gram) + 1, np.uint64)
                 np.cumsum(mix(gram ^ np.uint64(salt)), out=total[1:])
                 sums.append(pa.array(signed(total[offs[1:]] - total[offs[:-1]])))
-        return pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(np.diff(offs)), *sums], names=["doc_id", "rk", "n", "s1", "s2"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("r1"), batch.column("r2"), pa.array(np.diff(offs)), *sums], names=["doc_id", "r1", "r2", "n", "s1", "s2"])
 
     return kernel
 
 
-def _keys(t: Threshold, n: int, x: int):
+def counter(gram: np.ndarray) -> np.ndarray:
+    return (mix(gram ^ np.uint64(0x082EFA98EC4E6C89)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _count(n: int):
+    """The counters of one task, in chunks of those that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                gram, _ = shingle_sets(batch.column("text"), n)
+                total += np.bincount(counter(gram), minlength=COUNTERS).astype(np.uint32)
+        part = TaskContext.get().partitionId()
+        for k in range(0, COUNTERS, COUNTER_CHUNK):
+            piece = total[k : k + COUNTER_CHUNK]
+            if piece.any():
+                yield pa.record_batch([pa.array([k // COUNTER_CHUNK], pa.int32()), pa.array([part], pa.int32()), pa.array([piece.astype("<u8").tobytes()])], names=["chunk", "part", "counts"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for chunk, part, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "counts")), strict=True):
+            v = np.frombuffer(raw, "<u8")
+            total[chunk, part] = total[chunk, part] + v if (chunk, part) in total else v
+    for (chunk, part), v in total.items():
+        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([v.tobytes()])], names=["chunk", "part", "counts"])
+
+
+def rarity(base: DataFrame, n: int, scratch: Scratch) -> np.ndarray:
+    """A level for each counter, by how far it is above the median one: one byte each, COUNTERS in all.
+
+    Tasks add up their counters, then groups of 64 tasks, then all: no task adds more than a part of them."""
+    kind = "chunk int, part int, counts binary"
+    counts = scratch.save(base.select("text").mapInArrow(_count(n), kind), "counters")
+    step = counts.withColumn("part", F.pmod("part", F.lit(64))).repartition("chunk", "part").mapInArrow(_add, kind)
+    step = step.withColumn("part", F.lit(0)).repartition("chunk").mapInArrow(_add, kind)
+    total = np.zeros(COUNTERS, np.uint64)
+    for r in step.select("chunk", "counts").collect():  # COUNTERS numbers in all
+        total[r.chunk * COUNTER_CHUNK : (r.chunk + 1) * COUNTER_CHUNK] = np.frombuffer(r.counts, "<u8")
+    over = np.maximum(total.astype(np.float64) - np.median(total), 0)
+    return np.minimum(np.floor(8 * np.log2(1 + over)), 255).astype(np.uint8)
+
+
+KEYS = "key long, key2 long, node long, size int, pos int, light int"
+
+
+def _keys(t: Threshold, n: int, x: int, levels):
     """Keys of both parts for each node: `light` is 0 for lists, else twice the set's size,
     plus one where the key stands for two sets of equal size."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         with np.errstate(over="ignore"):
             gram, offs = shingle_sets(batch.column("text"), n)
-            node = batch.column("node").to_numpy()
-            sizes = np.diff(offs)
-            ends = t.classes(int(sizes.max(initial=1)))
-            keys, nodes, lights = [], [], []
-            for i in np.flatnonzero(sizes):
-                s, own = int(sizes[i]), gram[offs[i] : offs[i + 1]]
+            node, sizes = batch.column("node").to_numpy(), np.diff(offs)
+            out: list[tuple] = []
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((gram, levels.value[counter(gram)], own))
+            pos = np.arange(len(gram)) - np.repeat(offs[:-1], sizes)
+            take = (pos < t.prefix(sizes)[own]) & (sizes > x)[own]
+            who = own[take]
+            out.append((gram[order[take]], np.zeros(len(who), np.uint64), node[who], sizes[who], pos[take], np.zeros(len(who), np.int64)))
+            for i in np.flatnonzero((sizes > 0) & (sizes <= t.largest(x))):
+                s = int(sizes[i])
+                mixed = [mix(gram[offs[i] : offs[i + 1]] ^ np.uint64(salt)) for salt in (0, 0x452821E638D01377)]
                 for a, b, c in t.partners(s, x):
-                    mixed = mix(own)
                     drop = list(combinations(range(s), s - c))
-                    total = mixed.sum() - np.array([sum(int(mixed[k]) for k in d) & 0xFFFFFFFFFFFFFFFF for d in drop], np.uint64)
-                    keys.append(mix(total + np.uint64((a << 32) + b) * np.uint64(0x9E3779B97F4A7C15)))
-                    nodes.append(np.full(len(drop), node[i]))
-                    lights.append(np.full(len(drop), 2 * s + (a == b)))
-                if s > x:
-                    j = int(np.searchsorted(ends, s, "right")) - 1
-                    for k in range(j, -1, -1):
-                        high = int(ends[k + 1]) if k + 1 < len(ends) else int(ends[k] * CLASS_RATIO) + 1
-                        if t.largest(high - 1) < s:
-                            break
-                        if high - 1 <= x:
-                            continue
-                        m = t.blocks(int(ends[k]), high)
-                        at = (mix(own ^ np.uint64(0xA4093822299F31D0)) >> np.uint64(33)).astype(np.int64) % m
-                        sums = np.zeros(m, np.uint64)
-                        np.add.at(sums, at, mix(own))
-                        keys.append(mix(sums + (np.uint64(k) << np.uint64(32)) + np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-                        nodes.append(np.full(m, node[i]))
-                        lights.append(np.zeros(m, np.int64))
-            if not keys:
-                return None
-            return pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(lights).astype(np.int32))], names=["key", "node", "light"])
+                    tag = np.uint64((a << 32) + b) * np.uint64(0x9E3779B97F4A7C15)
+                    keys = [mix(m.sum() - np.array([sum(int(m[k]) for k in d) & 0xFFFFFFFFFFFFFFFF for d in drop], np.uint64) + tag) for m in mixed]
+                    k = len(drop)
+                    out.append((*keys, np.full(k, node[i]), np.full(k, s), np.zeros(k, np.int64), np.full(k, 2 * s + (a == b))))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        arrays = [pa.array(signed(c)) for c in columns[:2]] + [pa.array(columns[2])] + [pa.array(c.astype(np.int32)) for c in columns[3:]]
+        return pa.record_batch(arrays, names=["key", "key2", "node", "size", "pos", "light"])
 
     return kernel
 
 
-def _items(n: int):
+def _sketched(n: int):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             gram, offs = shingle_sets(batch.column("text"), n)
+            made = sketches(gram, offs)
         items = [gram[offs[i] : offs[i + 1]].tobytes() for i in range(batch.num_rows)]
-        return pa.record_batch([batch.column("node"), pa.array(np.diff(offs)), pa.array(items, pa.binary())], names=["node", "n", "items"])
+        return pa.record_batch([batch.column("node"), pa.array(made, pa.binary()), pa.array(items, pa.binary())], names=["node", "sketch", "items"])
+
+    return kernel
+
+
+class Sketches:
+    """Sketches of one batch, by their width."""
+
+    def __init__(self, raw: list[bytes]):
+        widths = np.array([len(x) for x in raw])
+        self.width, self.row, self.of = widths, np.zeros(len(raw), np.int64), {}
+        for w in np.unique(widths):
+            at = np.flatnonzero(widths == w)
+            self.row[at] = np.arange(len(at))
+            self.of[int(w)] = np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)
+
+
+def apart(a: Sketches, i: np.ndarray, b: Sketches, j: np.ndarray) -> np.ndarray:
+    """Bits in which sketches i of a and j of b differ; wider ones are folded."""
+    out = np.zeros(len(i), np.int64)
+    for wa in np.unique(a.width[i]):
+        for wb in np.unique(b.width[j]):
+            at = np.flatnonzero((a.width[i] == wa) & (b.width[j] == wb))
+            x, y = a.of[int(wa)], b.of[int(wb)]
+            while x.shape[1] != y.shape[1]:
+                x, y = (_fold(x), y) if x.shape[1] > y.shape[1] else (x, _fold(y))
+            for k in range(0, len(at), 1 << 16):
+                p = at[k : k + (1 << 16)]
+                out[p] = np.bitwise_count(x[a.row[i[p]]] ^ y[b.row[j[p]]]).sum(axis=1)
+    return out
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:]
+
+
+def _near(t: Threshold):
+    """Of pairs with both sketches, those that may be linked."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size")]
+        own = [Sketches(batch.column(c).to_pylist()) for c in ("a_sketch", "b_sketch")]
+        at = np.arange(batch.num_rows)
+        least = t.overlap(*sizes)
+        ok = (least <= np.minimum(*sizes)) & (apart(own[0], at, own[1], at) <= sizes[0] + sizes[1] - 2 * least)
+        return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return kernel
 
@@ -193,123 +290,162 @@ def _items(n: int):
 def _linked(t: Threshold):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
-        for a, b in zip(batch.column("items").to_pylist(), batch.column("hub_items").to_pylist(), strict=True):
-            if a is None or b is None:
-                ok.append(False)
-                continue
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for a, b in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             shared = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(t.den * shared >= t.num * (len(a) + len(b) - shared))
-        return pa.record_batch([batch.column("node"), batch.column("hub"), pa.array(ok)], names=["node", "hub", "linked"])
+        return pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return kernel
 
 
-def _compare(t: Threshold):
-    """All links between the loose nodes of one chunk (left) and the nodes of another (right), as a forest."""
+CANDIDATES = "a long, b long, a_label long, b_label long, more boolean"
+
+
+def _scan(t: Threshold, top: int):
+    """Candidates between components in the lists of one task: left sets against right ones, the best `top` of each two components."""
 
     def kernel(group: pa.Table) -> pa.Table:
-        left = group.filter(group.column("left"))
-        right = group.filter(pc.invert(group.column("left")))
-        a_nodes, b_nodes = left.column("node").to_pylist(), right.column("node").to_pylist()
-        out: list[tuple[int, int]] = []
-        if a_nodes and b_nodes:
-            b_core = right.column("core").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in right.column("items").to_pylist()]
-            sizes = np.array([len(x) for x in sets])
-            item = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(item, kind="stable")
-            item, owner = item[order], owner[order]
-            parent: dict[int, int] = {}
-
-            def find(v: int) -> int:
-                while parent.setdefault(v, v) != v:
-                    parent[v] = v = parent[parent[v]]
-                return v
-
-            # All core nodes are linked already, through the hub: they count as one.
-            name = {v: (-1 if c else v) for v, c in zip(b_nodes, b_core, strict=True)}
-            for v, raw in zip(a_nodes, left.column("items").to_pylist(), strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                lo, hi = np.searchsorted(item, own, "left"), np.searchsorted(item, own, "right")
-                shared = np.bincount(owner[ranges(lo, hi - lo)], minlength=len(sets))
-                for k in np.flatnonzero(t.den * shared >= t.num * (len(own) + sizes - shared)):
-                    u = b_nodes[k]
-                    if u != v and (x := find(v)) != (y := find(name[u])):
-                        parent[x] = y
-                        out.append((v, u))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        columns = {c: group.column(c).to_numpy() for c in ("key", "node", "label", "size", "pos", "left", "right")}
+        own = Sketches(group.column("sketch").to_pylist())
+        left, right = (np.flatnonzero(columns[c]) for c in ("left", "right"))
+        right = right[np.argsort(columns["key"][right], kind="stable")]
+        lo, hi = (np.searchsorted(columns["key"][right], columns["key"][left], side) for side in ("left", "right"))
+        kept = []
+        size, pos, label, node = (columns[c].astype(np.int64) for c in ("size", "pos", "label", "node"))
+        ends = np.cumsum(hi - lo)
+        a = 0
+        while a < len(left):  # rows whose pairs are about a million
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+            i, j = np.repeat(left[a:b], hi[a:b] - lo[a:b]), right[ranges(lo[a:b], hi[a:b] - lo[a:b])]
+            a = b
+            ok = (label[i] != label[j]) & (node[i] != node[j])
+            i, j = i[ok], j[ok]
+            least = t.overlap(size[i], size[j])
+            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least
+            i, j, least = i[ok], j[ok], least[ok]
+            slack = size[i] + size[j] - 2 * least - apart(own, i, own, j)
+            ok = slack >= 0
+            kept.append((i[ok], j[ok], slack[ok]))
+        i, j, slack = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.empty(0, np.int64),) * 3
+        low = node[i] < node[j]
+        i, j = np.where(low, i, j), np.where(low, j, i)
+        one, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        order = np.lexsort((node[j], node[i], -slack, two, one))
+        i, j, one, two = i[order], j[order], one[order], two[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])
+        i, j, one, two = i[new], j[new], one[new], two[new]
+        start = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))[: len(i)] if len(i) else np.empty(0, np.int64)
+        n = np.diff(np.append(start, len(i)))
+        rank, many = np.arange(len(i)) - np.repeat(start, n), np.repeat(n > top, n)
+        take = rank < top
+        return pa.table({"a": node[i][take], "b": node[j][take], "a_label": label[i][take], "b_label": label[j][take], "more": many[take]})
 
     return kernel
 
 
-def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, group, rk for every row of docs: component_id is the least id
-    reachable over links of Jaccard similarity >= num / den between sets of n-word shingles."""
+def verified(pairs: DataFrame, items: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    met = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
+    met = met.join(items.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
+    return arrow(met.select("a", "b", "a_items", "b_items"), _linked(t), "a long, b long")
+
+
+def tasks(lists: DataFrame) -> DataFrame:
+    """Entries (key, node, label, size, pos) with the tasks (task, i, j) in which they are left or right.
+
+    Small lists share tasks; a large list's nodes are dealt into chunks, and each two chunks meet in one task."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("key", "n")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    lists = lists.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK_NODES).cast("int"))
+    small = lists.where("chunks = 1").select("key", "node", "label", "size", "pos", F.pmod(F.xxhash64("key"), F.lit(1 + total // TASK_ENTRIES)).alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    large = lists.where("chunks > 1").withColumn("c", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    large = large.select("key", "node", "label", "size", "pos", F.col("key").alias("task"), (F.least("c", "o") + 1).alias("i"), (F.greatest("c", "o") + 1).alias("j"), (F.col("c") <= F.col("o")).alias("left"), (F.col("c") >= F.col("o")).alias("right"))
+    return small.union(large)
+
+
+def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int = 3, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+    """doc_id, n_shingles, component_id, group, r1, r2 for every row of docs: component_id is the least id
+    reachable over links of Jaccard similarity >= num / den between sets of n-word shingles; (r1, r2) names
+    the row's id and text (common.row_key)."""
     spark = docs.sparkSession
     tune(spark)
-    t = Threshold(num, den)
-    scratch = Scratch(spark, "jaccard")
+    t, scratch = Threshold(num, den), Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    base = base.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
-    sets = scratch.save(arrow(base, _sets(n), "doc_id long, rk long, n long, s1 long, s2 long"), "sets")
-    nodes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"))
+    base = base.select("doc_id", *row_key("doc_id", "text"), "text")
+    sets = scratch.save(arrow(base, _sets(n), "doc_id long, r1 long, r2 long, n long, s1 long, s2 long"), "sets")
+    # One row of each set gives its text: the one with the least r1, then the least r2.
+    nodes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("r1").alias("r1"))
+    nodes = nodes.join(sets.groupBy("n", "s1", "s2", "r1").agg(F.min("r2").alias("r2")), ["n", "s1", "s2", "r1"])
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     small = {r.n: r["count"] for r in nodes.where(F.col("n") <= 2 * LIGHT_MAX).groupBy("n").count().collect()}
     x = boundary(small, t)
-
-    # Repeated rows are merged before the shuffle; the join then finds texts in place.
-    texts = base.groupBy("rk").agg(F.first("text").alias("text")).join(nodes.select("rk", "node"), "rk").select("node", "text")
-    keys = scratch.save(arrow(texts, _keys(t, n, x), "key long, node long, light int"), "keys")
-    shared = keys.groupBy("key", (F.col("light") > 0).alias("is_light")).agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min("light").alias("small"), F.max("light").alias("large"), F.count("*").alias("n_nodes"))
-    shared = scratch.save(shared.where("least < most"), "shared")
-    members = keys.join(shared.withColumnRenamed("least", "first"), "key").where((F.col("light") > 0) == F.col("is_light"))
-    members = scratch.save(members.select("key", "node", "is_light", "first", "small", "large", "n_nodes"), "members")
+    levels = spark.sparkContext.broadcast(rarity(base, n, scratch))
+
+    def texts(of: DataFrame) -> DataFrame:
+        """(node, text), one row for each of the nodes; repeated rows are merged before the shuffle."""
+        once = base.groupBy("r1", "r2").agg(F.first("text").alias("text"))
+        return once.join(of.select("r1", "r2", "node"), ["r1", "r2"]).select("node", "text")
+
+    keys = scratch.save(arrow(texts(nodes), _keys(t, n, x, levels), KEYS), "keys")
+    # Light keys: all sets of a key are linked with its least node, or those of either size with each other.
+    light = keys.where("light > 0")
+    proven = light.groupBy("key", "key2").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("light").alias("small"), F.max("light").alias("large"))
+    proven = proven.where("first < last AND (small % 2 = 1 OR small < large)").select("key", "key2", "first")
+    proven = scratch.save(light.join(proven, ["key", "key2"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")), "proven")
+    # Lists: the hub is the node with the fewest rarer elements; rank and node are packed in one number.
+    rank = F.least("pos", F.lit(HUB_RANKS)).cast("long")
+    lists = keys.where("light = 0")
+    shared = lists.groupBy("key").agg(F.min(F.shiftleft(rank, 50).bitwiseOR(F.col("node"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("key", F.col("hub").bitwiseAND(F.lit((1 << 50) - 1)).alias("hub"))
+    lists = scratch.save(lists.join(shared, "key").select("key", "node", "size", "pos", "hub"), "lists")
     scratch.drop("keys")
-    return _finish(spark, scratch, t, n, base, sets, nodes, members)
-
-
-def _finish(spark: SparkSession, scratch: Scratch, t: Threshold, n: int, base: DataFrame, sets: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    # Light links: sets of both sizes of the key share the subset, or the key is of one size.
-    light = members.where("is_light AND (small % 2 = 1 OR small < large)").select(F.col("node").alias("a"), F.col("first").alias("b"))
-
-    heavy = members.where("NOT is_light")
-    groups = components(heavy.select(F.col("node").alias("a"), F.col("first").alias("b")), scratch, "groups")
-    weight = heavy.groupBy("node").agg(F.sum("n_nodes").alias("weight"))
-    ranked = groups.join(weight, "node")
-    hubs = ranked.groupBy("label").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("label", (-F.col("h.col2")).alias("hub"))
-    wanted = scratch.save(groups.join(hubs, "label").join(nodes.select("node", "rk"), "node").select("node", "label", "hub", "rk"), "wanted")
-
-    texts = base.groupBy("rk").agg(F.first("text").alias("text")).join(wanted.select("rk", "node"), "rk").select("node", "text")
-    items = scratch.save(arrow(texts, _items(n), "node long, n long, items binary"), "items")
-    pairs = wanted.select("node", "label", "hub").join(items.select("node", "items"), "node")
-    pairs = pairs.join(items.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")), "hub")
-    tested = scratch.save(arrow(pairs.select("node", "hub", "items", "hub_items"), _linked(t), "node long, hub long, linked boolean"), "tested")
-
-    state = wanted.select("node", "label", "hub").join(tested.select("node", "linked"), "node").join(items.select("node", "n"), "node")
-    totals = state.groupBy("label").agg(F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("loose"), F.count("*").alias("size"), F.sum("n").alias("n_items"))
-    totals = totals.where("loose > 0 AND size > 2").select("label", F.greatest(F.ceil(F.col("n_items") / CHUNK_ITEMS), F.ceil(F.col("size") / CHUNK_NODES)).cast("int").alias("chunks"))
-    dealt = state.join(totals, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("node", "label", "chunks", "chunk", F.col("linked").alias("core"))
-    # A loose node is a left row in each task of its chunk's row; every node is a right row in its column.
-    left = dealt.where("NOT core").select("node", "label", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("left"), "core")
-    right = dealt.select("node", "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("left"), "core")
-    tasks = left.union(right).join(items.select("node", "items"), "node")
-    found = tasks.groupBy("label", "i", "j").applyInArrow(_compare(t), "a long, b long")
-
-    hub_links = tested.where("linked AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = scratch.save(hub_links.union(found).union(light).where("a <> b"), "links")
-    labels = components(links, scratch, "components")
-
-    # Least ids per component, then back to the sets and to the rows.
+    release(spark)
+
+    known = lists.select("node").distinct().join(nodes.select("node", "r1", "r2"), "node")
+    known = scratch.save(arrow(texts(known), _sketched(n), "node long, sketch binary, items binary"), "known")
+    size = lists.select("node", "size").distinct()
+    drawn = scratch.save(known.select("node", "sketch").join(size, "node"), "sketches")
+    stars = lists.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = stars.join(drawn.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"), F.col("size").alias("a_size")), "a")
+    stars = stars.join(drawn.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), F.col("size").alias("b_size")), "b")
+    near = scratch.save(arrow(stars.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch"), _near(t), "a long, b long"), "near")
+    links = scratch.save(verified(near, known, t).union(proven), "links-0")
+
+    turn = 0
+    while True:
+        labels = components(links, scratch, f"components-{turn}")
+        named = lists.select("key", "node", "size", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        dealt = tasks(scratch.save(named, f"named-{turn}")).join(drawn.select("node", "sketch"), "node")
+        found = scratch.save(dealt.groupBy("task", "i", "j").applyInArrow(_scan(t, top), CANDIDATES), f"found-{turn}")
+        # The candidates of two components may come from many lists: a few of them will do, unless they fail.
+        new = scratch.save(verified(found.select("a", "b").distinct(), known, t), f"new-{turn}")
+        scratch.drop(f"named-{turn}")
+        turn += 1
+        if not new.limit(1).count():
+            if not found.where("more").limit(1).count():
+                break
+            top *= 16
+            continue
+        links = scratch.save(links.union(new), f"links-{turn}")
+        if not found.where("more").limit(1).count():
+            labels = components(links, scratch, f"components-{turn}")
+            break
+        top *= 4
+    return _rows(sets, nodes, labels, scratch)
+
+
+def _rows(sets: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Least ids per component, then back to the sets and to the rows."""
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = scratch.save(named.select("n", "s1", "s2", "label", "least"), "named")
+    named = scratch.save(named.select("n", "s1", "s2", "label", "least"), "labelled")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = scratch.save(named.join(least, "label").select("n", "s1", "s2", "component_id", F.col("label").alias("group")), "least")
-    release(spark)
-    out = sets.where("n > 0").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "rk")
-    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "rk")
+    release(sets.sparkSession)
+    out = sets.where("n > 0").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "r1", "r2")
+    empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "r1", "r2")
     return out.union(empty)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import jaccard_join, packing, quality, secrets, substring_dedup
-from inkveil.llm.common import Scratch, arrow, whole
+from inkveil.llm.common import Scratch, arrow, row_key, whole
 
 #: Near duplicates in the pipeline: five-word shingles, Jaccard similarity of 0.8 or more.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -36,11 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat the least id of a group give one row, any of them. Documents with a null id
     that are linked with nothing stay; of linked ones without any id one stays."""
     found = jaccard_join.jaccard_components(docs, NEAR_NUM, NEAR_DEN, NEAR_WORDS)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("group").agg(F.min("rk").alias("rk"))
-    empty = found.where("n_shingles = 0").select("rk").distinct()
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), whole()).alias("rk"))
-    rows = named.join(kept.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.first("row").alias("row"))
-    return rows.select("row.*").unionByName(named.join(empty, "rk", "left_semi").select("row.*"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
+    kept = first.groupBy("group").agg(F.min(F.struct("r1", "r2")).alias("r")).select("r.r1", "r.r2")
+    empty = found.where("n_shingles = 0").select("r1", "r2").distinct()
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).select("row", *row_key("doc_id", "text"))
+    rows = named.join(kept, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("row").alias("row"))
+    return rows.select("row.*").unionByName(named.join(empty, ["r1", "r2"], "left_semi").select("row.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
