@@ -1,26 +1,29 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Equal vectors become one node, so copies do not crowd a graph. A first graph comes from comparing
-nodes inside cells around pivots; a node lies in the cells of its SPREAD nearest pivots. There is a
-pivot for PER_PIVOT nodes, whatever the table's size, so cells do not grow with it; beyond PIVOTS the
-nearest pivots are looked for around the NEAR nearest of some pivots of pivots. Cells of more than CELL
-nodes are dealt into parts by hash, and each part meets each other one, a pair of them in a task. Each
-NN-descent round sends vectors to neighbours and reverse neighbours; where two neighbours of a node
-meet, each learns of the other, and of all it learns a node keeps the best DEGREE. Nodes around which
-no edge is new are left out of a round, and rounds go on until at most SETTLED of all edges are new.
-Queries start at their own node's neighbours and at hashed entry nodes, and expand the best unexpanded
-nodes of their beam, round by round, until none is left. Scores are recomputed on the original vectors
-in double precision.
-
-A node's reverse neighbours are taken up to REVERSE in a round, drawn by hash: the graph is the
-approximate part of the method, and its recall is measured against brute force in the tests. Copies
-of a vector stand behind their node with their least ids, as many as a result can hold.
-
-Defined results: vectors that are null, all zero, or hold null or non-finite components, or whose
-dimension is not the most common one, take no part; fewer candidates than k give all of them; ties
-go to the smaller id; null ids take no part; rows that repeat an id count once; other columns are
-ignored; an empty table gives an empty result. Made for vectors of like length: with lengths that
-differ much, short vectors may be found less often.
+Equal vectors become one node, so copies do not crowd a graph. A first, poor graph comes from STARTS
+random cuts of the space: nodes on the same side of some hyperplanes are dealt by hash into cells of
+about CELL nodes and compared there, a small and falling share of all pairs.
+
+Then NN-descent: in each round a node's neighbours and reverse neighbours (up to REVERSE of these, new
+ones first) meet at the node with their vectors; of any two that meet, of which one is new to the node,
+each learns of the other, up to LEARN a meeting, and of all it learns a node keeps the best DEGREE.
+Nodes around which no edge is new are left out. Rounds go on until at most SETTLED of all edges are
+new. All work is joins on node ids, with rows dealt to tasks by hash of the node; a node's meeting is
+bounded by DEGREE + REVERSE vectors. Vectors travel in half precision, less their common centre c: with
+h = v - c, the products v_i . h_j rank the neighbours of i as v_i . v_j do.
+
+Queries start at their own node's neighbours and at ENTRIES nodes drawn by hash, and open all unopened nodes of
+their beam, round by round, until none is left. Scores are recomputed on the original vectors in double
+precision.
+
+The graph is the approximate part of the method, and its recall is measured against brute force in the
+tests. Copies of a vector stand behind their node with their least ids, as many as a result can hold.
+
+Defined results: vectors that are null, all zero, or hold null or non-finite components take no part,
+nor do those whose dimension is not the most common one, as no inner product with the others exists;
+fewer candidates than k give all of them; ties go to the smaller id; null ids take no part; rows that
+repeat an id count once; other columns are ignored; an empty table gives an empty result. Made for
+vectors of like length: with lengths that differ much, short vectors may be found less often.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import Scratch, load
 
-PIVOTS, PER_PIVOT, CELL, SPREAD, NEAR = 4096, 400, 16384, 9, 8
-DEGREE, REVERSE, SETTLED = 20, 20, 0.001
-BEAM, EXPAND, ENTRIES = 40, 16, 2
+#: Neighbours of a node, reverse ones at a meeting, pairs that a node learns there, and the share of new edges at which rounds end.
+DEGREE, REVERSE, LEARN, SETTLED = 50, 40, 8, 0.001
+#: Cuts, nodes of a cell, nodes whose meetings are one task's group.
+STARTS, CELL, GROUP = 2, 64, 2000
+ENTRIES = 8
 
 
 def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -47,162 +52,198 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def best(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and values of the k largest of each row, largest first."""
-    k = min(k, rows.shape[1])
-    at = np.argpartition(-rows, k - 1, axis=1)[:, :k] if k < rows.shape[1] else np.tile(np.arange(k), (len(rows), 1))
-    order = np.argsort(-np.take_along_axis(rows, at, 1), axis=1, kind="stable")
-    at = np.take_along_axis(at, order, 1)
-    return at, np.take_along_axis(rows, at, 1)
+def halves(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a binary column of half-precision vectors."""
+    raw = b"".join(col.to_pylist())
+    return np.frombuffer(raw, np.float16).reshape(len(col), -1).astype(np.float32)
 
 
-FOUND = "node long, ids array<long>, sims array<float>"
+FOUND = "node long, ids binary, sims binary, fresh binary"
 
 
-def found(nodes, ids, sims) -> pa.Table:
-    return pa.table({"node": pa.array(nodes, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float32()))})
+def packed(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    """One row for each run of equal nodes, with its ids (int64), sims (float32) and flags."""
+    cut = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))[: len(nodes)] if len(nodes) else np.empty(0, np.int64)
+    ends = np.append(cut[1:], len(nodes)) if len(cut) else cut
+    columns = []
+    for values, kind in ((ids, np.int64), (sims, np.float32), (fresh, np.uint8)):
+        raw, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+        columns.append(pa.array([raw[a * width : b * width] for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()))
+    return pa.table([pa.array(nodes[cut], pa.int64()), *columns], names=["node", "ids", "sims", "fresh"])
 
 
-def _cell(degree: int):
+def unpacked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """nodes, ids, sims and flags of rows of FOUND, one element for each id."""
+    ids, sims, fresh = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("ids", np.int64), ("sims", np.float32), ("fresh", np.uint8)))
+    n = np.array([len(x) // 8 for x in rows.column("ids").to_pylist()], np.int64)
+    return np.repeat(rows.column("node").to_numpy(), n), ids, sims, fresh
+
+
+def _cell(degree: int, centre: np.ndarray):
+    """All pairs of a cell, the best `degree` of each node."""
+
     def kernel(group: pa.Table) -> pa.Table:
-        ids, v = group.column("node").to_numpy(), matrix(group.column("vec"))
-        out_ids, out_sims = [], []
-        for i in range(0, len(ids), 512):
-            sims = v[i : i + 512] @ v.T
-            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-            at, s = best(sims, degree)
-            for a, x in zip(at, s, strict=True):
-                ok = np.isfinite(x)
-                out_ids.append(ids[a[ok]])
-                out_sims.append(x[ok])
-        return found(ids, out_ids, out_sims)
+        nodes, v = group.column("node").to_numpy(), halves(group.column("half"))
+        sims = (v + centre) @ v.T
+        np.fill_diagonal(sims, -np.inf)
+        k = min(degree, len(nodes) - 1)
+        at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.empty((len(nodes), 0), np.int64)
+        return packed(np.repeat(nodes, k), nodes[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(at.size))
 
     return kernel
 
 
 def _merge(degree: int):
-    """Best `degree` of lists that arrive as arrays of (ids, sims)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_ids, out_sims = [], []
-            for ids, sims in zip(batch.column("ids"), batch.column("sims"), strict=True):
-                ids = ids.values.flatten().to_numpy(zero_copy_only=False)
-                sims = sims.values.flatten().to_numpy(zero_copy_only=False)
-                order = np.lexsort((ids, -sims))
-                _, first = np.unique(ids[order], return_index=True)
-                keep = order[np.sort(first)][:degree]
-                out_ids.append(ids[keep])
-                out_sims.append(sims[keep])
-            yield from found(batch.column("node"), out_ids, out_sims).to_batches()
-
-    return run
+    """The best `degree` of all that a group of nodes has and has learnt. Ids that were there keep their flag, 0; learnt ones are new."""
 
+    def kernel(group: pa.Table) -> pa.Table:
+        node, ids, sims, fresh = unpacked(group)
+        order = np.lexsort((fresh, ids, node))
+        node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
+        once = np.ones(len(node), bool)
+        once[1:] = (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])
+        node, ids, sims, fresh = node[once], ids[once], sims[once], fresh[once]
+        order = np.lexsort((ids, -sims, node))
+        node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
+        rank = np.arange(len(node)) - np.searchsorted(node, node)
+        keep = rank < degree
+        return packed(node[keep], ids[keep], sims[keep], fresh[keep])
 
-def merged(lists: DataFrame, degree: int) -> DataFrame:
-    """One row per node with the best `degree` of all its lists."""
-    met = lists.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("sims").alias("sims"))
-    return met.mapInArrow(_merge(degree), FOUND)
+    return kernel
 
 
-def _local(degree: int):
-    """Neighbours of one node compare themselves with each other."""
+def _meet(learn: int, centre: np.ndarray):
+    """Of the nodes that meet at a node each learns of the best others, where one of the two is new there."""
 
     def kernel(group: pa.Table) -> pa.Table:
-        ids, first = np.unique(group.column("member").to_numpy(), return_index=True)
-        v, least = matrix(group.column("vec"))[first], group.column("least").to_numpy(zero_copy_only=False)[first]
-        sims = v @ v.T
-        np.fill_diagonal(sims, -np.inf)
-        at, s = best(sims, degree // 2)
-        out = [(n, ids[a[k]], x[k]) for n, a, x, t in zip(ids, at, s, least, strict=True) if (k := x > t).any()]
-        return found([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
+        at, member = group.column("node").to_numpy(), group.column("member").to_numpy()
+        fresh, least, v = group.column("fresh").to_numpy().astype(bool), group.column("least").to_numpy(), halves(group.column("half"))
+        order = np.lexsort((~fresh, member, at))
+        once = np.ones(len(order), bool)
+        once[1:] = (at[order][1:] != at[order][:-1]) | (member[order][1:] != member[order][:-1])
+        order = order[once]
+        ends = np.flatnonzero(np.append(at[order][1:] != at[order][:-1], True)) + 1
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        start = 0
+        for end in ends.tolist():
+            rows, start = order[start:end], end
+            new = fresh[rows]
+            if len(rows) < 2 or not new.any():
+                continue
+            sims = (v[rows] + centre) @ v[rows].T
+            sims[~(new[:, None] | new[None, :])] = -np.inf
+            np.fill_diagonal(sims, -np.inf)
+            sims[sims <= least[rows][:, None]] = -np.inf
+            k = min(learn, len(rows) - 1)
+            to = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            s = np.take_along_axis(sims, to, 1)
+            i, j = np.nonzero(s > -np.inf)
+            out.append((member[rows[i]], member[rows[to[i, j]]], s[i, j]))
+        if not out:
+            return packed(*(np.empty(0, np.int64),) * 4)
+        node, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((ids, node))
+        return packed(node[order], ids[order], sims[order], np.ones(len(order)))
 
     return kernel
 
 
-def nearest_pivots(table: np.ndarray, spread: int):
-    """A function from vectors to the indexes of their `spread` nearest rows of a table.
-
-    A table of more than PIVOTS rows is dealt to some of its rows: a vector is compared with the
-    pivots around the NEAR nearest of these only, which are about the square root of the table each.
-    -1 stands where fewer are found."""
-    if len(table) <= PIVOTS:
-        return lambda v: best(v @ table.T, spread)[0]
-    tops = table[: int(len(table) ** 0.5)]
-    home = np.concatenate([(table[i : i + 4096] @ tops.T).argmax(axis=1) for i in range(0, len(table), 4096)])
-    order = np.argsort(home, kind="stable")
-    lots = np.split(order, np.searchsorted(home[order], np.arange(1, len(tops))))
-
-    def look(v: np.ndarray) -> np.ndarray:
-        near, _ = best(v @ tops.T, NEAR)
-        at = np.full((len(v), near.shape[1] * spread), -1)
-        sims = np.full(at.shape, -np.inf, np.float32)
-        for top in np.unique(near):
-            rows, slot = np.nonzero(near == top)
-            if len(lots[top]):
-                found, s = best(v[rows] @ table[lots[top]].T, spread)
-                to = slot[:, None] * spread + np.arange(found.shape[1])
-                at[rows[:, None], to], sims[rows[:, None], to] = lots[top][found], s
-        return np.take_along_axis(at, best(sims, spread)[0], 1)
-
-    return look
-
-
-def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
-    """(node, ids, sims): about the `degree` nearest nodes of each node. nodes: (node, vec)."""
-    n = nodes.count()
-    wanted = max(1, n // PER_PIVOT)
-    # The pivots are drawn by hash, a large sample without sorting all nodes; one vector of PER_PIVOT goes to the driver and the workers.
-    if wanted > PIVOTS:
-        drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(PER_PIVOT)) == 0)
-    else:
-        drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(wanted)
-    pivots = drawn.select("vec").toArrow().column("vec")
-    table = matrix(pivots).astype(np.float32) if len(pivots) else np.zeros((1, 1), np.float32)
-    spread = min(SPREAD, len(table))
-    look = nearest_pivots(table, spread)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: np.ndarray | float = 0.0
+    for batch in batches:
+        if batch.num_rows:
+            total = total + matrix(batch.column("vec")).sum(axis=0, dtype=np.float64)
+    if isinstance(total, np.ndarray):
+        yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["dim", "total"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            node, ids, _, fresh = unpacked(batch)
+            yield pa.record_batch([pa.array(node), pa.array(ids), pa.array(fresh.astype(bool))], names=["node", "to", "fresh"])
+
+
+def _least(degree: int):
+    """Of each list the least similarity that still improves it, and how many of its edges are new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = look(matrix(batch.column("vec"))).ravel().astype(np.int32)
-                take = np.repeat(np.arange(batch.num_rows), spread)[at >= 0]
-                yield pa.record_batch([pa.array(at[at >= 0]), batch.column("node").take(pa.array(take)), batch.column("vec").take(pa.array(take))], names=["cell", "node", "vec"])
-
-    dealt = nodes.mapInArrow(cells, "cell int, node long, vec array<float>")
-    sizes = dealt.groupBy("cell").count().where(F.col("count") > CELL)
-    # A large cell has parts of half a CELL; a node goes to the pairs of its part with each other one.
-    dealt = dealt.join(F.broadcast(sizes), "cell", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / (CELL / 2)), F.lit(1)))
-    own = F.pmod(F.xxhash64("node", "cell"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != own)
-    pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda p: F.least(own, p) * F.col("parts") + F.greatest(own, p)))
-    dealt = dealt.select("cell", "node", "vec", F.explode(pair).alias("pair"))
-    graph = scratch.save(merged(dealt.groupBy("cell", "pair").applyInArrow(_cell(degree), FOUND), degree), "graph-0")
-    edges = fresh = graph.select("node", F.explode("ids").alias("to"))
+                sims = [np.frombuffer(x, np.float32) for x in batch.column("sims").to_pylist()]
+                fresh = [sum(x) for x in batch.column("fresh").to_pylist()]
+                least = [float(s.min()) if len(s) >= degree else float("-inf") for s in sims]
+                yield pa.record_batch([batch.column("node"), pa.array(least, pa.float32()), pa.array(fresh, pa.int64())], names=["node", "least", "n_fresh"])
+
+    return run
+
+
+def start_graph(nodes: DataFrame, n: int, degree: int, centre: np.ndarray, starts: int = STARTS, cell: int = CELL) -> DataFrame:
+    """Rows of FOUND from random cuts. Sides of hyperplanes, as many as leave a cell's nodes on one side
+    of all if nodes lie evenly, name a region; a region with more is dealt into cells by hash."""
+    planes = max(0, int(np.ceil(np.log2(max(1, n / cell)))))
+
+    def sides(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    v = halves(batch.column("half"))
+                    cuts = np.random.default_rng(977 + turn).normal(size=(v.shape[1], planes))
+                    region = ((v @ cuts > 0) @ (1 << np.arange(planes, dtype=np.int64))).astype(np.int64)
+                    yield pa.record_batch([pa.array(region), batch.column("node"), batch.column("half")], names=["region", "node", "half"])
+
+        return run
+
+    lists = None
+    for turn in range(starts):
+        dealt = nodes.mapInArrow(sides(turn), "region long, node long, half binary")
+        sizes = dealt.groupBy("region").agg(F.count("*").alias("n"))
+        dealt = dealt.join(sizes, "region").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (2 * cell))))
+        found = dealt.groupBy("region", "cell").applyInArrow(_cell(degree, centre), FOUND)
+        lists = found if lists is None else lists.union(found)
+    return lists
+
+
+def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED, rounds: int | None = None) -> DataFrame:
+    """Rows of FOUND: about the `degree` nearest nodes of each node. nodes: (node, vec). rounds: the most that are made, if given."""
+    peak = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m"), F.count("*").alias("n")).first()
+    n, scale = peak.n, peak.m or 1.0
+    means = nodes.select("vec").mapInArrow(_sums, "dim int, total double").groupBy("dim").agg(F.sum("total").alias("total")).orderBy("dim").collect()
+    centre = np.array([r.total / n / scale for r in means], np.float32)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = (matrix(batch.column("vec")) / scale - centre).astype(np.float16)
+                raw, width = v.tobytes(), v.shape[1] * 2
+                yield pa.record_batch([batch.column("node"), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["node", "half"])
+
+    half = scratch.save(nodes.mapInArrow(shrink, "node long, half binary"), "halves")
+    groups = F.pmod(F.xxhash64("node"), F.lit(1 + n // GROUP)).alias("group")
+    graph = start_graph(half, n, degree, centre).groupBy(groups).applyInArrow(_merge(degree), FOUND)
+    graph = scratch.save(graph, "graph-0")
     k = 0
-    # A list only ever changes for a better one, so the rounds come to an end.
-    while fresh.count() > settled * n * degree:
+    while True:
+        known = scratch.save(graph.select("node", "sims", "fresh").mapInArrow(_least(degree), "node long, least float, n_fresh long"), f"known-{k}", tidy=False)
+        fresh = known.agg(F.sum("n_fresh")).first()[0] or 0
+        if fresh <= settled * n * degree or k == rounds:
+            return graph
         k += 1
-        active = fresh.select("node").union(fresh.select("to")).distinct()
-        # Reverse neighbours: a hashed draw per (node, part of the edges), then per node; a hub meets in no one task whole.
-        back = edges.select(F.col("to").alias("node"), F.struct(F.xxhash64("node", "to", F.lit(k)).alias("h"), F.col("node").alias("from")).alias("e"))
-        for keys in (["node", "salt"], ["node"]):
-            if "salt" in keys:
-                back = back.withColumn("salt", F.pmod(F.col("e.from"), F.lit(64)))
-                back = back.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("e")), 1, REVERSE).alias("e"))
-            else:
-                back = back.groupBy("node").agg(F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, REVERSE).alias("e"))
-        back = back.select("node", F.explode("e.from").alias("member"))
-        meets = edges.select("node", F.col("to").alias("member")).union(back).join(active, "node", "left_semi")
-        known = nodes.join(graph.select("node", F.when(F.size("sims") < degree, F.lit(float("-inf"))).otherwise(F.array_min("sims")).alias("least")), "node").select(F.col("node").alias("member"), "vec", "least")
-        learnt = meets.join(known, "member").groupBy("node").applyInArrow(_local(degree), FOUND)
-        graph = scratch.save(merged(learnt.union(graph), degree), f"graph-{k}")
-        now = graph.select("node", F.explode("ids").alias("to"))
-        fresh = scratch.save(now.join(edges, ["node", "to"], "left_anti"), f"fresh-{k}")
-        edges = now
-        for old in (f"graph-{k - 1}", f"fresh-{k - 1}"):
-            scratch.drop(old)
-    return graph
+        edges = graph.mapInArrow(_edges, "node long, to long, fresh boolean")
+        # Reverse neighbours: the window's rank limit is applied before the shuffle too, so no task meets all edges to a hub.
+        draw = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("node", "member", F.lit(k)))
+        back = edges.select(F.col("to").alias("node"), F.col("node").alias("member"), "fresh")
+        back = back.withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= REVERSE).drop("rank")
+        meets = edges.select("node", F.col("to").alias("member"), "fresh").union(back)
+        active = meets.where("fresh").select("node").distinct()
+        about = half.join(known.select("node", "least"), "node", "left").select(F.col("node").alias("member"), "half", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+        met = meets.join(active, "node", "left_semi").join(about, "member")
+        learnt = met.groupBy(groups).applyInArrow(_meet(LEARN, centre), FOUND)
+        # Edges that were there have been met now: they are no longer new.
+        old = graph.select("node", "ids", "sims", F.expr("unhex(repeat('00', cast(octet_length(ids) div 8 as int)))").alias("fresh"))
+        nxt = scratch.save(learnt.union(old).groupBy(groups).applyInArrow(_merge(degree), FOUND), f"graph-{k}")
+        scratch.drop(f"graph-{k - 1}")
+        graph = nxt
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,37 +253,46 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("query"), batch.column("cand"), pa.array(sims)], names=["query", "cand", "sim"])
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int) -> DataFrame:
     """(query, cand, sim, done): the beam of each query (query, q, home) after the search; home may be null."""
-    n = max(1, nodes.count())
-    entry = queries.select("query", F.explode(F.array([F.pmod(F.xxhash64("query", F.lit(i)), F.lit(n)) for i in range(ENTRIES)])).alias("row"))
-    numbered = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(n)).alias("row"))
-    start = entry.join(numbered, "row").select("query", F.col("node").alias("cand"))
+    doors = [r.node for r in nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node").collect()]
+    start = queries.select("query", F.explode(F.array(*map(F.lit, doors)).cast("array<long>")).alias("cand"))
     start = start.union(queries.where("home IS NOT NULL").select("query", "home"))
-    start = start.union(queries.join(graph.withColumnRenamed("node", "home"), "home").select("query", F.explode("ids")))
+    start = start.union(queries.select("query", F.col("home").alias("node")).join(graph.select("node", "ids"), "node").transform(_targets))
 
     def scored(pairs: DataFrame) -> DataFrame:
         met = pairs.join(nodes.select(F.col("node").alias("cand"), "vec"), "cand").join(queries.select("query", "q"), "query")
         return met.select("query", "cand", "q", "vec").mapInArrow(_score, "query long, cand long, sim double").withColumn("done", F.lit(False))
 
     def top(rows: DataFrame) -> DataFrame:
-        kept = rows.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), "cand", "done"))), 1, beam).alias("b"))
-        return kept.select("query", F.posexplode("b").alias("k", "e")).select("query", "k", F.col("e.cand").alias("cand"), (-F.col("e.s")).alias("sim"), F.col("e.done").alias("done"))
+        best = Window.partitionBy("query").orderBy(F.desc("sim"), "cand")
+        return rows.withColumn("k", F.row_number().over(best)).where(F.col("k") <= beam).select("query", "cand", "sim", "done")
 
     state = scratch.save(top(scored(start.distinct())), "beam-0")
     k = 0
     while state.where(~F.col("done")).limit(1).count():
         k += 1
-        opened = state.where("NOT done").groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "cand"))), 1, EXPAND).alias("o")).select("query", F.explode("o.cand").alias("cand"))
-        opened = opened.withColumn("now", F.lit(True))
-        reached = opened.join(graph.withColumnRenamed("node", "cand"), "cand").select("query", F.explode("ids").alias("cand")).distinct()
+        opened = state.where("NOT done").select("query", F.col("cand").alias("node"))
+        reached = opened.join(graph.select("node", "ids"), "node").transform(_targets).distinct()
         fresh = reached.join(state.select("query", "cand"), ["query", "cand"], "left_anti")
-        seen = state.join(opened, ["query", "cand"], "left").select("query", "cand", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        state = scratch.save(top(seen.union(scored(fresh))), f"beam-{k}")
+        state = scratch.save(top(state.withColumn("done", F.lit(True)).union(scored(fresh))), f"beam-{k}")
         scratch.drop(f"beam-{k - 1}")
     return state
 
 
+def _targets(rows: DataFrame) -> DataFrame:
+    """(query, cand) for the packed ids of rows (query, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = batch.column("ids").to_pylist()
+                n = np.array([len(x) // 8 for x in raw])
+                yield pa.record_batch([pa.array(np.repeat(batch.column("query").to_numpy(), n)), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["query", "cand"])
+
+    return rows.select("query", "ids").mapInArrow(run, "query long, cand long")
+
+
 def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows."""
     spark = table.sparkSession
