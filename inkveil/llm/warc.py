@@ -1,11 +1,14 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Pages are range-sorted by id; each task writes its range as gzip members, one per record, and rolls
-to a new file when the compressed size is reached. Headers, record ids and digests are regenerated
-from the row alone, so equal input gives equal bytes. Files are written under temporary names that
-no other attempt uses; the manifest, a table that Spark commits as a whole, lists those of attempts
-that succeeded; only then are they renamed, by tasks that may run again, and readers follow the
-manifest alone. A lost executor or a second attempt therefore leaves stray temporary files at most.
+Pages are range-sorted by id and digest. The ranges are cut where exact running sums of payload bytes
+over all rows pass multiples of `range_bytes`, so they depend on the rows alone, not on how Spark dealt
+them; each range is written as gzip members, one per record, and rolls to a new file when the
+compressed size is reached. Headers, record ids and digests are regenerated from the row alone, so
+equal input gives equal files, byte for byte, in whatever partitions it comes. Files are written under
+temporary names that no other attempt uses; the manifest, a table that Spark commits as a whole, lists
+those of attempts that succeeded; only then are they renamed, by tasks that may run again, and readers
+follow the manifest alone. A lost executor or a second attempt therefore leaves stray temporary files
+at most. Files are opened by pyarrow's file systems: file, hdfs, s3, gs and abfs paths.
 
 Of records with equal payloads of at least `min_revisit` bytes the one with the smallest id is a
 response, the others revisit it. The revisit marks travel as rows of their own through the same
@@ -13,7 +16,8 @@ range sort, so payloads are shuffled once and no group of equal payloads meets i
 
 Defined results: a null payload is empty; a null id is written without an id and never referred to;
 rows that repeat the smallest id are responses too; a null URL is written as urn:none; other columns
-are ignored, whatever their names; an empty table gives no files and an empty result.
+are ignored, whatever their names; an empty table gives no files and an empty result. Rows that repeat
+both id and payload stand in one range.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import Scratch, load, tune
 
+#: Ranges are made larger where there would be more.
+MOST_RANGES = 100_000
 MANIFEST = "name string, temporary string, records long, bytes long, sha256 string"
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,15 +68,18 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 class _Roller:
-    """Writes members to files of limited compressed size."""
+    """Writes members to files of limited compressed size, none of which holds records of two ranges."""
 
-    def __init__(self, root: str, part: int, limit: int):
+    def __init__(self, root: str, limit: int):
         self.fs, self.base = pafs.FileSystem.from_uri(root)
-        self.part, self.limit, self.turn, self.out, self.done = part, limit, 0, None, []
+        self.part, self.limit, self.turn, self.out, self.done = -1, limit, 0, None, []
 
-    def write(self, raw: bytes) -> None:
+    def write(self, raw: bytes, part: int) -> None:
+        if part != self.part:
+            self.close()
+            self.part, self.turn = part, 0
         if self.out is None:
-            self.name = f"pages-{self.part:06d}-{self.turn:06d}.warc.gz"
+            self.name = f"pages-{self.part + 64:06d}-{self.turn:06d}.warc.gz"
             self.temporary = f"_temporary/{self.name}.{uuid.uuid4().hex}"
             self.fs.create_dir(f"{self.base}/_temporary", recursive=True)
             self.out, self.size, self.records, self.sha = self.fs.open_output_stream(f"{self.base}/{self.temporary}", compression=None), 0, 0, hashlib.sha256()
@@ -93,16 +104,14 @@ class _Roller:
 
 def _writer(root: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        roller, mark = _Roller(root, TaskContext.get().partitionId(), limit), None
+        roller, mark = _Roller(root, limit), None
         for batch in batches:
-            for page_id, digest, kind, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "kind", "url", "payload", "refers_to")), strict=True):
+            for part, page_id, digest, kind, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "digest", "kind", "url", "payload", "refers_to")), strict=True):
                 if kind == 0:
                     mark = (page_id, digest, refers_to)
                     continue
                 revisit = mark is not None and mark[:2] == (page_id, digest)
-                roller.write(page_record(page_id, url, payload.encode(), digest, mark[2] if revisit else None, revisit))
+                roller.write(page_record(page_id, url, payload.encode(), digest, mark[2] if revisit else None, revisit), part)
         roller.close()
         if roller.done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*roller.done, strict=True)], names=["name", "temporary", "records", "bytes", "sha256"])
@@ -124,22 +133,65 @@ def _commit(root: str):
     return run
 
 
-def write_warc(pages: DataFrame, root: str, roll_bytes: int = 64 << 20, min_revisit: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def prefix(digest: str):
+    """The first 60 bits of a digest, as a number that sorts alike."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def range_starts(rows: DataFrame, range_bytes: int, scratch: Scratch) -> list[tuple[int, int]]:
+    """(page_id, prefix of the digest) of the first row of each range but the first. rows: (page_id, p, size), ids not null.
+
+    Sums per partition and of the partitions before give each row its place among all bytes; a range
+    starts with the first row at or beyond a multiple of range_bytes. One key of 16 bytes for each range
+    comes to the driver, MOST_RANGES at most."""
+    spark = rows.sparkSession
+    once = rows.groupBy("page_id", "p").agg(F.sum("size").alias("size"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = scratch.save(scratch.save(once, "sizes").repartitionByRange(parts, "page_id", "p").withColumn("dealt", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("dealt").agg(F.sum("size").alias("bytes")).select("dealt", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("dealt").orderBy("page_id", "p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("own")).join(F.broadcast(totals), "dealt")  # a row for each partition
+    every = max(range_bytes, (dealt.agg(F.sum("size")).first()[0] or 0) // MOST_RANGES)
+    placed = placed.select("page_id", "p", F.expr(f"(before + own) div {every}").alias("k"))
+    starts = placed.where("k > 0").groupBy("k").agg(F.min(F.struct("page_id", "p")).alias("s")).select("s.page_id", "s.p").collect()
+    return sorted((r.page_id, r.p) for r in starts)
+
+
+def _range_of(starts: list[tuple[int, int]]):
+    """Column function: the number of the range of (page_id, prefix); null ids stand in range -1 - (one of 64, by digest)."""
+    ids, digests = (np.array([s[k] for s in starts], np.int64) for k in (0, 1))
+
+    @F.pandas_udf("long")
+    def number(page: pd.Series, p: pd.Series) -> pd.Series:
+        null, page, p = page.isna().to_numpy(), page.fillna(0).to_numpy(np.int64), p.to_numpy(np.int64)
+        lo, hi = np.searchsorted(ids, page, "left"), np.searchsorted(ids, page, "right")
+        for k in np.flatnonzero(hi > lo):  # an id at which a range starts
+            lo[k] += np.searchsorted(digests[lo[k] : hi[k]], p[k], "right")
+        return pd.Series(np.where(null, -1 - (p & 63), lo))
+
+    return number
+
+
+def write_warc(pages: DataFrame, root: str, roll_bytes: int = 8 << 20, min_revisit: int = 100, range_bytes: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write all rows of pages to WARC files under root (a URI that all executors reach); returns the manifest."""
     spark = pages.sparkSession
     tune(spark)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    small = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit).select("page_id", "digest")
-    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    small = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
     scratch = Scratch(spark, "warc")
+    starts = range_starts(small.where("page_id IS NOT NULL").select("page_id", prefix("digest").alias("p"), (F.col("n") + 400).cast("long").alias("size")), range_bytes, scratch)
+    small = small.where(F.col("n") >= min_revisit).select("page_id", "digest")
+    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     firsts = scratch.save(firsts, "firsts")
     marks = small.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     marks = marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), F.col("first").alias("refers_to"))
     rows = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = marks.union(rows).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
+    dealt = marks.union(rows).withColumn("part", _range_of(starts)("page_id", prefix("digest")))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "page_id", "digest", "kind", "url")
     written = scratch.save(dealt.mapInArrow(_writer(root, roll_bytes), MANIFEST), "written")
     written.mapInArrow(_commit(root), MANIFEST).write.parquet(f"{root}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
