@@ -1,16 +1,23 @@
 """Best-fit packing of tokenized documents into sequences, bulk-synchronously.
 
 Documents are tokenized where they are read; those longer than a sequence are cut into full pieces
-(the first may be shorter). Pieces and gaps are sorted by size. In each superstep all pieces of one
-length, longest first, sweep over the gaps from the least that fits upwards (successor order); a gap
-takes as many of them as it holds, pieces beyond all gaps open new sequences, and the gaps are
-updated before the next length. Conflicts are resolved by rank: pieces of one length are
-interchangeable, so the piece with rank r among them takes the r-th place that the sweep found.
+(the first may be shorter). Pieces are packed by falling class of length, so that a piece of a class
+fits wherever a piece of the classes before it would. Pieces of more than half a sequence open one each.
+A class is packed in supersteps, each a sweep over all its pieces and all gaps that may take one:
 
-A superstep needs only how many pieces have each length and how many sequences each gap: at most
-`capacity` runs each, whatever the corpus. The sweep over runs gives a plan of rank ranges (a few
-thousand rows, bounded by the capacity, not the corpus); ranks come from per-partition counts, and
-a join with the plan places every piece in one pass.
+* pieces and gaps stand in one order, by falling size, a gap before pieces of its size (the order is
+  cut into buckets of one size, whose counts, summed in order, place every row);
+* a piece takes the last gap before it that no earlier piece takes, which is its successor: the least
+  gap that holds it. Conflicts are resolved by rank: with gaps counted up and pieces counted down, a
+  piece and the gap that it takes stand at one level, next to each other among the rows of that level,
+  so one window over the levels finds all matches of a sweep at once. A gap that holds several of the
+  class's longest pieces stands in the order as often;
+* gaps are updated, and the sweep is repeated with the pieces left, until no gap takes another.
+
+What is left of a class opens new sequences, filled in order of rank, whose gaps later classes take.
+
+No sweep collects rows. The driver reads the least and greatest lengths of a class and, to leave out
+gaps larger than any that best fit would take, a count for each size of gap (at most `capacity` rows).
 
 Defined results: a null or empty text is one piece with the end id; every row is packed, repeated
 rows and null ids included; other columns are ignored, whatever their names; an empty table gives
@@ -22,7 +29,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,8 @@ from inkveil.llm.common import Scratch, arrow, load, tune, whole
 
 #: Characters of whose class all Unicode versions agree; other texts go to the tokenizers library.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
-PLAN = "length int, rank_lo long, rank_hi long, first_sequence long, per_sequence int, place int"
+#: Parts of a size in a sweep's order; ranks are counted within parts.
+PARTS = 32
 _ENCODERS: dict[tuple[str, str], object] = {}
 
 
@@ -84,44 +92,99 @@ def _pieces(json_path: str, ranks_path: str, capacity: int, end_id: int, with_id
     return kernel
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows of PLAN: pieces of `length` with ranks in [rank_lo, rank_hi) go, per_sequence at a time,
-    to the sequences from first_sequence on, from `place` on."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, sequences)
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        moved: list[tuple[int, int, int]] = []
-        for gap in sorted(g for g in gaps if g >= length and gaps[g]):
-            each, rest = gap // length, []
-            for first, n in gaps[gap]:
-                whole_ones = min(n, left // each)
-                if whole_ones:
-                    plan.append((length, rank, rank + whole_ones * each, first, each, capacity - gap))
-                    rank, left = rank + whole_ones * each, left - whole_ones * each
-                    moved.append((gap - each * length, first, whole_ones))
-                    first, n = first + whole_ones, n - whole_ones
-                if n and left:  # the last few share one more sequence
-                    plan.append((length, rank, rank + left, first, left, capacity - gap))
-                    moved.append((gap - left * length, first, 1))
-                    rank, left, first, n = rank + left, 0, first + 1, n - 1
-                if n:
-                    rest.append((first, n))
-            gaps[gap] = rest
-            if not left:
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(low, high) of the classes of lengths, low excluded: first by how many fit a sequence, then by halves."""
+    found, top = [], capacity
+    while top > max(16, capacity // 8):
+        low = capacity // (capacity // top + 1)
+        found.append((low, top))
+        top = low
+    while top:
+        low = top // 2
+        found.append((low, top))
+        top = low
+    return found
+
+
+def ranked(rows: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
+    """rows in one order by (size falling, then `by`): bucket, the number of the row's bucket; r, its rank there
+    from 1; n_before and size_before, sums of `step` and of size over all buckets before. step is one for a bucket."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*ids), F.lit(PARTS)).cast("int"))
+    keys = ["size", *by, "salt"]
+    order = Window.orderBy(F.desc("size"), *by, "salt")  # rows are sizes and parts: bounded by the capacity
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.sum("step").alias("n"), F.sum("size").alias("all"))
+    sums = sums.select(*keys, F.row_number().over(order).alias("bucket"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{name}_before") for c, name in (("n", "n"), ("all", "size"))))
+    own = Window.partitionBy(*keys).orderBy(*ids)
+    return rows.withColumn("r", F.row_number().over(own).cast("long")).join(F.broadcast(sums), keys)
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
+    """(tie, length, seq, gap) of the pieces (tie, length) that find a place in gaps (seq, gap)."""
+    places = gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr(f"gap div {longest}")).cast("int"))).alias("turn"), F.lit(1).alias("step"))
+    wanted = pieces.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("tie").alias("id"), F.lit(0).alias("turn"), F.lit(-1).alias("step"))
+    rows = ranked(places.union(wanted), ["kind"], ["id", "turn"])
+    level = F.col("n_before") + F.when(F.col("kind") == 0, F.col("r")).otherwise(1 - F.col("r"))
+    seen = Window.partitionBy("level").orderBy("bucket")
+    rows = rows.select("kind", "id", "size", "bucket", level.alias("level"))
+    rows = rows.select("kind", "id", "size", *(F.lag(c).over(seen).alias(f"last_{c}") for c in ("kind", "id", "size")))
+    return rows.where("kind = 1 AND last_kind = 0").select(F.col("id").alias("tie"), F.col("size").alias("length"), F.col("last_id").alias("seq"), F.col("last_size").alias("gap"))
+
+
+def in_order(rows: DataFrame, order: str):
+    """Sum of length before a row in its sequence."""
+    before = Window.partitionBy("seq").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("inside", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def opened(pieces: DataFrame, capacity: int, longest: int, count: int, total: int, base: int) -> DataFrame:
+    """(tie, length, seq, offset) of pieces in new sequences: so many to each by rank, or by the bytes before
+    each, whichever needs fewer."""
+    rows = ranked(pieces.select("tie", F.col("length").alias("size"), F.lit(1).alias("step")), [], ["tie"])
+    rows = rows.select("tie", F.col("size").alias("length"), (F.col("n_before") + F.col("r") - 1).alias("rank"), (F.col("size_before") + (F.col("r") - 1) * F.col("size")).alias("start"))
+    each, width = capacity // longest, capacity - longest + 1
+    number = f"rank div {each}" if -(-count // each) <= -(-total // width) else f"start div {width}"
+    rows = rows.withColumn("seq", F.expr(number) + F.lit(base))
+    return in_order(rows, "rank").select("tie", "length", "seq", F.col("inside").alias("offset"))
+
+
+def pack_lengths(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """(tie, length, seq, offset) for all pieces (tie, length); ties are distinct and below 2**52."""
+    half = capacity // 2
+    done = [scratch.save(pieces.where(F.col("length") > half).select("tie", "length", F.col("tie").alias("seq"), F.lit(0).cast("long").alias("offset")), "placed-0", tidy=False)]
+    gaps = done[0].where(F.col("length") < capacity).select("seq", (F.lit(capacity) - F.col("length")).alias("gap"))
+    for k, (low, high) in enumerate(classes(capacity)):
+        if low >= half:
+            continue
+        left, turn = pieces.where((F.col("length") > low) & (F.col("length") <= high)), 0
+        while True:
+            at = left.agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most"), F.sum("length").alias("total")).first()
+            fit = gaps.where(F.col("gap") >= at.least) if at.n else None
+            sizes = sorted((r.gap, r["count"]) for r in fit.groupBy("gap").count().collect()) if at.n else []
+            if turn and sizes:  # only a gap that the last sweep changed may take a piece that this sweep left
+                changed = met.select("seq").distinct().join(fit, "seq", "left_semi").limit(1).count()  # noqa: F821
+                sizes = sizes if changed else []
+            if not sizes:
                 break
-        if left:
-            each = capacity // length
-            whole_ones, last = divmod(left, each)
-            for n, per in ((whole_ones, each), (1 if last else 0, last)):
-                if n:
-                    plan.append((length, rank, rank + n * per, opened, per, 0))
-                    moved.append((capacity - per * length, opened, n))
-                    rank, opened = rank + n * per, opened + n
-        for gap, first, n in moved:
-            if gap:
-                gaps[gap].append((first, n))
-    return plan
+            enough, most = at.n, sizes[-1][0]
+            for gap, n in sizes:  # gaps beyond those that best fit would take stay out of the sweep
+                enough -= n * (gap // at.most)
+                if enough <= 0:
+                    most = gap
+                    break
+            turn += 1
+            met = scratch.save(sweep(left, fit.where(F.col("gap") <= most), at.most), f"met-{k}-{turn}", tidy=False)
+            done.append(in_order(met, "tie").select("tie", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset")))
+            taken = met.groupBy("seq").agg(F.sum("length").alias("taken"))
+            gaps = gaps.join(taken, "seq", "left").select("seq", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0")
+            gaps = scratch.save(gaps, f"gaps-{k}-{turn}", tidy=False)
+            left = scratch.save(left.join(met.select("tie"), "tie", "left_anti"), f"left-{k}-{turn}", tidy=False)
+        if at.n:
+            new = scratch.save(opened(left, capacity, at.most, at.n, at.total, (k + 1) << 52), f"opened-{k}", tidy=False)
+            done.append(new)
+            rest = new.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
+            gaps = scratch.save(gaps.union(rest), f"gaps-{k}", tidy=False)
+    return reduce(DataFrame.union, done)
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = 1024, end_id: int = 2, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -134,22 +197,9 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str, capacity: i
     schema = base.select("row").schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("ids", "binary")):
         schema = schema.add(name, kind)
-    pieces = scratch.save(arrow(base, _pieces(json_path, ranks_path, capacity, end_id, with_ids), schema).withColumn("part", F.spark_partition_id()).withColumn("tie", F.monotonically_increasing_id()), "pieces")
-    counts = scratch.save(pieces.groupBy("part", "length").count(), "counts")
-    totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row per length
-    plan = spark.createDataFrame(best_fit_plan(totals, capacity), PLAN)
-    before = counts.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part", "length").orderBy("tie")) - 1
-    ranked = pieces.select("*", own.cast("long").alias("own")).join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("own"))
-    plan = F.broadcast(plan.withColumnRenamed("length", "plan_length"))
-    placed = ranked.join(plan, (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi")))
-    nth = F.col("rank") - F.col("rank_lo")
-    return placed.select(
-        "row", "piece", "start", "length", "ids_crc32",
-        (F.col("first_sequence") + F.expr("(rank - rank_lo) div per_sequence")).alias("sequence_id"),
-        (F.col("place") + F.pmod(nth, F.col("per_sequence").cast("long")) * F.col("length")).cast("long").alias("offset"),
-        "ids",
-    )
+    pieces = scratch.save(arrow(base, _pieces(json_path, ranks_path, capacity, end_id, with_ids), schema).withColumn("tie", F.monotonically_increasing_id()), "pieces")
+    places = pack_lengths(pieces.select("tie", "length"), capacity, scratch).select("tie", F.col("seq").alias("sequence_id"), "offset")
+    return pieces.join(places, "tie").select("row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
