@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import re
@@ -263,21 +264,67 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none, *paths).count() == 0
 
 
-def test_plan_equals_best_fit_decreasing():
-    rng = np.random.default_rng(2)
-    lengths = rng.integers(1, 100, 500)
-    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
-    plan = packing.best_fit_plan(counts, 100)
-    used = collections.Counter()
-    for length, lo, hi, first, per, _ in plan:
-        for r in range(hi - lo):
-            used[first + r // per] += length
+def best_fit_decreasing(lengths, capacity):
     gaps: list[int] = []
-    for length in sorted(lengths.tolist(), reverse=True):
-        fits = [g for g in gaps if g >= length]
-        if fits:
-            gaps.remove(min(fits))
-            gaps.append(min(fits) - length)
-        else:
-            gaps.append(100 - length)
-    assert max(used.values()) <= 100 and sum(used.values()) == lengths.sum() and len(used) == len(gaps)
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, length)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else capacity) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["even", "small", "exponential", "one length", "halves"])
+def test_packing_takes_as_few_sequences_as_best_fit_decreasing(spark, kind):
+    rng = np.random.default_rng(2)
+    lengths = {
+        "even": rng.integers(1, 257, 3000), "small": rng.integers(1, 30, 3000), "exponential": np.minimum(256, 1 + rng.exponential(40, 3000).astype(int)),
+        "one length": np.full(500, 60), "halves": rng.choice([128, 129, 127, 256, 1], 900),
+    }[kind].tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "tie long, length long").repartition(3)
+    got = packing.pack_lengths(pieces, 256, common.Scratch(spark, "test")).collect()
+    assert sorted((r.tie, r.length) for r in got) == list(enumerate(lengths))
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.seq].append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and sum(n for _, n in places) <= 256
+    assert len(by) <= best_fit_decreasing(lengths, 256) * 1.005 + 1
+
+
+def test_classes_cover_all_lengths():
+    for capacity in (7, 64, 256, 1024, 1000):
+        found = packing.classes(capacity)
+        assert found[0][1] == capacity and found[-1][0] == 0 and all(a[0] == b[1] for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize("top", [8, 1])
+def test_jaccard_large_lists(spark, monkeypatch, top):
+    """Lists of several chunks, a cluster wider than a star, documents that are mostly one shared passage."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", 16)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for i in range(120):
+        near = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            near[rng.randrange(len(near))] = f"e{rng.randrange(300)}"
+        rows.append((i, " ".join(near)))
+    rows += [(200 + i, " ".join([f"p{k}" for k in range(84)] + [f"u{i}x{k}" for k in range(16)])) for i in range(60)]
+    rows += [(300 + i, " ".join(f"c{k}" for k in range(3 * i, 3 * i + 100))) for i in range(40)]  # a chain
+    got = jaccard_join.jaccard_components(table(spark, rows), 90, 100, 1, top=top).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 90, 100, 1)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(1, 1 << 63, k, dtype=np.uint64)) for k in (3, 700, 5000, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(1, 1 << 63, 5, dtype=np.uint64)])) for s in sets]
+    with np.errstate(over="ignore"):
+        own = jaccard_join.Sketches(jaccard_join.sketches(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])))
+    i, j = np.meshgrid(np.arange(8), np.arange(8))
+    i, j = i.ravel(), j.ravel()
+    differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    got = jaccard_join.apart(own, i, own, j)
+    assert (got <= differ).all() and (got[differ == 0] == 0).all() and got[differ > 500].min() > 200
