@@ -14,6 +14,7 @@ from inkveil.functions.validators import accepted
 from inkveil.lexicon.patterns import EXCLUDED, LABELLED, STANDALONE, VALUE
 from inkveil.lexicon.words import CONTEXT, PHONE_LABELS
 from inkveil.operators.noise import Lexicon, firm_noise, person_noise, place_noise
+from inkveil.operators.prefilter import Prefilter
 
 WINDOW, BOOST, PHONE_PENALTY, MARGIN = 100, 0.25, 0.15, 0.20
 
@@ -75,9 +76,9 @@ _LABELLED = [(re.compile(p, _flag[f]), t, c, langs, VALUE in p) for t, c, langs,
 _EXCLUDED = [re.compile(p, _flag[f]) for f, p in EXCLUDED]
 _CONTEXT = {k: _keywords(v) for k, v in CONTEXT.items()}
 _PHONE_LABEL = _keywords(PHONE_LABELS)
-#: Types none of whose standalone patterns match a text without a digit.
-_NUMERIC, _DIGIT = frozenset({"SSN", "PHONE", "CREDIT_CARD", "IBAN", "DATE", "PASSPORT", "DRIVER_LICENSE"}), re.compile(r"\d")
 _ORG = [(p, c) for p, t, c, _ in _STANDALONE if t == "ORG"]
+_ALL = Prefilter([p for p, *_ in _STANDALONE] + [p for p, *_ in _LABELLED])
+_FIRMS = Prefilter([p for p, _ in _ORG])
 
 
 def boost(text: str, start: int, end: int, kind: str) -> float:
@@ -128,15 +129,15 @@ def detect_patterns(text: str, config: Config, language: str | None) -> list[Spa
     def wanted(kind: str, langs: frozenset[str] | None) -> bool:
         return (not config.allowed or kind in config.allowed) and (not language or langs is None or language in langs)
 
-    numbers = _DIGIT.search(text) is not None
-    for pattern, kind, base, langs in _STANDALONE:
-        if wanted(kind, langs) and (numbers or kind not in _NUMERIC) and (kind != "EMAIL" or "@" in text):
+    may = _ALL.may_match(text)
+    for (pattern, kind, base, langs), open_ in zip(_STANDALONE, may, strict=False):
+        if open_ and wanted(kind, langs) and (kind != "EMAIL" or "@" in text):
             for m in pattern.finditer(text):
                 if accepted(m[0], kind) and not excluded(text, *m.span()):
                     found.append(Span(*m.span(), m[0], kind, min(1.0, base + boost(text, *m.span(), kind))))
     colons = ":" in text
-    for pattern, kind, base, langs, colon in _LABELLED:
-        if wanted(kind, langs) and (colons or not colon):
+    for (pattern, kind, base, langs, colon), open_ in zip(_LABELLED, may[len(_STANDALONE) :], strict=True):
+        if open_ and wanted(kind, langs) and (colons or not colon):
             for m in pattern.finditer(text):
                 if m[1] and len(m[1].strip()) >= 3 and accepted(m[1], kind):
                     found.append(Span(*m.span(1), m[1], kind, min(1.0, base + boost(text, *m.span(1), kind))))
@@ -170,8 +171,8 @@ def cross_line_firms(text: str, words: int = 5) -> list[Span]:
         window = text[lo:hi]
         if len(window.split()) >= 2:
             flat = window.replace("\n", " ")
-            for pattern, base in _ORG:
-                for m in pattern.finditer(flat):
+            for (pattern, base), open_ in zip(_ORG, _FIRMS.may_match(flat), strict=True):
+                for m in pattern.finditer(flat) if open_ else ():
                     if m.start() < at - lo < m.end():
                         key = (lo + m.start(), lo + m.end())
                         found.setdefault(key, Span(*key, text[key[0] : key[1]], "ORG", base))
