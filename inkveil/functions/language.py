@@ -21,15 +21,24 @@ def sample_words(text: Column) -> Column:
 def language(text: Column) -> Column:
     """The language with the largest share of stop words; "en" for short texts and shares under a tenth.
 
-    Ties go to the language listed first. One pass over one array, inside the JVM."""
-    words = sample_words(text)
-    n = F.size(words)
-    hits = [F.size(F.filter(words, _in(stops))) for stops in STOP_WORDS.values()]
-    best = F.greatest(*hits)
-    found = F.lit(None).cast("string")
-    for code, h in reversed(list(zip(STOP_WORDS, hits, strict=True))):
-        found = F.when(h == best, F.lit(code)).otherwise(found)
-    return F.when((n < LEAST_WORDS) | (best / n < LEAST_SHARE), F.lit("en")).otherwise(found)
+    Ties go to the language listed first. The words, and then the hits, are bound as the variable of a
+    lambda, so each is computed once for a row however often it is used."""
+    codes = F.array(*(F.lit(code) for code in STOP_WORDS))
+
+    def best(words: Column, hits: Column) -> Column:
+        n, most = F.size(words), F.array_max(hits)
+        found = F.element_at(codes, F.array_position(hits, most).cast("int"))
+        return F.when((n < LEAST_WORDS) | (most / n < LEAST_SHARE), F.lit("en")).otherwise(found)
+
+    def counted(words: Column) -> Column:
+        hits = F.array(*(F.size(F.filter(words, _in(stops))) for stops in STOP_WORDS.values()))
+        return _once(hits, lambda h: best(words, h))
+
+    return _once(sample_words(text), counted)
+
+
+def _once(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
 
 
 def _in(stops: str):
@@ -44,7 +53,7 @@ def language_py(text: str) -> str:
         return "en"
     best, share = "en", 0.0
     for code, stops in _SETS.items():
-        now = sum(w in stops for w in words) / len(words)
+        now = sum(map(stops.__contains__, words)) / len(words)
         if now > share:
             best, share = code, now
     return best if share >= LEAST_SHARE else "en"
