@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.operators import spans
+from inkveil.operators.store import spread
 
 REGIONS = "doc_id string, page_number long, ord int, start int, end int, text string, pii_type string, confidence double, source string"
 _NAMES = [x.split()[0] for x in REGIONS.split(", ")]
@@ -35,16 +36,17 @@ def _patterns_only(text: str, config: spans.Config) -> list[spans.Span]:
 
 
 def detect(pages: DataFrame, config: spans.Config = spans.Config()) -> DataFrame:  # noqa: B008
-    """Regions of all pages (see REGIONS). Pages are independent, so nothing is shuffled.
+    """Regions of all pages (see REGIONS). Pages are independent: nothing is shuffled, but for pages in
+    fewer partitions than there are cores, which are dealt out first.
 
     Pages under the least length never reach Python."""
     rows = pages.where(F.length(F.trim("text")) >= config.min_chars) if config.min_chars else pages
-    return rows.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").mapInArrow(_kernel(config, spans.detect_page), REGIONS)
+    return spread(rows.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text")).mapInArrow(_kernel(config, spans.detect_page), REGIONS)
 
 
 def pattern_spans(pages: DataFrame, config: spans.Config = spans.Config()) -> DataFrame:  # noqa: B008
     """The pattern layer alone, after its sweep."""
-    return pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").mapInArrow(_kernel(config, _patterns_only), REGIONS)
+    return spread(pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text")).mapInArrow(_kernel(config, _patterns_only), REGIONS)
 
 
 def one_pattern(pages: DataFrame, pattern: str, kind: str) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkveil import queries_records
 from inkveil.functions import language, text, validators
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, WORD_EDGES
 from inkveil.operators import analytics, detect, document, layout, partial, search, vault
+from inkveil.operators.store import stored
 from inkveil.sources.tables import document_pages, load, strip_tags, web_pages
 from inkveil.streaming.limiter import rate_limited
 
@@ -233,15 +235,17 @@ def regex_sweep(spark, sf_dir):
 @query()
 def propagate_exact(spark, sf_dir):
     pages = document_pages(load(spark, sf_dir, "documents"))
-    return document.propagate(detect.detect(pages), pages)
+    return document.propagate(stored(detect.detect(pages)), pages)
 
 
 @query()
 def document_regions(spark, sf_dir):
-    """The whole document stage: detect, propagate values and parts of firms, drop contained, unify, sweep."""
+    """The whole document stage: detect, propagate values and parts of firms, drop contained, unify, sweep.
+
+    Each step reads the regions before it several times, so they are stored in between."""
     pages = document_pages(load(spark, sf_dir, "documents"))
-    found = partial.propagate_parts(document.propagate(detect.detect(pages), pages), pages)
-    found = document.drop_contained(found)
+    found = stored(document.propagate(stored(detect.detect(pages)), pages))
+    found = stored(document.drop_contained(stored(partial.propagate_parts(found, pages))))
     return document.final_sweep(document.unify_types(found))
 
 
@@ -309,15 +313,11 @@ def vault_list_page(spark, sf_dir):
     return analytics.page_of(rows, 2, 10, F.desc("page_number"), "original_text")
 
 
-@query(f"SELECT count(*) AS imported, CAST(count(*) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM {REGIONS_SQL} WHERE action = 'TOKENIZE' AND page_number % 2 = 1")
+@query(f"SELECT count(*) FILTER (WHERE page_number % 2 = 1) AS imported, count(*) FILTER (WHERE page_number % 2 = 0) AS skipped, CAST(0 AS BIGINT) AS errors FROM {REGIONS_SQL} WHERE action = 'TOKENIZE'")
 def vault_import_dedupe(spark, sf_dir):
+    """All tokens are offered to a vault that holds those of the even pages."""
     rows = _tokens(spark, sf_dir)[2]
-    odd = rows.where(F.unix_micros("created_at") / 1_000_000 % 2 == 1)
-    held = rows.where(F.unix_micros("created_at") / 1_000_000 % 2 == 0)
-    # The vault holds the even pages' tokens and gets the odd ones, which come a second time once they are in it.
-    fresh, first = vault.import_tokens(held, odd)
-    again = vault.import_tokens(held.unionByName(fresh), odd)[1]
-    return first.unionByName(again).agg(*[F.sum(c).alias(c) for c in ("imported", "skipped", "errors")])
+    return vault.import_tokens(rows.where(F.unix_micros("created_at") / 1_000_000 % 2 == 0), rows)[1]
 
 
 # Listings, audits, accounts.
@@ -398,7 +398,7 @@ def blacklist_exact(spark, sf_dir):
 @query()
 def partial_org(spark, sf_dir):
     pages = document_pages(load(spark, sf_dir, "documents"))
-    return partial.propagate_parts(detect.detect(pages), pages)
+    return partial.propagate_parts(stored(detect.detect(pages)), pages)
 
 
 @query()
@@ -423,3 +423,7 @@ def page_sizes(spark, sf_dir):
 @query("SELECT DISTINCT lower(text) AS key FROM " + REGIONS_SQL)
 def distinct_values(spark, sf_dir):
     return simple_regions(spark, sf_dir).select(document.value_key(F.col("text")).alias("key")).distinct()
+
+
+QUERIES |= queries_records.QUERIES
+ORACLES |= queries_records.ORACLES

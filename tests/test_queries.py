@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from inkveil import queries_records
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ["email_spans", "lang_detect", "context_boost_phone", "luhn_check", "nif_check", "iban_mod97", "valid_date", "context_snippet", "unify_types", "containment_dedupe", "redact_remove", "detokenize_roundtrip", "vault_stats", "docs_protected", "audit_topk_texts", "latest_active", "rate_window_counts", "blacklist_exact"]
+CHEAP = ["email_spans", "lang_detect", "context_boost_phone", "luhn_check", "nif_check", "iban_mod97", "valid_date", "context_snippet", "unify_types", "containment_dedupe", "redact_remove", "detokenize_roundtrip", "vault_stats", "docs_protected", "audit_topk_texts", "latest_active", "rate_window_counts", "blacklist_exact", "vault_import_dedupe", *queries_records.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
