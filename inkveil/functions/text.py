@@ -38,12 +38,34 @@ def strip_accents(text: pd.Series) -> pd.Series:
     return text.map(strip_accents_py, na_action="ignore")
 
 
+def remove_accents_py(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def remove_accents(text: pd.Series) -> pd.Series:
-    def one(t: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    return text.map(remove_accents_py, na_action="ignore")
+
+
+# Letters that stand for others where a PDF's encoding was lost.
+PDF_WRONG, PDF_RIGHT = "ÚúÞþÔŒ", "ééèèôœ"
+
 
-    return text.map(one, na_action="ignore")
+def repair_pdf(text: Column) -> Column:
+    """Letters put right that a PDF without a proper encoding gives wrongly."""
+    return F.translate(text, PDF_WRONG, PDF_RIGHT)
+
+
+def repair_pdf_py(text: str) -> str:
+    return text.translate(str.maketrans(PDF_WRONG, PDF_RIGHT))
+
+
+def mojibake_py(text: str) -> str:
+    """UTF-8 that was read as Latin-1, read again where that is valid."""
+    try:
+        return text.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return text
 
 
 _PLAIN = str.maketrans(APOSTROPHES + DASHES, "'" * len(APOSTROPHES) + "-" * len(DASHES))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from inkveil.functions.text import strip_accents_py
@@ -17,13 +18,14 @@ _MARKS = frozenset("-–—/.")
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Word sets of a deployment; stem: word -> stems (none by default)."""
+    """Word sets of a deployment; stems: word -> its stems, if there are stemmers."""
 
     common: frozenset[str] = frozenset()
     german: frozenset[str] = frozenset()
     places: frozenset[str] = frozenset()
     persons: frozenset[str] = frozenset()
     short_names: frozenset[str] = frozenset()
+    stems: Callable[[str], Iterable[str]] | None = None
 
     def knows(self, word: str) -> bool:
         """Whether a word is common vocabulary, with or without its accents; bare punctuation counts as such."""
@@ -95,8 +97,3 @@ def person_noise(text: str, lexicon: Lexicon = Lexicon()) -> bool:  # noqa: B008
     if first in ARTICLES and (" ".join(words[1:]).lower() in lexicon.persons or (len(words) == 2 and lexicon.knows(words[1]))):
         return True
     return clean == low or words[0][0].islower()
-
-
-def firm_noise(text: str) -> bool:
-    """A firm name of more than twelve words is a sentence."""
-    return len(text.split()) > 12

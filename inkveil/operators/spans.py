@@ -13,7 +13,8 @@ from inkveil.functions.language import language_py
 from inkveil.functions.validators import accepted
 from inkveil.lexicon.patterns import EXCLUDED, LABELLED, STANDALONE, VALUE
 from inkveil.lexicon.words import CONTEXT, PHONE_LABELS
-from inkveil.operators.noise import Lexicon, firm_noise, person_noise, place_noise
+from inkveil.operators.firms import firm_noise
+from inkveil.operators.noise import Lexicon, person_noise, place_noise
 from inkveil.operators.prefilter import Prefilter
 
 WINDOW, BOOST, PHONE_PENALTY, MARGIN = 100, 0.25, 0.15, 0.20
@@ -354,7 +355,7 @@ def is_noise(c: Candidate, lexicon: Lexicon = Lexicon()) -> bool:  # noqa: B008
         return True
     if c.kind in ("ORG", "PERSON") and sum(x.isalpha() for x in t) < 3:
         return True
-    if c.kind == "ORG" and not c.emphasis and firm_noise(c.text) or c.kind == "LOCATION" and place_noise(c.text, lexicon) or c.kind == "PERSON" and person_noise(c.text, lexicon):
+    if c.kind == "ORG" and not c.emphasis and firm_noise(c.text, lexicon) or c.kind == "LOCATION" and place_noise(c.text, lexicon) or c.kind == "PERSON" and person_noise(c.text, lexicon):
         return True
     if c.kind == "PERSON" and c.source in ("NER", "GLINER") and c.start <= 5 and len(c.text.split()) >= 2:
         return True

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from inkveil.operators.noise import Lexicon, firm_noise, person_noise, place_noise
+from inkveil.operators.firms import RULES, firm_noise
+from inkveil.operators.noise import Lexicon, person_noise, place_noise
 
 WORDS = Lexicon(common=frozenset("province territoire emplacement outre mer compagnie".split()), german=frozenset("haupt mieter vertrag arbeits miete".split()), short_names=frozenset({"max"}))
 
@@ -22,5 +23,23 @@ def test_german_compounds(word, yes):
     assert WORDS.compound(word) is yes
 
 
-def test_long_firms():
-    assert firm_noise("a " * 13) and not firm_noise("Acme Inc")
+FIRMS = Lexicon(common=frozenset("the department annex international of déboursés exhaustivité sous jacentes répartis".split()), german=frozenset("haupt mieter vertrag".split()), stems=lambda w: {w.removesuffix("s")})
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: r.name)
+def test_each_rule_catches_its_example(rule):
+    assert firm_noise(rule.example, FIRMS) == rule.name
+
+
+@pytest.mark.parametrize("text", ["Acme Inc.", "Apple", "12345 Widget Works Inc.", "Desjardins Group", "Müller & Söhne GmbH", "SOCIÉTÉ GÉNÉRALE SE", "Xyzzy Department", "SOCIÉTÉ GÉNÉRALE XYZZY"])
+def test_firms_stay(text):
+    assert firm_noise(text, FIRMS) is None
+
+
+@pytest.mark.parametrize("text", ["", "  ", "International", "the department", "Déboursés", "DÃ©boursÃ©s", "Exhaustivite", "l'exhaustivité", "sous-jacentes", "Hauptmieter", "Annexs", "annex."])
+def test_forms_of_common_words(text):
+    assert firm_noise(text, FIRMS)
+
+
+def test_without_dictionaries_only_shape_counts():
+    assert firm_noise("International") is None and firm_noise("a " * 13) == "a sentence" and firm_noise("Fonds pour Alpha") == "for a purpose"
