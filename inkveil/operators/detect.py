@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.operators import spans
+from inkveil.operators.prefilter import Prefilter
 from inkveil.operators.store import spread
 
 REGIONS = "doc_id string, page_number long, ord int, start int, end int, text string, pii_type string, confidence double, source string"
@@ -49,6 +51,24 @@ def pattern_spans(pages: DataFrame, config: spans.Config = spans.Config()) -> Da
     return spread(pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text")).mapInArrow(_kernel(config, _patterns_only), REGIONS)
 
 
+def count_matches(rows: DataFrame, patterns: dict[int, str]) -> DataFrame:
+    """doc_id, pattern, n: how often each pattern that matches a text does; those that cannot are not tried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {k: re.compile(p) for k, p in patterns.items()}
+        filter_ = Prefilter(list(compiled.values()))
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                may = filter_.may_match(text or "")
+                out += [(doc, k, n) for (k, p), open_ in zip(compiled.items(), may, strict=True) if open_ and (n := sum(1 for _ in p.finditer(text or "")))]
+            if out:
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc_id", "pattern", "n"])
+
+    return spread(rows.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, pattern int, n long")
+
+
 def one_pattern(pages: DataFrame, pattern: str, kind: str) -> DataFrame:
     """All matches of one pattern with code-point offsets, by column functions only.
 

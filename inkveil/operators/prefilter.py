@@ -142,7 +142,7 @@ class Prefilter:
         self.tails = {k: t for k, p in enumerate(patterns) if k in self.free and (t := tail(p))}
 
     def may_match(self, text: str) -> list[bool]:
-        found = {who for _, who in self.automaton.iter(fold(text))}
+        found = {who for _, who in self.automaton.iter(fold(text))} if len(self.automaton) else ()
         open_ = self.free.union(*found)
         digit = _DIGIT.search(text) is not None
         return [k in open_ and (digit or not n.digit) and (k not in self.tails or self.tails[k].search(text) is not None) for k, n in enumerate(self.needs)]

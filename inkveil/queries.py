@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil import queries_records
 from inkveil.functions import language, text, validators
+from inkveil.lexicon.patterns import STANDALONE
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, WORD_EDGES
 from inkveil.operators import analytics, detect, document, layout, partial, search, vault
 from inkveil.operators.store import stored
@@ -210,6 +211,23 @@ def legal_suffix(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", document.legal_suffix(F.col("c_name")).alias("legal"))
 
 
+# The catalog.
+
+#: Patterns of the catalog that both engines read alike: numbered, without look-around.
+SHARED = {k: (kind, pattern) for k, (kind, _, _, flag, pattern) in enumerate(STANDALONE) if not flag and kind in ("EMAIL", "SSN", "PHONE", "CREDIT_CARD", "IBAN", "DATE", "IP_ADDRESS", "DRIVER_LICENSE") and "(?!" not in pattern and "(?<" not in pattern}
+
+
+def _matches_sql(k: int, kind: str, pattern: str) -> str:
+    return f"SELECT doc_id, {k} AS pattern, '{kind}' AS pii_type, CAST(len(regexp_extract_all(text, '{pattern}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{pattern}')"
+
+
+@query(" UNION ALL ".join(_matches_sql(k, *p) for k, p in SHARED.items()))
+def catalog_matches(spark, sf_dir):
+    """How often each pattern of the catalog matches in each document, by the detector's own filter and patterns."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return detect.count_matches(docs, {k: p for k, (_, p) in SHARED.items()}).select("doc_id", "pattern", F.element_at(F.create_map(*[F.lit(x) for k, (kind, _) in SHARED.items() for x in (k, kind)]), F.col("pattern")).alias("pii_type"), "n")
+
+
 # Detection and what follows it.
 
 
@@ -382,7 +400,14 @@ def rate_window_counts(spark, sf_dir):
     return load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.count("*").over(w).alias("hits"))
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+  s AS (SELECT event_id, user_id, k, true AS allowed, [us] AS hits FROM e WHERE k = 1 UNION ALL
+    SELECT event_id, user_id, k, len(held) < 3 AS allowed, CASE WHEN len(held) < 3 THEN list_append(held, us) ELSE held END AS hits FROM
+      (SELECT e.event_id, e.user_id, e.k, e.us, list_filter(s.hits, lambda h: h >= e.us - 60000000) AS held FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+  SELECT event_id, user_id, allowed FROM s"""
+
+
+@query(_LIMITED)
 def rate_limit_hits(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return rate_limited(e, 3, 60.0).select("event_id", "user_id", "allowed")

@@ -39,3 +39,8 @@ def test_filter_hides_no_match():
         assert not [p.pattern for p, m in zip(patterns, may, strict=True) if not m and p.search(text)]
         tried += sum(may)
     assert tried < 0.4 * len(texts) * len(patterns)
+
+
+def test_patterns_without_literals():
+    own = prefilter.Prefilter([re.compile(r"\d+"), re.compile(r"[a-z]+")])
+    assert own.may_match("abc") == [False, True] and prefilter.Prefilter([]).may_match("abc") == []
