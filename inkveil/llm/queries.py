@@ -21,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.op10,
 }
 
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7}
+#: What SQL can express of op3 and op5, by the same operators.
+QUERIES |= {"shards_by_bytes": sharding.shards_by_bytes, "secret_counts": secrets.secret_counts}
+
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7, "shards_by_bytes": sharding.ORACLE_SHARDS, "secret_counts": secrets.ORACLE_COUNTS}

@@ -102,3 +102,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Scratch(spark, "secrets").path("ledger")
     out = scan_secrets(load(spark, sf_dir, "documents"), ledger, carry=["doc_id"])
     return out.select("row.doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5, which SQL can express."""
+    return op5(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+ORACLE_COUNTS = """
+SELECT doc_id,
+CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6)) AS BIGINT) AS n_assign,
+CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS BIGINT) AS n_access,
+CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS BIGINT) AS n_hex FROM documents
+"""

@@ -62,3 +62,16 @@ def balanced_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(load(spark, sf_dir, "documents"), 40)
 
+
+
+def shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 without the checksum, which SQL lacks."""
+    return op3(spark, sf_dir).select("doc_id", "size", "law", "shard", "slot")
+
+
+ORACLE_SHARDS = """
+WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM d),
+p AS (SELECT *, CAST(least(((before * 2 + size) * 40) // (total * 2), 39) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot FROM p
+"""
