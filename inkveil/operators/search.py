@@ -6,40 +6,139 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
 from inkveil.lexicon.words import TOKEN_LETTERS
 from inkveil.operators.spans import Span
+from inkveil.operators.store import spread
 
 _SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
 
 
-def find_term(term: str, text: str, fuzziness: float = 1.0) -> list[tuple[int, int]]:
-    """All places of a term, whatever its case, accents, quotes and white space; below a fuzziness of 0.98
-    with up to one edit, or that share of its length, if more."""
-    plain = strip_accents_py(text).translate(_SPACES)
-    key = " ".join(strip_accents_py(term).translate(_SPACES).lower().split())
-    if not key:
-        return []
-    found = [m.span() for m in flex_pattern(key).finditer(plain)]
-    if fuzziness >= 0.98:
+def _lower(text: str) -> str:
+    """Lower case, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def edit_costs(key: np.ndarray, text: np.ndarray, anywhere: bool) -> np.ndarray:
+    """For each end in text the least edits from key to a part of text that ends there, starting anywhere or at 0."""
+    steps = np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, np.int64) if anywhere else steps.copy()
+    for i, c in enumerate(key):
+        new = np.empty_like(cost)
+        new[0] = i + 1
+        new[1:] = np.minimum(cost[1:] + 1, cost[:-1] + (text != c))
+        cost = np.minimum.accumulate(new - steps) + steps
+    return cost
+
+
+def best_place(key: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int] | None:
+    """The part of text with the fewest edits from key, `edits` at most: the first such end, then the longest part."""
+    cost = edit_costs(key, text, True)
+    end = int(cost.argmin())
+    if cost[end] > edits:
+        return None
+    back = edit_costs(key[::-1], text[:end][::-1], False)
+    length = int(np.flatnonzero(back == back.min())[-1])
+    return (end - length, end) if length else None
+
+
+class TermFinder:
+    """Places of many terms in a text, whatever their case, accents, quotes and white space; below a fuzziness
+    of 0.98 also places with up to one edit, or that share of a term's length, if more.
+
+    One automaton looks for a seed of every term: its longest word, and, for misspelled places, its edits + 1
+    parts, one of which stands unchanged in any place with so few edits. Only around seeds is a term compared."""
+
+    def __init__(self, terms: list[tuple[int, str]], fuzziness: float = 1.0):
+        self.fuzzy, self.terms = fuzziness < 0.98, []
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for i, term in terms:
+            key = " ".join(_lower(strip_accents_py(term)).translate(_SPACES).split())
+            if not key:
+                continue
+            edits = max(1, round(len(key) * (1 - fuzziness))) if self.fuzzy else 0
+            k = len(self.terms)
+            self.terms.append((i, key, flex_pattern(key), _codes(key), edits))
+            seeds.setdefault(max(key.split(" "), key=len), []).append((k, -1))
+            if self.fuzzy and len(key) > edits:
+                cuts = [len(key) * j // (edits + 1) for j in range(edits + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    seeds.setdefault(key[a:b], []).append((k, a))
+        self.automaton = ahocorasick.Automaton()
+        for seed, who in seeds.items():
+            self.automaton.add_word(seed, (len(seed), who))
+        self.automaton.make_automaton()
+        self.tiny = [k for k, t in enumerate(self.terms) if self.fuzzy and len(t[1]) <= t[4]]
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(term id, number of the place, start, end), terms in order, places from left to right."""
+        plain = strip_accents_py(text).translate(_SPACES)
+        low = _lower(plain)
+        exact: set[int] = set()
+        near: dict[int, list[int]] = {k: [0] for k in self.tiny}
+        for end, (n, who) in self.automaton.iter(low) if len(self.automaton) else ():
+            for k, offset in who:
+                if offset < 0:
+                    exact.add(k)
+                else:
+                    near.setdefault(k, []).append(end + 1 - n - offset)
+        out, codes = [], None
+        for k in sorted(exact | near.keys()):
+            i, key, pattern, coded, edits = self.terms[k]
+            found = [m.span() for m in pattern.finditer(plain)] if k in exact else []
+            if k in near:
+                codes = _codes(low) if codes is None else codes
+                whole = [(0, len(low))] if k in self.tiny else _windows(near[k], len(key), edits, len(low))
+                found = self._misspelled(found, whole, coded, codes, edits)
+            out += [(i, j, a, b) for j, (a, b) in enumerate(sorted(found))]
+        return out
+
+    @staticmethod
+    def _misspelled(found: list[tuple[int, int]], windows: list[tuple[int, int]], key: np.ndarray, text: np.ndarray, edits: int) -> list[tuple[int, int]]:
+        """found, and the best place of each gap between them, again and again, within the windows."""
+        found = list(found)
+        gaps = []
+        for lo, hi in windows:
+            inside = sorted((a, b) for a, b in found if a < hi and b > lo)
+            gaps += zip([lo, *(b for _, b in inside)], [*(a for a, _ in inside), hi], strict=True)
+        while gaps:
+            lo, hi = gaps.pop()
+            place = best_place(key, text[lo:hi], edits) if lo < hi else None
+            if place:
+                a, b = lo + place[0], lo + place[1]
+                found.append((a, b))
+                gaps += [(lo, a), (b, hi)]
         return found
-    edits = max(1, round(len(key) * (1 - fuzziness)))
-    pattern = regex.compile(rf"(?bi)(?:{regex.escape(key, literal_spaces=True)}){{e<={edits}}}")
-    # The best match of a gap comes first, wherever it stands; what lies before and after it is searched again.
-    gaps = list(zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(plain)], strict=True))
-    while gaps:
-        lo, hi = gaps.pop()
-        m = pattern.search(plain, lo, hi) if lo < hi else None
-        if m and m.end() > m.start():
-            found.append(m.span())
-            gaps += [(lo, m.start()), (m.end(), hi)]
-    return sorted(found)
+
+
+def _windows(starts: list[int], length: int, edits: int, n: int) -> list[tuple[int, int]]:
+    """Where places may lie that start about there, merged where they meet."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        lo, hi = max(0, s - edits), min(n, s + length + edits)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def find_term(term: str, text: str, fuzziness: float = 1.0) -> list[tuple[int, int]]:
+    """All places of one term (see TermFinder)."""
+    return [(a, b) for _, _, a, b in TermFinder([(0, term)], fuzziness).find(text)]
 
 
 def fuzzy_find(needle: str, text: str, threshold: float = 0.75) -> int | None:
@@ -101,10 +200,30 @@ def dedupe_chunks(spans: list[Span]) -> list[Span]:
 
 
 FOUND = "term_id long, doc_id string, page_number long, ord int, start int, end int, text string"
+#: Characters of a list of terms that one kernel takes; longer lists are searched in several passes.
+LIST_CHARS = 8_000_000
+
+
+def lots(terms: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    """A list of terms in parts of LIST_CHARS or one term."""
+    out: list[list[tuple[int, str]]] = []
+    held = LIST_CHARS
+    for i, t in terms:
+        if held + len(t) > LIST_CHARS:
+            out.append([])
+            held = 0
+        out[-1].append((i, t))
+        held += len(t)
+    return out
+
+
+def _in_lots(rows: DataFrame, terms: list[tuple[int, str]], kernel, schema: str) -> DataFrame:
+    parts = [rows.mapInArrow(kernel(lot), schema) for lot in lots(terms)]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
 def search_terms(pages: DataFrame, terms: list[tuple[int, str]], fuzziness: float = 1.0) -> DataFrame:
-    """All places of a user's list of terms on all pages; the list travels with the kernel.
+    """All places of a user's list of terms on all pages; the list travels with the kernel, in parts.
 
     Terms that differ only in case or white space are searched once, under the first id."""
     seen: dict[str, tuple[int, str]] = {}
@@ -112,14 +231,46 @@ def search_terms(pages: DataFrame, terms: list[tuple[int, str]], fuzziness: floa
         if t and t.strip():
             seen.setdefault(" ".join(t.lower().split()), (i, t))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        for batch in batches:
-            rows = [(i, doc, page, k, a, b, text[a:b]) for doc, page, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "text")), strict=True) for i, t in seen.values() for k, (a, b) in enumerate(find_term(t, text or "", fuzziness))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+    def kernel(lot: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            finder = TermFinder(lot, fuzziness)
+            for batch in batches:
+                rows = [(i, doc, page, k, a, b, text[a:b]) for doc, page, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "text")), strict=True) if text for i, k, a, b in finder.find(text)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+        return run
+
+    rows = spread(pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text"))
+    return _in_lots(rows, list(seen.values()), kernel, FOUND)
+
+
+def containing(rows: DataFrame, terms: list[tuple[int, str]], id_col: str, text_col: str = "text") -> DataFrame:
+    """(term_id, row_id) of rows whose text holds a term as it is, once each. Empty terms stand in every text
+    that is not null; null texts hold nothing. One automaton for all terms of a part of the list."""
+    def kernel(lot: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            owners: dict[str, list[int]] = {}
+            for i, t in lot:
+                owners.setdefault(t, []).append(i)
+            found = ahocorasick.Automaton()
+            for t, who in owners.items():
+                if t:
+                    found.add_word(t, who)
+            found.make_automaton()
+            for batch in batches:
+                out = []
+                for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    hits = {i for _, who in found.iter(text) for i in who} if text and len(found) else set()
+                    out += [(i, row) for i in hits.union(i for i, t in lot if not t and text is not None)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["term_id", "row_id"])
+
+        return run
 
-    return pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").mapInArrow(run, FOUND)
+    base = spread(rows.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")))
+    return _in_lots(base, terms, kernel, "term_id long, row_id long")
 
 
 def split_sizes(sizes: list[int], budget: int) -> list[tuple[int, int]]:

@@ -415,9 +415,13 @@ def rate_limit_hits(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def blacklist_exact(spark, sf_dir):
-    terms = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(terms), F.contains("text", "term")).select("item_id", "doc_id")  # terms are a user's list
+    found = search.containing(load(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id")
+    return found.select(F.col("term_id").alias("item_id"), F.col("row_id").alias("doc_id"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    """The passages of the benchmark stand for a user's list of terms."""
+    return [(r.item_id, r.text) for r in load(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
 
 
 @query()
@@ -434,10 +438,8 @@ def layout_regions(spark, sf_dir):
 
 @query()
 def blacklist_fuzzy(spark, sf_dir):
-    """The first words of each benchmark passage, searched with a tolerance for spelling."""
-    items = load(spark, sf_dir, "benchmark").orderBy("item_id").limit(10)  # a user's short list
-    terms = [(r.item_id, " ".join(r.text.split()[:3])) for r in items.collect()]
-    return search.search_terms(document_pages(load(spark, sf_dir, "documents")), terms, 0.9)
+    """All benchmark passages, whole, searched with a tolerance for spelling."""
+    return search.search_terms(document_pages(load(spark, sf_dir, "documents")), _terms(spark, sf_dir), 0.9)
 
 
 @query("SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")

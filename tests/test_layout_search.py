@@ -91,3 +91,44 @@ def test_search_over_tables(spark):
     pages = spark.createDataFrame([("d", 1, "Acme and ACME"), ("e", 2, None)], "doc_id string, page_number long, text string")
     rows = search.search_terms(pages, [(1, "acme"), (2, "ACME "), (3, "")]).orderBy("ord").collect()
     assert [(r.term_id, r.start) for r in rows] == [(1, 0), (1, 9)]
+
+
+def plain_edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_seeds_miss_no_misspelled_place():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(150):
+        term = "".join(rng.choice("abcd ") for _ in range(rng.randrange(4, 14))).strip() or "abcd"
+        key = " ".join(term.split())
+        edits = max(1, round(len(key) * 0.2))
+        bad = list(key)
+        for _ in range(rng.randrange(edits + 1)):
+            bad[rng.randrange(len(bad))] = rng.choice("abcdxyz")
+        text = "".join(rng.choice("efgh ") for _ in range(20)) + "".join(bad) + "".join(rng.choice("efgh ") for _ in range(20))
+        got = search.find_term(term, text, 0.8)
+        assert got and all(plain_edits(key, text[a:b]) <= edits for a, b in got)
+        assert all(b <= c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+        assert min(plain_edits(key, text[a:b]) for a, b in got) <= plain_edits(key, "".join(bad))
+
+
+def test_long_passages_with_errors_and_lists_in_parts(spark, monkeypatch):
+    passage = "The quick brown fox jumps over the lazy dog and then it runs across the wide green field towards home."
+    broken = passage.replace("quick", "quikc").replace("lazy", "lzy").replace("field", "fiield").upper()
+    pages = spark.createDataFrame([("d", 1, f"x {broken} y"), ("d", 2, passage), ("e", 1, "nothing"), ("e", 2, None)], "doc_id string, page_number int, text string")
+    monkeypatch.setattr(search, "LIST_CHARS", 50)
+    rows = search.search_terms(pages, [(7, passage), (8, "nothing"), (9, "")], 0.9).collect()
+    assert sorted((r.term_id, r.doc_id, r.page_number) for r in rows) == [(7, "d", 1), (7, "d", 2), (8, "e", 1)]
+    docs = spark.createDataFrame([(1, "abcabc"), (2, "bc"), (3, None), (4, "")], "n long, t string")
+    got = search.containing(docs, [(1, "abc"), (2, "bc"), (3, ""), (4, "bc")], "n", "t").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2)]
+    assert search.containing(docs, [], "n", "t").count() == 0
