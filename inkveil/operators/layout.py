@@ -213,13 +213,33 @@ BOXES = "doc_id string, page_number long, ord int, part int, linked_group string
 _NAMES = [x.split()[0] for x in BOXES.split(", ")]
 
 
-def page_boxes(words: list[Word], config, max_height: float = 28.0) -> list[tuple]:
-    """Detected spans of a page with their boxes: cut to coherent runs, one box a line, grouped, not overlapping."""
-    from inkveil.operators.spans import detect_page
+def page_spans(words: list[Word], config, width: float) -> tuple[str, list[Offset], list]:
+    """The page's text, the places of its words, and the spans found in it: in the text column by column, then
+    taken back to the page's text."""
+    from inkveil.operators.columns import reading_text, translate
+    from inkveil.operators.spans import Span, detect_page
 
     text, offsets = page_text(words)
+    read, places = reading_text(text, offsets, width)
+    found = []
+    for c in detect_page(read, config):
+        at = translate(Span(c.start, c.end, c.text, c.kind, c.confidence), places, text)
+        if at:
+            c.start, c.end, c.text = at.start, at.end, at.text
+            found.append(c)
+    return text, offsets, found
+
+
+def page_boxes(words: list[Word], config, max_height: float = 28.0, width: float = 612.0, height: float = 792.0) -> list[tuple]:
+    """Detected spans of a page with their boxes: read by column, cut to coherent runs, one box a line, grouped,
+    in shape (shapes.enforce), not overlapping. A page reaches as far as its words do, `width` and `height` at least."""
+    from inkveil.operators.shapes import Region, enforce
+    from inkveil.operators.spans import detect_page
+
+    width, height = max([width, *(w.x1 for w in words)]), max([height, *(w.y1 for w in words)])
+    text, offsets, spans = page_spans(words, config, width)
     found = []
-    for ord_, c in enumerate(detect_page(text, config)):
+    for ord_, c in enumerate(spans):
         start, end = coherent(c.start, c.end, c.kind, offsets)
         boxes = [b for b in line_boxes(start, end, offsets) if b.y1 - b.y0 < max_height]
         most = MAX_LINES.get(c.kind, 1)
@@ -229,7 +249,18 @@ def page_boxes(words: list[Word], config, max_height: float = 28.0) -> list[tupl
                 found.append((ord_, shared, boxes[i], start, end, text[start:end], c.kind, c.confidence, c.source))
     linked = [(f[3], f[4]) for f in found if f[1]]
     found = [f for f in found if not (f[6] == "ORG" and f[1] is None and any(a <= f[3] and f[4] <= b for a, b in linked))]
-    return [(found[i][0], k, found[i][1], *b, *found[i][3:]) for k, (i, b) in enumerate(resolve_overlaps([(f[2], f[7]) for f in found]))]
+
+    def again(chunk: str) -> tuple[str, float, str] | None:
+        best = max(detect_page(chunk, config), key=lambda c: c.confidence, default=None)
+        return (best.kind, best.confidence, best.source) if best else None
+
+    shaped = []
+    for f in found:  # boxes of one group are one region in several lines: its lines are no gaps
+        if f[1]:
+            shaped.append((*f[:2], clamp(f[2], width, height), *f[3:]))
+        else:
+            shaped += [(f[0], None, r.box, r.start, r.end, r.text, r.kind, r.confidence, r.source) for r in enforce([Region(f[2], *f[3:])], text, width, height, offsets, again, config.threshold)]
+    return [(shaped[i][0], k, shaped[i][1], *b, *shaped[i][3:]) for k, (i, b) in enumerate(resolve_overlaps([(f[2], f[7]) for f in shaped]))]
 
 
 def place(pages: DataFrame, config=None) -> DataFrame:
