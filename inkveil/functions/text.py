@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,9 +34,17 @@ def strip_accents_py(text: str) -> str:
     return "".join(_LATIN.get(ord(c)) or base_letter(c) for c in text)
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    return text.map(strip_accents_py, na_action="ignore")
+@cache
+def accented() -> tuple[str, str]:
+    """All characters that base_letter changes, and what it makes of them."""
+    changed = {c: base_letter(c) for c in (*SPECIAL, *(chr(i) for i in (*range(0xC0, 0x20000), *range(0x2F800, 0x2FA20)) if unicodedata.decomposition(chr(i))))}
+    changed = {c: b for c, b in changed.items() if c != b}
+    return "".join(changed), "".join(changed.values())
+
+
+def strip_accents(text: Column | str) -> Column:
+    """strip_accents_py as a column function: characters one by one, so lengths stay."""
+    return F.translate(text, *accented())
 
 
 def remove_accents_py(text: str) -> str:

@@ -49,3 +49,11 @@ def test_language_column_equals_kernel(spark):
 def test_snippet_and_collapse(spark):
     row = spark.createDataFrame([("x" * 60 + "NAME" + "y" * 60,)], "t string").select(text.context_snippet(F.col("t"), F.lit(60), F.lit(64)).alias("s"), text.ws_collapse(F.lit(" a \n b ")).alias("w")).first()
     assert row.s == "..." + "x" * 50 + "NAME" + "y" * 50 + "..." and row.w == "a b"
+
+
+def test_accents_fall_alike_in_columns_and_in_python(spark):
+    every = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    assert {c for c in every if text.strip_accents_py(c) != c} == set(text.accented()[0])
+    rows = ["Ünïcödé ÆŒßþ", "한국어 Ελληνικά ὠδή", "\U0002F80F a\u0301", "", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", text.strip_accents("t").alias("p")).collect()
+    assert {r.k: r.p for r in got} == {k: None if t is None else text.strip_accents_py(t) for k, t in enumerate(rows)}
