@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from inkveil import queries_records
 from inkveil.functions import language, text, validators
 from inkveil.lexicon.patterns import STANDALONE
-from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, WORD_EDGES
+from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, TOKEN_LETTERS, WORD_EDGES
 from inkveil.operators import analytics, detect, document, layout, partial, search, vault
 from inkveil.operators.store import stored
 from inkveil.sources.tables import document_pages, load, strip_tags, web_pages
-from inkveil.streaming.limiter import rate_limited
+from inkveil.streaming.limiter import rate_limited, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,6 +312,15 @@ def tokenize(spark, sf_dir):
     return vault.redact(pages, regions)
 
 
+_LETTER = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOKEN_LETTERS.items()) + " ELSE 'U' END"
+
+
+@query(f"""WITH r AS (SELECT *, {_LETTER} AS letter FROM {REGIONS_SQL} WHERE action = 'TOKENIZE'), n AS (SELECT *, row_number() OVER (PARTITION BY letter ORDER BY doc_id, page_number, start, "end", ord) - 1 AS rank FROM r)
+SELECT page_number, pii_type, ord, CASE WHEN rank < {vault.SPACE} THEN '[' || letter || lpad(CAST((rank * {vault.STEP} + {vault.SHIFT}) % {vault.SPACE} AS VARCHAR), 5, '0') || ']' ELSE '[ANON_' || letter || '_' || lpad(hex(rank - {vault.SPACE}), 12, '0') || ']' END AS token_string FROM n""")
+def minted_tokens(spark, sf_dir):
+    return vault.mint_tokens(simple_regions(spark, sf_dir)).select("page_number", "pii_type", "ord", "token_string")
+
+
 @query("SELECT source AS doc_id, doc_id AS page_number, coalesce(text, '') AS text FROM documents")
 def detokenize_roundtrip(spark, sf_dir):
     pages, regions, rows = _tokens(spark, sf_dir)
@@ -396,8 +405,9 @@ def admin_stats(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS hits FROM events")
 def rate_window_counts(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)
-    return load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", F.count("*").over(w).alias("hits"))
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("user_id", "run").orderBy("us").rangeBetween(-60_000_000, 0)
+    return runs(e, "user_id", "us", 60.0).select("event_id", F.count("*").over(w).alias("hits"))
 
 
 _LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,23 +30,49 @@ class Limiter:
         return True
 
 
+#: Events of a key are ordered by stretches of so many windows.
+STRETCH = 1000
+
+
+def runs(events: DataFrame, key: str, us: str, seconds: float) -> DataFrame:
+    """Events with `run`: events of a key that a pause longer than the window parts are in different runs, and
+    no hit of one run counts in another, so a hot key's events need not meet in one task.
+
+    A run is named by its first time. Gaps are looked for within stretches of time; what came before a
+    stretch is known from one row for each stretch."""
+    window = int(seconds * 1_000_000)
+    rows = events.withColumn("__c", F.floor(F.col(us) / F.lit(window * STRETCH)))
+    inside = Window.partitionBy(key, "__c").orderBy(us)
+    before = Window.partitionBy(key).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "__c").agg(F.max(us).alias("__last")).select(key, "__c", F.max("__last").over(before).alias("__prev"))
+    joined = rows.join(ends.withColumnRenamed(key, "__k").withColumnRenamed("__c", "__d"), F.col(key).eqNullSafe(F.col("__k")) & F.col("__c").eqNullSafe(F.col("__d")))
+    last = F.coalesce(F.lag(us).over(inside), "__prev")
+    marked = joined.withColumn("__start", F.when(last.isNull() | (F.col(us) - last > window), F.col(us))).drop("__k", "__d", "__prev")
+    started = marked.withColumn("__own", F.max("__start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = marked.groupBy(key, "__c").agg(F.max("__start").alias("__m")).select(F.col(key).alias("__k"), F.col("__c").alias("__d"), F.max("__m").over(before).alias("__carried"))
+    out = started.join(firsts, F.col(key).eqNullSafe(F.col("__k")) & F.col("__c").eqNullSafe(F.col("__d")))
+    return out.withColumn("run", F.coalesce("__own", "__carried")).select(*events.columns, "run")
+
+
 def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Events with `allowed`. Rows of a key are streamed in order, batch by batch: state is the window
-    alone, so a key of any size passes in bounded memory."""
+    """Events with `allowed`. Events of a key are parted at pauses longer than the window (see runs), and each
+    run is streamed in order, batch by batch: state is the window alone. Events of a null key are one key;
+    events without a time are not allowed."""
     schema = events.withColumn("allowed", F.lit(True)).schema
     micros = F.unix_micros(F.col(ts)).alias("__us")
     parts = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = events.select("*", micros).repartition(parts, key).sortWithinPartitions(key, "__us", order)
+    parted = runs(events.select("*", micros), key, "__us", seconds)
+    rows = parted.repartition(parts, key, "run").sortWithinPartitions(key, "run", "__us", order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now_key, rule = object(), None
         for batch in batches:
             allowed = []
-            for k, us in zip(batch.column(key).to_pylist(), batch.column("__us").to_pylist(), strict=True):
-                if rule is None or k != now_key:
-                    now_key, rule = k, Limiter(limit, seconds)
-                allowed.append(rule.allow(us / 1e6))
-            names = [n for n in batch.schema.names if n != "__us"]
+            for k, run_, us in zip(batch.column(key).to_pylist(), batch.column("run").to_pylist(), batch.column("__us").to_pylist(), strict=True):
+                if rule is None or (k, run_) != now_key:
+                    now_key, rule = (k, run_), Limiter(limit, seconds)
+                allowed.append(us is not None and rule.allow(us / 1e6))
+            names = [n for n in batch.schema.names if n not in ("__us", "run")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(allowed)], names=[*names, "allowed"])
 
     return rows.mapInArrow(run, schema)

@@ -135,3 +135,25 @@ def test_import_query_meets_stored_tokens(spark, monkeypatch):
     monkeypatch.setattr(vault, "import_tokens", lambda held, new: seen.append(held.join(new, "token_string", "left_semi").count()) or real(held, new))
     got = queries.vault_import_dedupe(spark, "/root/testdata/sf0.001").first()
     assert seen[-1] == got.skipped
+
+
+def test_runs_change_no_verdict(spark, monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    from inkveil.streaming import limiter
+
+    monkeypatch.setattr(limiter, "STRETCH", 3)
+    rng = random.Random(3)
+    start, at, rows = datetime(2024, 1, 1), 0.0, []
+    for i in range(400):
+        at += rng.choice([0, 1, 2, 9, 10, 10.000001, 40])
+        rows.append((i, rng.choice([1, 1, 1, 2, None]), start + timedelta(seconds=at)))
+    rows += [(900, 1, None), (901, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(5)
+    got = {r.event_id: r.allowed for r in limiter.rate_limited(df, 3, 10).collect()}
+    rules = {k: limiter.Limiter(3, 10) for k in (1, 2, None)}
+    expected = {i: t is not None and rules[k].allow(t.timestamp()) for i, k, t in rows}
+    assert got == expected
+    parted = limiter.runs(df.selectExpr("*", "unix_micros(ts) AS us"), "user_id", "us", 10)
+    assert parted.count() == len(rows) and parted.select("user_id", "run").distinct().count() > 20
