@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators import accounts, mutations
+from inkveil.operators import accounts, mutations, structured
+from inkveil.sources import sinks
 from inkveil.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +197,34 @@ def regions_redetect(spark, sf_dir):
 @query(f"SELECT pii_type, confidence, source, substr(text, 1, 80) AS text, page_number, ord FROM ({_REGIONS})")
 def debug_listing(spark, sf_dir):
     return mutations.debug_listing(_table(spark, sf_dir, _REGIONS))
+
+
+# Sinks and structured documents.
+
+_STORED = "SELECT c_custkey AS doc_id, c_name AS original_filename, '' AS anonymized_filename, CAST(-1 AS BIGINT) AS processed_at, c_nationkey AS page_count FROM customer"
+_DONE = "SELECT o_custkey * 2 AS doc_id, concat('f', CAST(o_orderkey AS VARCHAR(9))) AS original_filename, o_orderpriority AS anonymized_filename, o_orderkey AS processed_at, CAST(o_orderkey % 9 AS INTEGER) AS page_count FROM orders"
+
+
+@query(f"""WITH n AS (SELECT * FROM ({_DONE}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY processed_at DESC) = 1)
+SELECT * FROM ({_STORED}) WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""")
+def vault_register(spark, sf_dir):
+    return sinks.register(_table(spark, sf_dir, _STORED), _table(spark, sf_dir, _DONE))
+
+
+_CELLS = [("the", "---"), ("and", "[U00001]"), ("er", "[U00002]")]
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "conversations")
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text")
+
+
+@query("SELECT concat_ws('-', conv_id, turn) AS id, replace(replace(replace(role, 'the', '---'), 'and', '[U00001]'), 'er', '[U00002]') AS role, replace(replace(replace(text, 'the', '---'), 'and', '[U00001]'), 'er', '[U00002]') AS text FROM conversations")
+def redact_cells(spark, sf_dir):
+    return structured.redact_cells(_cells(spark, sf_dir), _CELLS, ("id",))
+
+
+@query("SELECT concat_ws('-', conv_id, turn) AS id, role, replace(text, 'the', '---') AS text FROM conversations")
+def restore_cells(spark, sf_dir):
+    vault = spark.createDataFrame([(token, old) for old, token in _CELLS[1:]], "token_string string, original_text string")
+    return structured.restore_cells(redact_cells(spark, sf_dir), vault, "id")
