@@ -51,7 +51,7 @@ LIGHT_MAX = 24
 #: Counters of the rarity table (its size is fixed: one byte each goes to every worker), and their chunks.
 COUNTERS, COUNTER_CHUNK = 1 << 21, 1 << 15
 #: Nodes of a list in one chunk, entries of small lists in one task, pairs of components' candidates at first.
-CHUNK_NODES, TASK_ENTRIES, TOP = 1024, 30000, 8
+CHUNK_NODES, TASK_ENTRIES, TOP = 1024, 4000, 8
 #: Least bits of a sketch.
 SKETCH_BITS = 1024
 #: Ranks of hubs above this are taken as equal.
@@ -142,7 +142,8 @@ def _sets(n: int):
                 total = np.zeros(len(gram) + 1, np.uint64)
                 np.cumsum(mix(gram ^ np.uint64(salt)), out=total[1:])
                 sums.append(pa.array(signed(total[offs[1:]] - total[offs[:-1]])))
-        return pa.record_batch([batch.column("doc_id"), batch.column("r1"), batch.column("r2"), pa.array(np.diff(offs)), *sums], names=["doc_id", "r1", "r2", "n", "s1", "s2"])
+            made = pa.array(sketches(gram, offs), pa.binary())
+        return pa.record_batch([batch.column("doc_id"), batch.column("r1"), batch.column("r2"), pa.array(np.diff(offs)), *sums, made], names=["doc_id", "r1", "r2", "n", "s1", "s2", "sketch"])
 
     return kernel
 
@@ -230,13 +231,12 @@ def _keys(t: Threshold, n: int, x: int, levels):
     return kernel
 
 
-def _sketched(n: int):
+def _items(n: int):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             gram, offs = shingle_sets(batch.column("text"), n)
-            made = sketches(gram, offs)
         items = [gram[offs[i] : offs[i + 1]].tobytes() for i in range(batch.num_rows)]
-        return pa.record_batch([batch.column("node"), pa.array(made, pa.binary()), pa.array(items, pa.binary())], names=["node", "sketch", "items"])
+        return pa.record_batch([batch.column("node"), pa.array(items, pa.binary())], names=["node", "items"])
 
     return kernel
 
@@ -345,13 +345,6 @@ def _scan(t: Threshold, top: int):
     return kernel
 
 
-def verified(pairs: DataFrame, items: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    met = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
-    met = met.join(items.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
-    return arrow(met.select("a", "b", "a_items", "b_items"), _linked(t), "a long, b long")
-
-
 def tasks(lists: DataFrame) -> DataFrame:
     """Entries (key, node, label, size, pos) with the tasks (task, i, j) in which they are left or right.
 
@@ -375,7 +368,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int =
     t, scratch = Threshold(num, den), Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     base = base.select("doc_id", *row_key("doc_id", "text"), "text")
-    sets = scratch.save(arrow(base, _sets(n), "doc_id long, r1 long, r2 long, n long, s1 long, s2 long"), "sets")
+    sets = scratch.save(arrow(base, _sets(n), "doc_id long, r1 long, r2 long, n long, s1 long, s2 long, sketch binary"), "sets")
     # One row of each set gives its text: the one with the least r1, then the least r2.
     nodes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("r1").alias("r1"))
     nodes = nodes.join(sets.groupBy("n", "s1", "s2", "r1").agg(F.min("r2").alias("r2")), ["n", "s1", "s2", "r1"])
@@ -389,6 +382,17 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int =
         once = base.groupBy("r1", "r2").agg(F.first("text").alias("text"))
         return once.join(of.select("r1", "r2", "node"), ["r1", "r2"]).select("node", "text")
 
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that are linked; only the sets that stand in a pair are read."""
+        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "r1", "r2"), "node")
+        items = scratch.save(arrow(texts(wanted), _items(n), "node long, items binary"), f"{name}-items")
+        met = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
+        met = met.join(items.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
+        out = scratch.save(arrow(met.select("a", "b", "a_items", "b_items"), _linked(t), "a long, b long"), name)
+        scratch.drop(f"{name}-items")
+        return out
+
     keys = scratch.save(arrow(texts(nodes), _keys(t, n, x, levels), KEYS), "keys")
     # Light keys: all sets of a key are linked with its least node, or those of either size with each other.
     light = keys.where("light > 0")
@@ -401,18 +405,18 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int =
     shared = lists.groupBy("key").agg(F.min(F.shiftleft(rank, 50).bitwiseOR(F.col("node"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = shared.select("key", F.col("hub").bitwiseAND(F.lit((1 << 50) - 1)).alias("hub"))
     lists = scratch.save(lists.join(shared, "key").select("key", "node", "size", "pos", "hub"), "lists")
-    scratch.drop("keys")
+    for done in ("counters", "keys"):
+        scratch.drop(done)
     release(spark)
 
-    known = lists.select("node").distinct().join(nodes.select("node", "r1", "r2"), "node")
-    known = scratch.save(arrow(texts(known), _sketched(n), "node long, sketch binary, items binary"), "known")
-    size = lists.select("node", "size").distinct()
-    drawn = scratch.save(known.select("node", "sketch").join(size, "node"), "sketches")
+    drawn = lists.select("node", "size").distinct().join(nodes.select("node", "r1", "r2"), "node")
+    drawn = drawn.join(sets.select("r1", "r2", "sketch").dropDuplicates(["r1", "r2"]), ["r1", "r2"]).select("node", "size", "sketch")
+    drawn = scratch.save(drawn, "sketches")
     stars = lists.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(drawn.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"), F.col("size").alias("a_size")), "a")
     stars = stars.join(drawn.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), F.col("size").alias("b_size")), "b")
-    near = scratch.save(arrow(stars.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch"), _near(t), "a long, b long"), "near")
-    links = scratch.save(verified(near, known, t).union(proven), "links-0")
+    near = arrow(stars.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch"), _near(t), "a long, b long")
+    links = scratch.save(linked(near, "stars").union(proven), "links-0")
 
     turn = 0
     while True:
@@ -421,7 +425,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int =
         dealt = tasks(scratch.save(named, f"named-{turn}")).join(drawn.select("node", "sketch"), "node")
         found = scratch.save(dealt.groupBy("task", "i", "j").applyInArrow(_scan(t, top), CANDIDATES), f"found-{turn}")
         # The candidates of two components may come from many lists: a few of them will do, unless they fail.
-        new = scratch.save(verified(found.select("a", "b").distinct(), known, t), f"new-{turn}")
+        new = linked(found.select("a", "b"), f"new-{turn}")
         scratch.drop(f"named-{turn}")
         turn += 1
         if not new.limit(1).count():
@@ -434,6 +438,8 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, n: int =
             labels = components(links, scratch, f"components-{turn}")
             break
         top *= 4
+    for done in ("lists", "sketches"):
+        scratch.drop(done)
     return _rows(sets, nodes, labels, scratch)
 
 

@@ -69,10 +69,11 @@ def _measure(texts: pa.Array) -> list[pa.Array]:
 
 
 def measure(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """One row per row of docs: `row`, a struct of the columns in carry, and `m`, the measures."""
+    """One row per row of docs: `row`, a struct of the columns in carry (null if there are none), and `m`, the measures."""
     tune(docs.sparkSession)
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    packed = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), whole(text_col).alias("text"))
+    row = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("boolean")
+    packed = docs.select(row.alias("row"), whole(text_col).alias("text"))
     schema = packed.select("row").schema.add("m", T.StructType([T.StructField(n, T.LongType()) for n in names]))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -124,12 +125,17 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
 
 def judge(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: `row` (a struct of the columns in carry, all by default), `m` (the
-    measures), `p_good` (posterior), `base_failed` and `kept`. The measures are stored once, since
-    the vote counts need them before the verdicts do."""
-    spark = docs.sparkSession
-    measured = Scratch(spark, "quality").save(measure(docs, text_col, carry or docs.columns), "measured")
-    measured = measured.withColumn("votes", F.array(*[v.cast("int") for v in votes()]))
-    seen = measured.groupBy("votes").count().collect()  # at most 3**6 patterns
+    measures), `p_good` (posterior), `base_failed` and `kept`. The vote counts need the measures before
+    the verdicts do: they are stored once, but where the text is to be carried along, texts are
+    measured again rather than stored."""
+    carry = carry or docs.columns
+    vote = F.array(*[v.cast("int") for v in votes()])
+    if text_col in carry:
+        measured = measure(docs, text_col, carry).withColumn("votes", vote)
+        seen = measure(docs, text_col, []).groupBy(vote.alias("votes")).count().collect()  # at most 3**6 patterns
+    else:
+        measured = Scratch(docs.sparkSession, "quality").save(measure(docs, text_col, carry), "measured").withColumn("votes", vote)
+        seen = measured.groupBy("votes").count().collect()  # at most 3**6 patterns
     seen.sort(key=lambda r: list(r[0]))  # sums of doubles depend on the order
     prior, good, bad = 0.5, np.full((len(RULES), 3), 1 / 3), np.full((len(RULES), 3), 1 / 3)
     if seen:
