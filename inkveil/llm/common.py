@@ -7,6 +7,7 @@ none of those six bytes occurs inside a multi-byte character, so bytes can be sp
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = 500
 MASK = (1 << 64) - 1
+_RELEASED = 0.0
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small: memory of a Python worker is bounded by a batch."""
+    """Keep Arrow batches of whole texts small: memory of a Python worker is bounded by a batch. Spark cuts
+    batches by bytes too (spark.sql.execution.arrow.maxBytesPerBatch), so long texts come a few at a time.
+    The setting stays: results are computed when they are asked for, and read it then."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -69,9 +73,12 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of jobs whose result is stored: it does so once the
-    driver has collected the objects that stand for them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    driver has collected the objects that stand for them. What a second leaves can wait."""
+    global _RELEASED
+    if time.monotonic() - _RELEASED > 1:
+        gc.collect()
+        spark._jvm.System.gc()
+        _RELEASED = time.monotonic()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +95,26 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("r2"), *reversed(columns)).alias("r2")]
 
 
+#: A key is hot with more than this share of all rows; so there are at most as many hot keys.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The keys that more than one in HOT_SHARE rows (and HOT_LEAST rows at least) have: HOT_SHARE keys at most."""
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    return [r[0] for r in n.where(F.col("n") > max(HOT_LEAST, df.count() // HOT_SHARE)).select(key).collect()]
+
+
+def join_each(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """left joined with right, which has one row for a key: rows of hot keys where they stand, with their few
+    rows of right sent to them, the rest by a plain join. So no task takes all rows of a hot key."""
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    there = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key)  # HOT_SHARE rows at most
+    return there.unionByName(left.where(~is_hot).join(right.where(~is_hot), key))
+
+
 def arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a kernel from batch to batch; empty batches are skipped."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Scratch, arrow, load, tune, whole
+from inkveil.llm.common import Scratch, arrow, hot_keys, join_each, load, tune, whole
 
 #: Fixed rules; the first three are the base ones, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
@@ -95,7 +95,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str, text_col: str = "text", carr
     arrow(blobs.join(seen, "blob", "left_anti").select("blob", "text"), _scan, LEDGER).write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rules") == RULE_VERSION).dropDuplicates(["blob"])
     found = ledger.select("blob", F.struct("rules", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "ranges").alias("secrets"))
-    return named.drop("text").join(found, "blob").drop("blob")
+    rows = named.drop("text")
+    return join_each(rows, found, "blob", hot_keys(rows, "blob")).drop("blob")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

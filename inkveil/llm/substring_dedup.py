@@ -124,11 +124,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
 
     named = owned.select("rk", "doc_id", F.md5("text").alias("digest"))
     first = scratch.save(named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "texts")
-    copies = scratch.save(named.join(first, "digest").where("doc_id > least").select("rk").distinct(), "copies")
+    copies = scratch.save(named.join(first, "digest").where("doc_id > least").select("rk", "doc_id").distinct(), "copies")
 
     anchors = arrow(owned.select("rk", "text"), _anchors(window), "h long, rk long, pos int")
     repeated = scratch.save(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
-    marks = anchors.join(repeated, "h").groupBy("rk").agg(F.collect_list("pos").alias("marks"))
+    marks = anchors.join(repeated, "h").groupBy("rk").agg(F.collect_set("pos").alias("marks"))
     marks = scratch.save(marks.join(copies, "rk", "left_anti"), "marks")
 
     cand = arrow(owned.join(marks, "rk"), _candidates(window), "h1 long, h2 long, doc_id long, rk long, pos int")
@@ -136,10 +136,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     least = cand.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     least = scratch.save(least, "least")
     hits = cand.join(least, ["h1", "h2"]).where("doc_id > least")
-    hits = scratch.save(hits.groupBy("rk").agg(F.collect_set("pos").alias("marks")), "hits")
+    hits = scratch.save(hits.groupBy("rk", "doc_id").agg(F.collect_set("pos").alias("marks")), "hits")
     scratch.drop("windows")
 
-    cut = base.join(hits, "rk", "left").join(copies.withColumn("copy", F.lit(True)), "rk", "left")
+    # A row is named by its id and 64 bits of its text, a clash of which needs two texts of one id.
+    cut = base.join(hits, ["rk", "doc_id"], "left").join(copies.withColumn("copy", F.lit(True)), ["rk", "doc_id"], "left")
     cut = cut.select("row", F.col("doc_id"), "text", "marks", (F.coalesce("copy", F.lit(False)) & F.col("doc_id").isNotNull()).alias("copy"))
     cut = cut.withColumn("marks", F.when(F.col("doc_id").isNotNull(), F.col("marks"))).drop("doc_id")
     schema = T.StructType([cut.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

@@ -8,7 +8,8 @@ empty): a tokenizer may count two texts differently that differ in one byte.
 Defined results: null and empty texts have 0 bytes and 0 tokens; every input row gives one row,
 repeated rows and null ids included; columns other than the id and the text are ignored, whatever
 their names; an empty table gives an empty result. A content's text passes one task at a time;
-copies are merged before the shuffle, so a text that a third of all rows share is one row a task.
+copies are merged before the shuffle, so a text that a third of all rows share is one row a task, and
+its count is sent to where its copies stand.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import Scratch, arrow, load, tune, whole
+from inkveil.llm.common import Scratch, arrow, hot_keys, join_each, load, tune, whole
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
 _LOADED: dict[str, object] = {}
@@ -74,7 +75,8 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str, id_col: str
 
     arrow(misses.select("digest", "text"), encode, CACHE.simpleString()[7:-1].replace(":", " ")).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return named.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
+    rows = named.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    return join_each(rows, stored, "digest", hot_keys(rows, "digest")).select("doc_id", "n_bytes", "n_tokens", "digest")
 
 
 def op1(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
