@@ -328,3 +328,67 @@ def test_sketches_bound_differences():
     differ = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
     got = jaccard_join.apart(own, i, own, j)
     assert (got <= differ).all() and (got[differ == 0] == 0).all() and got[differ > 500].min() > 200
+
+
+def test_hot_keys_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, None)], "n long, key string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("other", 4)], "key string, v int")
+    hot = common.hot_keys(left, "key")
+    assert hot == ["hot"] and common.hot_keys(left.limit(0), "key") == []
+    for keys in (hot, []):
+        got = collections.Counter(map(tuple, common.join_each(left, right, "key", keys).select("n", "key", "v").collect()))
+        assert got == collections.Counter([(i, "hot", 1) for i in range(60) if i % 3] + [(0, "k0", 2), (3, "k3", 3)])
+
+
+def brute_spans(text):
+    """Base spans by plain patterns."""
+    import regex
+
+    out = []
+    for kind, pattern, least in (("assign", r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24)):
+        order = ("assign", "access", "hex").index(kind)
+        for m in regex.finditer(pattern, text, regex.ASCII):
+            if len(m[1]) >= least:
+                out.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_secret_spans_against_plain_patterns(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "apiKey", ":", "=", " = ", "'", '"', " ", "\n", "AKIA", "ABCDEFGHIJKLMNOP", "deadbeef", "0123456789abcdef", "abc", "é", "x9/+", "日本", "-----"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for i in range(400)] + list(ROWS)
+    got = secrets.scan_secrets(table(spark, rows), f"file://{tmp_path}/l").select("row.doc_id", "row.text", "secrets.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        base = brute_spans(r.text or "")
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(k + ":") for k in ("assign", "access", "hex"))
+
+
+def test_quality_verdicts_follow_from_the_votes(spark):
+    """kept: the posterior of EM over the votes of all documents, computed plainly."""
+    rows = [(i, t) for i, t in ROWS if t] + [(100 + i, "\n".join(" ".join(f"word{k * 9 + j}" for j in range(9)) for k in range(6))) for i in range(40)] + [(200 + i, "#$% &&| <> ## " * 30 + "x" * i) for i in range(12)]
+    got = quality.judge(table(spark, rows), carry=["doc_id"]).collect()
+    votes = collections.Counter()
+    seen = {}
+    for r in got:
+        m = r.m
+        n, chars = m.n_words, m.word_chars
+        v = (
+            -1 if m.n_repeat_words * 100 > n * 20 else 1 if m.n_repeat_words * 100 <= n * 5 else 0, -1 if m.n_symbols * 100 > chars * 8 else 1 if m.n_symbols * 100 <= chars * 2 else 0,
+            -1 if m.n_dup_lines * 100 > m.n_lines * 30 else 1 if m.n_lines > 1 and m.n_dup_lines * 10 <= m.n_lines else 0, -1 if chars > n * 20 or chars < n * 2 else 1 if n * 3 <= chars <= n * 12 else 0,
+            -1 if m.n_symbol_words * 100 > n * 25 else 1 if m.n_symbol_words * 100 <= n * 10 else 0, -1 if n < 10 else 1 if n >= 20 else 0,
+        )
+        votes[v] += 1
+        seen[r.row.doc_id, r.m] = v
+    patterns = sorted(votes)
+    prior, good, bad = quality.fit(np.array(patterns), np.array([votes[p] for p in patterns], float))
+    for r in got:
+        odds = np.log(prior / (1 - prior)) + sum(np.log(good[k][x + 1] / bad[k][x + 1]) for k, x in enumerate(seen[r.row.doc_id, r.m]))
+        assert abs(r.p_good - 1 / (1 + np.exp(-odds))) < 1e-9 and r.kept == (not r.base_failed and r.p_good >= 0.5)
+    kept = {r.row.doc_id for r in got if r.kept}
+    assert kept >= set(range(100, 140)) and not kept & set(range(200, 212))

@@ -167,3 +167,56 @@ def test_warc_files_do_not_depend_on_partitions(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "7")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert kinds[0] == kinds[1] and len({n.split("-")[1] for n, *_ in kinds[0]}) > 20
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept: its decisions recomputed plainly."""
+    from helpers import words
+    from public_tokenizers import path
+    from test_text_operators import best_fit_decreasing, brute_components
+    from tokenizers import Tokenizer
+
+    from inkveil.llm import quality
+
+    docs = table(spark, [r for r in {i: (i, t) for i, t in corpus(7) if i is not None}.values()])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text or "" for r in docs.collect()}
+        judged = {r.row.doc_id: r.kept for r in quality.judge(docs, carry=["doc_id"]).collect()} if not k else {}
+        stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        if k == 4:
+            break
+        after = {r.doc_id: r.text or "" for r in docs.collect()}
+        if name == "quality_rules":
+            assert after == {i: t for i, t in before.items() if judged[i]}
+        elif name == "near_duplicates":
+            expected = {c for (i, n, c) in brute_components(list(before.items()), 80, 100, 5) if n} | {i for i, t in before.items() if not words(t)}
+            assert after == {i: before[i] for i in expected}
+        elif name == "substring_dedup":
+            first: dict[tuple, int] = {}
+            for i in sorted(before):
+                w = words(before[i])
+                for j in range(len(w) - 49):
+                    first.setdefault(tuple(w[j : j + 50]), i)
+            for i, t in before.items():
+                w = words(t)
+                gone = {x for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for x in range(j, j + 50)}
+                left = [x for j, x in enumerate(w) if j not in gone]
+                assert (i in after) == (bool(left) or not w)
+                assert i not in after or words(after[i]) == left
+                assert gone or i not in after or after[i] == t
+        elif name == "secret_scan":
+            import re
+
+            plain = re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", re.ASCII)
+            assert after.keys() == before.keys()
+            for i, t in before.items():
+                assert not plain.search(after[i]) and (after[i] == t) == (not plain.search(t))
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    pieces = [n for t in before.values() for n in [len(tok.encode(t, add_special_tokens=False).ids) + 1] for n in [n % 1024 or 1024, *[1024] * ((n - 1) // 1024)]]
+    got = docs.collect()
+    assert sorted(r.length for r in got) == sorted(pieces)
+    used = collections.Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1024 and len(used) <= best_fit_decreasing(pieces, 1024) * 1.005 + 1
