@@ -5,22 +5,85 @@ from __future__ import annotations
 # Keyword lists per type, phone labels, country codes, words like bank codes, stop words.
 
 CONTEXT = {
-    "SSN": "ssn|social security|social sec|tax id|tin|sécurité sociale|securite sociale|sécu|secu|nir|n° ss|n°ss|numéro ss|numero ss|steuer-id|steueridentifikationsnummer|steuernummer|nif|dni|nie|codice fiscale|fiscal|rijksregisternummer|bsn|burgerservicenummer|national insurance|ni number|nino|contribuinte|número de contribuinte|tessera sanitaria|nhs|nhs number|nhs no|ein|employer id|employer identification|fein|krankenversichertennummer|versichertennummer|kvnr|versicherten-nr|krankenkasse|patient id|patient number|medical record|mrn|numéro de patient|patientennummer|patientenakte|niss|segurança social|seguridad social|tarjeta sanitaria|afiliación|cpf|cadastro",
-    "PHONE": "phone|tel|téléphone|telephone|mobile|cell|fax|call|contact|number|numéro|numero|portable|fixe|desk|direct|ligne|rufnummer|telefon|handy|mobil|teléfono|telefono|cellulare|celular|télécopieur|telecopieur|téléc|telec|telex|telefax|facsimile|facs|telecópia|telecopia|téléph|teleph|mob|port|rufnr|telecop|telecóp",
-    "EMAIL": "email|e-mail|mail|courriel|courrier|electronic|électronique|electronique",
-    "CREDIT_CARD": "card|credit|debit|visa|mastercard|amex|payment|account|carte|bancaire|cb|paiement|kreditkarte|tarjeta|carta",
-    "IBAN": "iban|bank|account|swift|bic|compte|bancaire|banque|rib|kontonummer|bankverbindung|konto|cuenta|conto|rekening|sort code|routing|aba|transit|account number|acct|numéro de compte|rekeningnummer|número de cuenta|numero conto",
-    "DATE": "born|birth|dob|date of birth|expires|expiry|issued|valid|deceased|hired|terminated|né le|nee le|née le|date de naissance|geburtsdatum|geboren|nacimiento|nato il|nata il|data di nascita|dated|as of|effective|signed|executed|filed|registered|incorporated|established|fiscal year|period ended|quarter ended|ending|closing date|year end|en date du|exercice|période|periode|clos le|terminé le|termine le|signé le|signe le|fait le|établi le|etabli le|pour la période|bilan au|arrêté le|arrete le|comptes au|clôture|cloture|daté du|datée du|date du|datum|stichtag|zum|geschäftsjahr|abschlussdatum|unterzeichnet am|alla data del|esercizio chiuso|firmato il|bilancio al|fecha|ejercicio cerrado|firmado el|balance al",
-    "PERSON": "name|patient|client|applicant|employee|mr|mrs|ms|dr|prof|sir|madam|first name|last name|full name|surname|given name|maiden name|alias|known as|nom|prénom|prenom|employé|employe|salarié|salarie|monsieur|madame|mademoiselle|nom de famille|nom complet|identité|identite|vorname|nachname|familienname|herr|frau|nombre|apellido|cognome|nome|señor|señora|signor|signora|signed by|signature|witness|notary|party|signé par|notaire|témoin|partie|unterschrieben|notar|zeuge|partei|firmado|testigo|parte|firmato|testimone|ondertekend|getuige|physician|doctor|attending|treating|médecin|praticien|arzt|ärztin|medico|dottore|arts|beneficiary|payee|guarantor|representative|bénéficiaire|garant|mandataire|begünstigter|bürge",
-    "ADDRESS": "address|street|city|state|zip|postal|residence|home|mailing|domicile|located at|lives at|residing|adresse|rue|avenue|boulevard|ville|code postal|cedex|lieu-dit|habite|anschrift|straße|strasse|plz|wohnort|dirección|direccion|calle|indirizzo|via|piazza|corso|viale|cap|domicilio|residenza",
-    "LOCATION": "city|town|country|state|province|region|county|municipality|district|born in|located in|based in|from|origin|nationality|citizen|ville|pays|commune|département|departement|région|né à|née à|originaire|nationalité|nationalite|domicilié|domiciliée|stadt|land|gemeinde|kreis|bundesland|geboren in|staatsangehörigkeit|ciudad|país|pais|provincia|comune|nazione|cittadinanza|nacionalidad|regione|città|nato a|nata a|residente",
-    "PASSPORT": "passport|passeport|reisepass|pasaporte|passaporto|travel document|document de voyage",
-    "DRIVER_LICENSE": "driver|license|licence|dl|driving|permis|conduire|führerschein|fuhrerschein|patente|licencia|rijbewijs|patente di guida|carta di circolazione",
-    "IP_ADDRESS": "ip|address|server|host|endpoint",
-    "CUSTOM": "badge|employee id|emp id|staff id|member id|case|file|dossier|numéro dossier|n° dossier|reference|référence|matricule|registration|vat|tva|tax|ust-idnr|ust|siren|siret|rcs|handelsregister|hrb|hra|amtsgericht|registro mercantil|cif|kvk|kamer van koophandel|companies house|partita iva|p.iva|cnpj|bic|swift|swift code|bic code|policy|police|polizza|póliza|apolice|policennummer|polisnummer|medical record|mrn|patient id|dossier médical|patientenakte|cartella clinica|historial|prontuário|prontuario|health insurance|assurance maladie|krankenkasse|tessera sanitaria|tarjeta sanitaria|zorgverzekering",
+    "SSN": [
+        "ssn", "social security", "social sec", "tax id", "tin", "sécurité sociale", "securite sociale", "sécu", "secu", "nir", "n° ss", "n°ss",
+        "numéro ss", "numero ss", "steuer-id", "steueridentifikationsnummer", "steuernummer", "nif", "dni", "nie", "codice fiscale", "fiscal",
+        "rijksregisternummer", "bsn", "burgerservicenummer", "national insurance", "ni number", "nino", "contribuinte", "número de contribuinte",
+        "tessera sanitaria", "nhs", "nhs number", "nhs no", "ein", "employer id", "employer identification", "fein", "krankenversichertennummer",
+        "versichertennummer", "kvnr", "versicherten-nr", "krankenkasse", "patient id", "patient number", "medical record", "mrn", "numéro de patient",
+        "patientennummer", "patientenakte", "niss", "segurança social", "seguridad social", "tarjeta sanitaria", "afiliación", "cpf", "cadastro",
+    ],
+    "PHONE": [
+        "phone", "tel", "téléphone", "telephone", "mobile", "cell", "fax", "call", "contact", "number", "numéro", "numero", "portable", "fixe", "desk",
+        "direct", "ligne", "rufnummer", "telefon", "handy", "mobil", "teléfono", "telefono", "cellulare", "celular", "télécopieur", "telecopieur", "téléc",
+        "telec", "telex", "telefax", "facsimile", "facs", "telecópia", "telecopia", "téléph", "teleph", "mob", "port", "rufnr", "telecop", "telecóp",
+    ],
+    "EMAIL": [
+        "email", "e-mail", "mail", "courriel", "courrier", "electronic", "électronique", "electronique",
+    ],
+    "CREDIT_CARD": [
+        "card", "credit", "debit", "visa", "mastercard", "amex", "payment", "account", "carte", "bancaire", "cb", "paiement", "kreditkarte", "tarjeta",
+        "carta",
+    ],
+    "IBAN": [
+        "iban", "bank", "account", "swift", "bic", "compte", "bancaire", "banque", "rib", "kontonummer", "bankverbindung", "konto", "cuenta", "conto",
+        "rekening", "sort code", "routing", "aba", "transit", "account number", "acct", "numéro de compte", "rekeningnummer", "número de cuenta",
+        "numero conto",
+    ],
+    "DATE": [
+        "born", "birth", "dob", "date of birth", "expires", "expiry", "issued", "valid", "deceased", "hired", "terminated", "né le", "nee le", "née le",
+        "date de naissance", "geburtsdatum", "geboren", "nacimiento", "nato il", "nata il", "data di nascita", "dated", "as of", "effective", "signed",
+        "executed", "filed", "registered", "incorporated", "established", "fiscal year", "period ended", "quarter ended", "ending", "closing date",
+        "year end", "en date du", "exercice", "période", "periode", "clos le", "terminé le", "termine le", "signé le", "signe le", "fait le", "établi le",
+        "etabli le", "pour la période", "bilan au", "arrêté le", "arrete le", "comptes au", "clôture", "cloture", "daté du", "datée du", "date du",
+        "datum", "stichtag", "zum", "geschäftsjahr", "abschlussdatum", "unterzeichnet am", "alla data del", "esercizio chiuso", "firmato il",
+        "bilancio al", "fecha", "ejercicio cerrado", "firmado el", "balance al",
+    ],
+    "PERSON": [
+        "name", "patient", "client", "applicant", "employee", "mr", "mrs", "ms", "dr", "prof", "sir", "madam", "first name", "last name", "full name",
+        "surname", "given name", "maiden name", "alias", "known as", "nom", "prénom", "prenom", "employé", "employe", "salarié", "salarie", "monsieur",
+        "madame", "mademoiselle", "nom de famille", "nom complet", "identité", "identite", "vorname", "nachname", "familienname", "herr", "frau", "nombre",
+        "apellido", "cognome", "nome", "señor", "señora", "signor", "signora", "signed by", "signature", "witness", "notary", "party", "signé par",
+        "notaire", "témoin", "partie", "unterschrieben", "notar", "zeuge", "partei", "firmado", "testigo", "parte", "firmato", "testimone", "ondertekend",
+        "getuige", "physician", "doctor", "attending", "treating", "médecin", "praticien", "arzt", "ärztin", "medico", "dottore", "arts", "beneficiary",
+        "payee", "guarantor", "representative", "bénéficiaire", "garant", "mandataire", "begünstigter", "bürge",
+    ],
+    "ADDRESS": [
+        "address", "street", "city", "state", "zip", "postal", "residence", "home", "mailing", "domicile", "located at", "lives at", "residing", "adresse",
+        "rue", "avenue", "boulevard", "ville", "code postal", "cedex", "lieu-dit", "habite", "anschrift", "straße", "strasse", "plz", "wohnort",
+        "dirección", "direccion", "calle", "indirizzo", "via", "piazza", "corso", "viale", "cap", "domicilio", "residenza",
+    ],
+    "LOCATION": [
+        "city", "town", "country", "state", "province", "region", "county", "municipality", "district", "born in", "located in", "based in", "from",
+        "origin", "nationality", "citizen", "ville", "pays", "commune", "département", "departement", "région", "né à", "née à", "originaire",
+        "nationalité", "nationalite", "domicilié", "domiciliée", "stadt", "land", "gemeinde", "kreis", "bundesland", "geboren in", "staatsangehörigkeit",
+        "ciudad", "país", "pais", "provincia", "comune", "nazione", "cittadinanza", "nacionalidad", "regione", "città", "nato a", "nata a", "residente",
+    ],
+    "PASSPORT": [
+        "passport", "passeport", "reisepass", "pasaporte", "passaporto", "travel document", "document de voyage",
+    ],
+    "DRIVER_LICENSE": [
+        "driver", "license", "licence", "dl", "driving", "permis", "conduire", "führerschein", "fuhrerschein", "patente", "licencia", "rijbewijs",
+        "patente di guida", "carta di circolazione",
+    ],
+    "IP_ADDRESS": [
+        "ip", "address", "server", "host", "endpoint",
+    ],
+    "CUSTOM": [
+        "badge", "employee id", "emp id", "staff id", "member id", "case", "file", "dossier", "numéro dossier", "n° dossier", "reference", "référence",
+        "matricule", "registration", "vat", "tva", "tax", "ust-idnr", "ust", "siren", "siret", "rcs", "handelsregister", "hrb", "hra", "amtsgericht",
+        "registro mercantil", "cif", "kvk", "kamer van koophandel", "companies house", "partita iva", "p.iva", "cnpj", "bic", "swift", "swift code",
+        "bic code", "policy", "police", "polizza", "póliza", "apolice", "policennummer", "polisnummer", "medical record", "mrn", "patient id",
+        "dossier médical", "patientenakte", "cartella clinica", "historial", "prontuário", "prontuario", "health insurance", "assurance maladie",
+        "krankenkasse", "tessera sanitaria", "tarjeta sanitaria", "zorgverzekering",
+    ],
 }
 
-PHONE_LABELS = "phone|tel|tél|téléphone|telephone|mobile|mob|cell|cellulare|celular|fax|portable|port|fixe|rufnummer|rufnr|telefon|handy|mobil|teléfono|telefono|télécopieur|telecopieur|téléc|telec|telex|telefax|facsimile|facs|telecópia|telecopia|téléph|teleph|telecóp|telecop|telefoon|telefone"
+PHONE_LABELS = [
+    "phone", "tel", "tél", "téléphone", "telephone", "mobile", "mob", "cell", "cellulare", "celular", "fax", "portable", "port", "fixe", "rufnummer",
+    "rufnr", "telefon", "handy", "mobil", "teléfono", "telefono", "télécopieur", "telecopieur", "téléc", "telec", "telex", "telefax", "facsimile", "facs",
+    "telecópia", "telecopia", "téléph", "teleph", "telecóp", "telecop", "telefoon", "telefone",
+]
 
 BIC_COUNTRIES = "AD AE AT AU BE BG BH BR CA CH CL CN CO CY CZ DE DK EE EG ES FI FR GB GR HK HR HU ID IE IL IN IS IT JP KR KW LB LI LT LU LV MA MC MT MX MY NL NO NZ PE PH PL PT QA RO RS RU SA SE SG SI SK TH TR TW UA US UY VN ZA".split()
 

@@ -66,8 +66,8 @@ def template_pattern(parts: list[tuple[str, int, str]]) -> str:
     return "".join(out)
 
 
-def _keywords(listed: str) -> re.Pattern:
-    words = sorted(set(listed.split("|")), key=lambda w: (-len(w), w))
+def _keywords(listed: list[str]) -> re.Pattern:
+    words = sorted(set(listed), key=lambda w: (-len(w), w))
     return re.compile(r"(?:^|(?<=\W))(?:" + "|".join(map(re.escape, words)) + r")(?:$|(?=\W))", re.IGNORECASE)
 
 

@@ -13,6 +13,7 @@ from inkveil.lexicon.patterns import STANDALONE
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, TOKEN_LETTERS, WORD_EDGES
 from inkveil.operators import analytics, detect, document, layout, partial, search, vault
 from inkveil.operators.store import stored
+from inkveil.plans import documents
 from inkveil.sources.tables import document_pages, load, strip_tags, web_pages
 from inkveil.streaming.limiter import rate_limited, runs
 
@@ -258,13 +259,7 @@ def propagate_exact(spark, sf_dir):
 
 @query()
 def document_regions(spark, sf_dir):
-    """The whole document stage: detect, propagate values and parts of firms, drop contained, unify, sweep.
-
-    Each step reads the regions before it several times, so they are stored in between."""
-    pages = document_pages(load(spark, sf_dir, "documents"))
-    found = stored(document.propagate(stored(detect.detect(pages)), pages))
-    found = stored(document.drop_contained(stored(partial.propagate_parts(found, pages))))
-    return document.final_sweep(document.unify_types(found))
+    return documents.document_regions(document_pages(load(spark, sf_dir, "documents")))
 
 
 _UNIFIED = "(SELECT *, first_value(pii_type) OVER (PARTITION BY lower(text) ORDER BY confidence DESC, page_number, ord, pii_type) AS winner FROM (SELECT *, CAST(length(text) % 7 AS DOUBLE) / 10 + CASE WHEN pii_type = 'PHONE' THEN 0.1 ELSE 0 END AS confidence FROM " + REGIONS_SQL + "))"
