@@ -39,8 +39,8 @@ from inkveil.llm.common import Scratch, load
 
 #: Neighbours of a node, reverse ones at a meeting, pairs that a node learns there, and the share of new edges at which rounds end.
 DEGREE, REVERSE, LEARN, SETTLED = 50, 40, 8, 0.001
-#: Cuts, nodes of a cell, nodes whose meetings are one task's group.
-STARTS, CELL, GROUP = 2, 64, 2000
+#: Cuts, nodes of a cell, nodes whose meetings are one task's group, and meetings whose news are packed together.
+STARTS, CELL, GROUP, PACKED = 2, 64, 2000, 32
 ENTRIES = 8
 
 
@@ -124,26 +124,33 @@ def _meet(learn: int, centre: np.ndarray):
         order = order[once]
         ends = np.flatnonzero(np.append(at[order][1:] != at[order][:-1], True)) + 1
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        start = 0
-        for end in ends.tolist():
+        news, start = [], 0
+
+        def pack() -> None:
+            # What a node learns at a few meetings is one row. Rows grow with the meetings, whatever a group holds.
+            if out:
+                node, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
+                order = np.lexsort((ids, node))
+                news.append(packed(node[order], ids[order], sims[order], np.ones(len(order))))
+                out.clear()
+
+        for k, end in enumerate(ends.tolist()):
             rows, start = order[start:end], end
             new = fresh[rows]
-            if len(rows) < 2 or not new.any():
-                continue
-            sims = (v[rows] + centre) @ v[rows].T
-            sims[~(new[:, None] | new[None, :])] = -np.inf
-            np.fill_diagonal(sims, -np.inf)
-            sims[sims <= least[rows][:, None]] = -np.inf
-            k = min(learn, len(rows) - 1)
-            to = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            s = np.take_along_axis(sims, to, 1)
-            i, j = np.nonzero(s > -np.inf)
-            out.append((member[rows[i]], member[rows[to[i, j]]], s[i, j]))
-        if not out:
-            return packed(*(np.empty(0, np.int64),) * 4)
-        node, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
-        order = np.lexsort((ids, node))
-        return packed(node[order], ids[order], sims[order], np.ones(len(order)))
+            if len(rows) >= 2 and new.any():
+                sims = (v[rows] + centre) @ v[rows].T
+                sims[~(new[:, None] | new[None, :])] = -np.inf
+                np.fill_diagonal(sims, -np.inf)
+                sims[sims <= least[rows][:, None]] = -np.inf
+                best = min(learn, len(rows) - 1)
+                to = np.argpartition(-sims, best - 1, axis=1)[:, :best]
+                s = np.take_along_axis(sims, to, 1)
+                i, j = np.nonzero(s > -np.inf)
+                out.append((member[rows[i]], member[rows[to[i, j]]], s[i, j]))
+            if k % PACKED == PACKED - 1:
+                pack()
+        pack()
+        return pa.concat_tables(news) if news else packed(*(np.empty(0, np.int64),) * 4)
 
     return kernel
 
