@@ -40,8 +40,8 @@ from inkveil.llm.common import Scratch, arrow, load, tune, whole
 
 #: Characters of whose class all Unicode versions agree; other texts go to the tokenizers library.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
-#: Parts of a size in a sweep's order; ranks are counted within parts.
-PARTS = 32
+#: Parts of a size in a sweep's order; ranks are counted within parts. Bounds of gaps are multiples of STEP.
+PARTS, STEP = 32, 64
 _ENCODERS: dict[tuple[str, str], object] = {}
 
 
@@ -159,11 +159,12 @@ def pack_lengths(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFram
         left, turn = pieces.where((F.col("length") > low) & (F.col("length") <= high)), 0
         while True:
             at = left.agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most"), F.sum("length").alias("total")).first()
-            fit = gaps.where(F.col("gap") >= at.least) if at.n else None
+            fit = gaps.where(F.col("gap") > low) if at.n else None
             sizes = sorted((r.gap, r["count"]) for r in fit.groupBy("gap").count().collect()) if at.n else []
+            sizes = [(gap, n) for gap, n in sizes if gap >= at.least] if at.n else []
             if turn and sizes:  # only a gap that the last sweep changed may take a piece that this sweep left
-                changed = met.select("seq").distinct().join(fit, "seq", "left_semi").limit(1).count()  # noqa: F821
-                sizes = sizes if changed else []
+                widest = fit.join(met.select("seq").distinct(), "seq", "left_semi").agg(F.max("gap")).first()[0]  # noqa: F821
+                sizes = sizes if (widest or 0) >= at.least else []
             if not sizes:
                 break
             enough, most = at.n, sizes[-1][0]
@@ -172,13 +173,17 @@ def pack_lengths(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFram
                 if enough <= 0:
                     most = gap
                     break
+            # Numbers in a plan become part of its compiled code: few different ones let it be used again.
+            most = -(-most // STEP) * STEP
             turn += 1
-            met = scratch.save(sweep(left, fit.where(F.col("gap") <= most), at.most), f"met-{k}-{turn}", tidy=False)
-            done.append(in_order(met, "tie").select("tie", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset")))
+            met = in_order(sweep(left, fit.where(F.col("gap") <= most), at.most), "tie")
+            met = met.select("tie", "length", "seq", (F.lit(capacity) - F.col("gap") + F.col("inside")).alias("offset"))
+            met = scratch.save(met, f"met-{k}-{turn}", tidy=False)
+            done.append(met)
             taken = met.groupBy("seq").agg(F.sum("length").alias("taken"))
             gaps = gaps.join(taken, "seq", "left").select("seq", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0")
             gaps = scratch.save(gaps, f"gaps-{k}-{turn}", tidy=False)
-            left = scratch.save(left.join(met.select("tie"), "tie", "left_anti"), f"left-{k}-{turn}", tidy=False)
+            left = scratch.save(left.join(met.select("tie"), "tie", "left_anti"), f"left-{k}-{turn}")
         if at.n:
             new = scratch.save(opened(left, capacity, at.most, at.n, at.total, (k + 1) << 52), f"opened-{k}", tidy=False)
             done.append(new)
