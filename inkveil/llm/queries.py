@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import ann, bpe, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, warc
+from inkveil.llm import ann, bpe, importance, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_quality_rules": quality.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_importance_resampling": importance.op11,
+    "op12_url_filter": url_filter.op12,
 }
 
-#: What SQL can express of op3 and op5, by the same operators.
-QUERIES |= {"shards_by_bytes": sharding.shards_by_bytes, "secret_counts": secrets.secret_counts}
+#: What SQL can express of op3, op5 and op12, by the same operators.
+QUERIES |= {"shards_by_bytes": sharding.shards_by_bytes, "secret_counts": secrets.secret_counts, "url_rules": url_filter.url_rules}
 
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7, "shards_by_bytes": sharding.ORACLE_SHARDS, "secret_counts": secrets.ORACLE_COUNTS}
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7, "shards_by_bytes": sharding.ORACLE_SHARDS, "secret_counts": secrets.ORACLE_COUNTS, "op11_importance_resampling": importance.ORACLE_OP11, "url_rules": url_filter.ORACLE_RULES}
