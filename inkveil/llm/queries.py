@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import ann, bpe, importance, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter, warc
+from inkveil.llm import ann, bpe, conversations, importance, jaccard_join, packing, quality, secrets, sharding, substring_dedup, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.op10,
     "op11_importance_resampling": importance.op11,
     "op12_url_filter": url_filter.op12,
+    "op13_conversation_repair": conversations.op13,
 }
 
 #: What SQL can express of op3, op5 and op12, by the same operators.
