@@ -4,19 +4,13 @@ value, the final sweep. A page is small; a document may have any number of pages
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import QUOTES, flex_pattern, neutralise_quotes, strip_accents, strip_accents_py, ws_collapse
-from inkveil.operators.detect import _KINDS, _NAMES, REGIONS
+from inkveil.functions.text import neutralise_quotes, strip_accents, ws_collapse
+from inkveil.operators.detect import _NAMES
 from inkveil.operators.spans import LEGAL, MIN_DIGITS
-
-#: Values of one document that one search compiles at most; more are searched in several rows.
-KEYS_PER_ROW = 512
-_SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
+from inkveil.operators.value_index import occurrences
 
 
 def value_key(text: Column, quotes: bool = True) -> Column:
@@ -40,48 +34,18 @@ def propagatable(r: DataFrame) -> DataFrame:
 
 
 def templates(regions: DataFrame) -> DataFrame:
-    """Per document and value the best region: highest confidence, then page order."""
+    """Per document and value the best region: highest confidence, then page order; `turn` is where the value
+    occurs first."""
     keyed = propagatable(regions).withColumn("key", value_key(F.trim("text")))
-    first = F.struct((-F.col("confidence")).alias("c"), "page_number", "ord")
-    best = keyed.groupBy("doc_id", "key").agg(F.min(F.struct(first.alias("o"), "pii_type", "confidence", "source")).alias("b"))
-    return best.select("doc_id", "key", "b.pii_type", "b.confidence", "b.source", F.col("b.o").alias("o"))
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, page, text, keys, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "text", "keys", "own")), strict=True):
-            plain = strip_accents_py(text).translate(_SPACES)
-            low = " ".join(plain.lower().split())
-            taken: dict[str, list[tuple[int, int]]] = {}
-            for o in own or ():
-                taken.setdefault(o["pii_type"], []).append((o["start"], o["end"]))
-            n = 0
-            for k in sorted(keys, key=lambda k: (k["o"]["c"], k["o"]["page_number"], k["o"]["ord"])):
-                if k["key"] not in low:
-                    continue
-                spans = taken.setdefault(k["pii_type"], [])
-                for m in flex_pattern(k["key"]).finditer(plain):
-                    s, e = m.span()
-                    if not any(min(e, b) - max(s, a) >= 0.5 * (e - s) for a, b in spans):
-                        spans.append((s, e))
-                        rows.append((doc, page, 1_000_000 + n, s, e, text[s:e], k["pii_type"], k["confidence"], k["source"]))
-                        n += 1
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+    best = F.struct((-F.col("confidence")).alias("c"), "page_number", "ord", "pii_type", "confidence", "source")
+    found = keyed.groupBy("doc_id", "key").agg(F.min(best).alias("b"), F.min(F.struct("page_number", "ord")).alias("turn"))
+    return found.select("doc_id", "key", "b.pii_type", "b.confidence", "b.source", "turn")
 
 
 def propagate(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Regions and, on every page of a document, all further occurrences of its values.
-
-    Values meet pages by document: a document's values are gathered into lists of KEYS_PER_ROW, so
-    a row stays small however many values a document has; pages without new occurrences give nothing."""
-    keys = templates(regions)
-    keys = keys.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("o")) - 1) / KEYS_PER_ROW))
-    lists = keys.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "pii_type", "confidence", "source", "o")).alias("keys"))
-    own = regions.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("own"))
-    rows = pages.select(F.col("doc_id").cast("string"), "page_number", "text").join(lists, "doc_id").join(own, ["doc_id", "page_number"], "left")
-    return regions.unionByName(rows.select("doc_id", "page_number", "text", "keys", "own").mapInArrow(_search, REGIONS))
+    """Regions and, on every page of a document, all further occurrences of its values, those first that
+    occur first in the document (see value_index.occurrences)."""
+    return regions.unionByName(occurrences(templates(regions), regions, pages, 1_000_000))
 
 
 def unify_types(regions: DataFrame) -> DataFrame:

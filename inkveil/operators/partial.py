@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
-from inkveil.operators.detect import _KINDS, _NAMES, REGIONS
-from inkveil.operators.document import KEYS_PER_ROW, value_key
+from inkveil.functions.text import QUOTES, strip_accents_py
+from inkveil.operators.detect import _NAMES
+from inkveil.operators.document import value_key
+from inkveil.operators.value_index import occurrences
 
 FACTOR = 0.85
 # Words that never make a part by themselves, and legal forms that never stand alone.
@@ -59,38 +60,20 @@ def parts_of(name: str, common: frozenset[str] = frozenset()) -> list[str]:
 def _rows(common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, key, conf, source) for doc, text, conf, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "confidence", "source")), strict=True) for key in parts_of(text, common)]
+            out = [(doc, key, conf, round(conf * FACTOR, 4), source) for doc, text, conf, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "confidence", "source")), strict=True) for key in parts_of(text, common)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)], names=["doc_id", "key", "confidence", "source"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()), strict=True)], names=["doc_id", "key", "confidence", "less", "source"])
 
     return run
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, page, text, keys, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "text", "keys", "own")), strict=True):
-            plain = strip_accents_py(text).translate(_SPACES)
-            low = " ".join(plain.lower().split())
-            taken = [(o["start"], o["end"]) for o in own or () if o["pii_type"] == "ORG"]
-            for k in sorted(keys, key=lambda k: (-len(k["key"]), k["key"])):
-                if k["key"] in low:
-                    for m in flex_pattern(k["key"]).finditer(plain):
-                        s, e = m.span()
-                        if not any(min(e, b) - max(s, a) >= 0.5 * (e - s) for a, b in taken):
-                            taken.append((s, e))
-                            rows.append((doc, page, 2_000_000 + len(taken), s, e, text[s:e], "ORG", round(k["confidence"] * FACTOR, 4), k["source"]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
-
-
 def propagate_parts(regions: DataFrame, pages: DataFrame, common: frozenset[str] = frozenset()) -> DataFrame:
     """Regions with places and persons that are parts of firms retyped, and further occurrences of the parts.
 
     common: words of a dictionary that single words must not be (empty by default)."""
     firms = regions.where("pii_type = 'ORG'").select("doc_id", "text", "confidence", "source")
-    parts = firms.mapInArrow(_rows(common), "doc_id string, key string, confidence double, source string")
-    best = parts.groupBy("doc_id", "key").agg(F.max(F.struct("confidence", "source")).alias("b")).select("doc_id", "key", "b.*")
+    parts = firms.mapInArrow(_rows(common), "doc_id string, key string, confidence double, less double, source string")
+    best = parts.groupBy("doc_id", "key").agg(F.max(F.struct("confidence", "less", "source")).alias("b")).select("doc_id", "key", "b.*")
     keyed = regions.withColumn("key", value_key(F.trim("text")))
     fresh = best.join(keyed.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
     whole = keyed.where("pii_type = 'ORG'").groupBy("doc_id", "key").agg(F.max("confidence").alias("c"))
@@ -98,8 +81,5 @@ def propagate_parts(regions: DataFrame, pages: DataFrame, common: frozenset[str]
     joined = keyed.join(known, ["doc_id", "key"], "left")
     other = F.col("pii_type").isin("LOCATION", "PERSON") & F.col("c").isNotNull()
     retyped = joined.withColumn("confidence", F.when(other, F.greatest("confidence", F.round(F.col("c") * FACTOR, 4))).otherwise(F.col("confidence"))).withColumn("pii_type", F.when(other, "ORG").otherwise(F.col("pii_type"))).select(*_NAMES)
-    dealt = fresh.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("key")), "key")) - 1) / KEYS_PER_ROW))
-    lists = dealt.groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "confidence", "source")).alias("keys"))
-    own = retyped.groupBy("doc_id", "page_number").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("own"))
-    rows = pages.select(F.col("doc_id").cast("string"), "page_number", "text").join(lists, "doc_id").join(own, ["doc_id", "page_number"], "left")
-    return retyped.unionByName(rows.select("doc_id", "page_number", "text", "keys", "own").mapInArrow(_search, REGIONS))
+    keys = fresh.select("doc_id", "key", F.lit("ORG").alias("pii_type"), F.col("less").alias("confidence"), "source", (-F.length("key")).alias("turn"))
+    return retyped.unionByName(occurrences(keys, retyped, pages, 2_000_000))

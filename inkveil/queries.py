@@ -257,6 +257,28 @@ def propagate_exact(spark, sf_dir):
     return document.propagate(stored(detect.detect(pages)), pages)
 
 
+SIMPLE["ORG"] = r"[A-Z][a-z]+ [A-Z][a-z]+"
+
+
+@query(f"""WITH held AS MATERIALIZED (SELECT * FROM {_spans_sql("ORG")} WHERE page_number % 2 = 0),
+  v AS (SELECT doc_id, lower(text) AS key, replace(lower(text), ' ', '\\s+') AS pattern, min(page_number * 1000000 + ord) AS turn FROM held GROUP BY 1, 2, 3),
+  p AS (SELECT source AS doc_id, doc_id AS page_number, text, strip_accents(lower(text)) AS low FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT p.*, v.turn, regexp_extract_all(low, v.pattern) AS m, string_split_regex(low, v.pattern) AS g FROM p JOIN v ON p.doc_id = v.doc_id AND regexp_matches(low, v.pattern)),
+  k AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+  s AS (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, CAST(length(m[i]) AS INTEGER) AS n FROM k),
+  f AS (SELECT doc_id, page_number, turn, start, start + n AS "end", substr(text, start + 1, n) AS text FROM s
+    WHERE NOT regexp_matches(substr(low, start, least(start, 1)), '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(substr(low, start + n + 1, 1), '[\\p{{L}}\\p{{N}}_]'))
+  SELECT doc_id, page_number, 'ORG' AS pii_type, start, "end", text FROM f
+  WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.page_number = f.page_number AND least(f."end", h."end") - greatest(f.start, h.start) >= 0.5 * (f."end" - f.start))
+  AND NOT EXISTS (SELECT 1 FROM f e WHERE e.page_number = f.page_number AND e.turn < f.turn AND least(f."end", e."end") - greatest(f.start, e.start) >= 0.5 * (f."end" - f.start))""")
+def propagate_values(spark, sf_dir):
+    """Names found on even pages, on all pages of their documents."""
+    pages = document_pages(load(spark, sf_dir, "documents"))
+    held = detect.one_pattern(pages, SIMPLE["ORG"], "ORG").where("page_number % 2 = 0").withColumn("confidence", F.lit(0.9)).withColumn("source", F.lit("REGEX"))
+    found = document.occurrences(document.templates(held), held, pages, 1_000_000)
+    return found.select("doc_id", "page_number", "pii_type", "start", "end", "text")
+
+
 @query()
 def document_regions(spark, sf_dir):
     return documents.document_regions(document_pages(load(spark, sf_dir, "documents")))
