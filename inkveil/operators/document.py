@@ -49,7 +49,8 @@ def propagate(regions: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def unify_types(regions: DataFrame) -> DataFrame:
-    """Every value of a document gets the type of its most confident region, the first on a tie."""
+    """Every value of a document gets the type of its most confident region, the first on a tie; regions without a
+    document keep their own."""
     keyed = regions.withColumn("key", value_key(F.trim("text"), quotes=False))
     best = keyed.where(F.length("key") >= 2).groupBy("doc_id", "key").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "page_number", "ord", "pii_type")).alias("b"))
     out = keyed.join(best.select("doc_id", "key", F.col("b.pii_type").alias("winner")), ["doc_id", "key"], "left")

@@ -276,7 +276,7 @@ def place(pages: DataFrame, config=None) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, page, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "words")), strict=True):
-                rows += [(doc, page, *r) for r in page_boxes([Word(w["text"], w["x0"], w["y0"], w["x1"], w["y1"]) for w in words or ()], config)]
+                rows += [(doc, page, *r[:2], r[2] and f"{doc}/{page}/{r[2]}", *r[3:]) for r in page_boxes([Word(w["text"], w["x0"], w["y0"], w["x1"], w["y1"]) for w in words or ()], config)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
 

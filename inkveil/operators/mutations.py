@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.operators.keys import join_nulls
+
 
 def text_key(text: str | Column = "text") -> Column:
     return F.lower(F.trim(text))
@@ -19,8 +21,8 @@ def text_key(text: str | Column = "text") -> Column:
 def delete(regions: DataFrame, chosen: DataFrame) -> DataFrame:
     """Regions but for the chosen (region_id) and their siblings."""
     ids = chosen.select("region_id").distinct()
-    groups = regions.join(ids, "region_id").where("linked_group IS NOT NULL").select("doc_id", "linked_group").distinct()
-    return regions.join(ids, "region_id", "left_anti").join(groups, ["doc_id", "linked_group"], "left_anti").select(*regions.columns)
+    groups = regions.join(ids, "region_id").where("linked_group IS NOT NULL").select("doc_id", "linked_group").distinct().withColumn("__on", F.lit(True))
+    return join_nulls(regions.join(ids, "region_id", "left_anti"), groups, ["doc_id", "linked_group"], "left").where("__on IS NULL").select(*regions.columns)
 
 
 def batch_delete(regions: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -58,10 +60,18 @@ def clamp(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), F.least(low, size)), F.greatest(F.lit(0.0), F.least(high, size))
 
 
+def _once(changes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row of changes for each region_id, its columns as __name."""
+    least = changes.groupBy("region_id").agg(F.min(F.struct(*names)).alias("__least"))
+    return least.select("region_id", *(F.col(f"__least.{c}").alias(f"__{c}") for c in names))
+
+
 def move(regions: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Boxes of boxes (region_id, x0, y0, x1, y1) for their regions, clamped to the page (doc_id, page_number, width, height) if it is known."""
-    new = boxes.select("region_id", *(F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")))
-    out = regions.join(new, "region_id", "left").join(pages.select("doc_id", "page_number", F.col("width").alias("__w"), F.col("height").alias("__h")), ["doc_id", "page_number"], "left")
+    """Boxes of boxes (region_id, x0, y0, x1, y1) for their regions, clamped to the page (doc_id, page_number, width, height)
+    if it is known; of boxes that repeat an id the least counts, of pages that repeat the largest sizes."""
+    new = _once(boxes, ("x0", "y0", "x1", "y1"))
+    sizes = pages.groupBy("doc_id", "page_number").agg(F.max("width").alias("__w"), F.max("height").alias("__h"))
+    out = join_nulls(regions.join(new, "region_id", "left"), sizes, ["doc_id", "page_number"], "left")
     for a, b, size in (("x0", "x1", "__w"), ("y0", "y1", "__h")):
         lo, hi = clamp(F.col(f"__{a}"), F.col(f"__{b}"), F.col(size))
         for c, v in ((a, lo), (b, hi)):
@@ -71,9 +81,10 @@ def move(regions: DataFrame, boxes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def sync(regions: DataFrame, state: DataFrame) -> DataFrame:
-    """Action and box as state (region_id, action, x0, y0, x1, y1) says for the regions that it names."""
+    """Action and box as state (region_id, action, x0, y0, x1, y1) says for the regions that it names; of states that
+    repeat an id the least counts."""
     names = ("action", "x0", "y0", "x1", "y1")
-    new = state.select("region_id", *(F.col(c).alias(f"__{c}") for c in names))
+    new = _once(state, names)
     out = regions.join(new, "region_id", "left")
     for c in names:
         out = out.withColumn(c, F.coalesce(f"__{c}", c))
@@ -82,18 +93,18 @@ def sync(regions: DataFrame, state: DataFrame) -> DataFrame:
 
 def without_types(regions: DataFrame, types: list[str], scanned: DataFrame | None = None) -> DataFrame:
     """Regions but for the types ticked off, on scanned pages (doc_id, page_number) only if given; manual ones always stay."""
-    off = F.col("pii_type").isin(*types) & ~F.coalesce(F.col("source") == "MANUAL", F.lit(False))
+    off = F.coalesce(F.col("pii_type").isin(*types), F.lit(False)) & ~F.coalesce(F.col("source") == "MANUAL", F.lit(False))
     if scanned is None:
         return regions.where(~off)
     pages = scanned.select("doc_id", "page_number").distinct().withColumn("__on", F.lit(True))
-    return regions.join(pages, ["doc_id", "page_number"], "left").where(~(off & F.coalesce("__on", F.lit(False)))).select(*regions.columns)
+    return join_nulls(regions, pages, ["doc_id", "page_number"], "left").where(~(off & F.coalesce("__on", F.lit(False)))).select(*regions.columns)
 
 
 def redetected(regions: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
     """Regions after pages (doc_id, page_number) are detected again: theirs are replaced by `found`, but for manual ones, which stay."""
     again = pages.select("doc_id", "page_number").distinct().withColumn("__on", F.lit(True))
-    kept = regions.join(again, ["doc_id", "page_number"], "left").where(F.col("__on").isNull() | (F.col("source") == "MANUAL"))
-    return kept.select(*regions.columns).unionByName(found.join(again, ["doc_id", "page_number"], "left_semi").select(*regions.columns))
+    kept = join_nulls(regions, again, ["doc_id", "page_number"], "left").where(F.col("__on").isNull() | (F.col("source") == "MANUAL"))
+    return kept.select(*regions.columns).unionByName(join_nulls(found, again, ["doc_id", "page_number"]).select(*regions.columns))
 
 
 def debug_listing(regions: DataFrame) -> DataFrame:

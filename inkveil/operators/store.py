@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed now and written to the checkpoint folder of the session (spark.checkpoint.dir): later
-    steps read it and none computes it again, whatever executors are lost.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session that the driver and all executors share (spark.checkpoint.dir).
 
     Where no folder is set, one is made, on a local master only."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="inkveil-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed now and written to the shared folder: later steps read it and none computes it again, whatever
+    executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

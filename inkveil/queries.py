@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from inkveil.functions import language, text, validators
 from inkveil.lexicon.patterns import STANDALONE
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, TOKEN_LETTERS, WORD_EDGES
 from inkveil.operators import analytics, detect, document, layout, partial, search, vault
-from inkveil.operators.store import stored
+from inkveil.operators.store import shared_folder, stored
 from inkveil.plans import documents
+from inkveil.sources import ledger
 from inkveil.sources.tables import document_pages, load, strip_tags, web_pages
 from inkveil.streaming.limiter import rate_limited, runs
 
@@ -323,6 +325,14 @@ def redact_remove(spark, sf_dir):
     return vault.redact(pages, r).select("doc_id", "page_number", "text")
 
 
+@query("SELECT doc_id AS page_number, regexp_replace(coalesce(text, ''), '" + SIMPLE["EMAIL"] + "', '---', 'g') AS text FROM documents")
+def redact_without_ids(spark, sf_dir):
+    """Pages of which every third lacks its document are redacted as the others are."""
+    pages = document_pages(load(spark, sf_dir, "documents")).withColumn("doc_id", F.when(F.col("page_number") % 3 != 0, F.col("doc_id")))
+    r = detect.one_pattern(pages, SIMPLE["EMAIL"], "EMAIL").withColumn("action", F.lit("REMOVE")).withColumn("token_string", F.lit(None).cast("string"))
+    return vault.redact(pages, r).select("page_number", "text")
+
+
 @query()
 def tokenize(spark, sf_dir):
     pages, regions, _ = _tokens(spark, sf_dir)
@@ -338,6 +348,24 @@ def minted_tokens(spark, sf_dir):
     return vault.mint_tokens(simple_regions(spark, sf_dir)).select("page_number", "pii_type", "ord", "token_string")
 
 
+_NUMBER = f"CASE WHEN rank < {vault.SPACE} THEN '[' || letter || lpad(CAST((rank * {vault.STEP} + {vault.SHIFT}) % {vault.SPACE} AS VARCHAR), 5, '0') || ']' ELSE '[ANON_' || letter || '_' || lpad(hex(rank - {vault.SPACE}), 12, '0') || ']' END"
+
+
+@query(f"""WITH r AS (SELECT *, {_LETTER} AS letter FROM {REGIONS_SQL} WHERE action = 'TOKENIZE'),
+  n AS (SELECT letter, count(*) FILTER (WHERE page_number % 2 = 0) AS n FROM r GROUP BY 1),
+  m AS (SELECT r.*, n.n, row_number() OVER (PARTITION BY letter ORDER BY doc_id, page_number, start, "end", ord) - 1 AS j FROM r JOIN n USING (letter) WHERE page_number % 2 = 1)
+SELECT page_number, pii_type, ord, {_NUMBER} AS token_string FROM (SELECT *, n + j + CASE WHEN j > 0 THEN 1 ELSE 0 END AS rank FROM m)""")
+def ledger_tokens(spark, sf_dir):
+    """Tokens of odd pages after those of even pages were minted and deleted, and a vault was imported that holds the
+    second number that was free for each letter."""
+    book = ledger.TokenLedger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    regions = simple_regions(spark, sf_dir)
+    first = stored(vault.mint_tokens(regions.where("page_number % 2 = 0"), ledger=book))
+    imported = first.groupBy(vault.token_letter(F.col("pii_type")).alias("letter")).agg((F.count("*") + 1).alias("rank"))
+    imported = imported.select(F.concat(F.lit("["), "letter", F.lpad(F.pmod(F.col("rank") * vault.STEP + vault.SHIFT, F.lit(vault.SPACE)).cast("string"), 5, "0"), F.lit("]")).alias("token_string"))
+    return vault.mint_tokens(regions.where("page_number % 2 = 1"), imported, book).select("page_number", "pii_type", "ord", "token_string")
+
+
 @query("SELECT source AS doc_id, doc_id AS page_number, coalesce(text, '') AS text FROM documents")
 def detokenize_roundtrip(spark, sf_dir):
     pages, regions, rows = _tokens(spark, sf_dir)
