@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil import queries_records
+from inkveil import queries_geometry, queries_records
 from inkveil.functions import language, text, validators
 from inkveil.lexicon.patterns import STANDALONE
 from inkveil.lexicon.words import BIC_COUNTRIES, STOP_WORDS, TOKEN_LETTERS, WORD_EDGES
@@ -507,5 +507,6 @@ def distinct_values(spark, sf_dir):
     return simple_regions(spark, sf_dir).select(document.value_key(F.col("text")).alias("key")).distinct()
 
 
-QUERIES |= queries_records.QUERIES
-ORACLES |= queries_records.ORACLES
+for _module in (queries_records, queries_geometry):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
