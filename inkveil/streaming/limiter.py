@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,21 @@ class Limiter:
         return True
 
 
+#: Paths that burn no quota.
+EXEMPT_PREFIXES = ["/health", "/bitmaps/", "/storage-bitmaps/", "/assets/", "/api/warmup", "/api/llm/status", "/api/vault/status", "/api/settings", "/api/documents"]
+EXEMPT_SUFFIXES = ["/detection-progress", "/regions"]
+
+
+def exempt(path: Column, prefixes: list[str] = EXEMPT_PREFIXES, suffixes: list[str] = EXEMPT_SUFFIXES) -> Column:
+    """Whether a path is never limited; a null path is."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | path.startswith(p)
+    for p in suffixes:
+        out = out | path.endswith(p)
+    return F.coalesce(out, F.lit(False))
+
+
 #: Events of a key are ordered by stretches of so many windows.
 STRETCH = 1000
 
@@ -54,10 +69,13 @@ def runs(events: DataFrame, key: str, us: str, seconds: float) -> DataFrame:
     return out.withColumn("run", F.coalesce("__own", "__carried")).select(*events.columns, "run")
 
 
-def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Events with `allowed`. Events of a key are parted at pauses longer than the window (see runs), and each
+def rate_limited(events: DataFrame, limit: int, seconds: float, key: str = "user_id", ts: str = "ts", order: str = "event_id", path: str | None = None) -> DataFrame:
+    """Events with `allowed`; those on exempt paths, if there is a path, are allowed and count for nothing. Events of a key are parted at pauses longer than the window (see runs), and each
     run is streamed in order, batch by batch: state is the window alone. Events of a null key are one key;
     events without a time are not allowed."""
+    if path:
+        free = exempt(F.col(path))
+        return rate_limited(events.where(~free), limit, seconds, key, ts, order).unionByName(events.where(free).withColumn("allowed", F.lit(True)))
     schema = events.withColumn("allowed", F.lit(True)).schema
     micros = F.unix_micros(F.col(ts)).alias("__us")
     parts = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
