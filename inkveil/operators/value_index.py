@@ -71,10 +71,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("words", pa.array([key_words(k) for k in batch.column("key").to_pylist()], pa.int64()))
 
 
-def candidates(keys: DataFrame, pages: DataFrame) -> DataFrame:
+def index_of(pages: DataFrame) -> DataFrame:
+    """The inverted index of pages (doc_id, page_number, text): doc_id, page_number and words, a hash of what stands there."""
+    return pages.mapInArrow(_index, "doc_id string, page_number long, words long")
+
+
+def candidates(keys: DataFrame, index: DataFrame) -> DataFrame:
     """keys (doc_id, key and others) with page_number of each page of the document that holds their first words."""
     keyed = keys.mapInArrow(_keyed, T.StructType([*keys.schema.fields, T.StructField("words", T.LongType())]))
-    index = pages.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_index, "doc_id string, page_number long, words long")
     return index.join(keyed, ["doc_id", "words"]).drop("words")
 
 
@@ -153,16 +157,19 @@ def _sweep(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: int) -> DataFrame:
+def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: int, index: DataFrame | None = None) -> DataFrame:
     """New regions for all occurrences of keys on all pages of their documents.
 
     keys: doc_id, key, pii_type, confidence, source and turn, the order in which values are tried on a page; an
     occurrence counts unless a span of its type covers half of it: one of regions, or one found before it. New
     regions are numbered on after those of their page, from `least` at least, so (document, page, ord) stays unique.
     Values or pages without a doc_id, and values or texts that are null, give nothing; rows that repeat a page
-    share its numbers and spans."""
+    share its numbers and spans. index: that of these pages, if it is stored."""
     pages = pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = candidates(keys.where("doc_id IS NOT NULL AND key IS NOT NULL"), spread(pages))
+    keys = keys.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    if index is None:
+        index = index_of(spread(pages).join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = candidates(keys, index)
     none = lambda kind: F.lit(None).cast(kind)
     turn = keys.schema["turn"].dataType
     value = found.select("doc_id", "page_number", F.lit(2).alias("step"), F.col("key").alias("text"), none("int").alias("start"), none("int").alias("end"), none("int").alias("ord"), "pii_type", "confidence", "source", "turn")

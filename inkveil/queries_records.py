@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil.operators import accounts, mutations, structured
-from inkveil.sources import sinks
+from inkveil.operators import accounts, mutations, splitting, structured
+from inkveil.sources import export, sinks
 from inkveil.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,35 @@ def redact_cells(spark, sf_dir):
 def restore_cells(spark, sf_dir):
     vault = spark.createDataFrame([(token, old) for old, token in _CELLS[1:]], "token_string string, original_text string")
     return structured.restore_cells(redact_cells(spark, sf_dir), vault, "id")
+
+
+_SPLIT = """SELECT source AS doc_id, page, CASE WHEN page % 3 <> 1 THEN size END AS size FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, octet_length(encode(coalesce(text, ''))) AS size FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_SPLIT}),
+  w AS (SELECT *, max(CASE WHEN size IS NOT NULL THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS lo, min(CASE WHEN size IS NOT NULL THEN page END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM p),
+  e AS (SELECT w.doc_id, w.page, CASE WHEN w.size IS NOT NULL THEN w.size WHEN w.hi IS NULL THEN a.size ELSE CAST(trunc(a.size + (w.page - w.lo) * 1.0::DOUBLE / (w.hi - w.lo) * (b.size - a.size)) AS BIGINT) END AS size
+    FROM w LEFT JOIN p a ON a.doc_id = w.doc_id AND a.page = w.lo LEFT JOIN p b ON b.doc_id = w.doc_id AND b.page = w.hi),
+  r AS (SELECT doc_id, page, size, size AS held, 1 AS part FROM e WHERE page = 0 UNION ALL
+    SELECT e.doc_id, e.page, e.size, CASE WHEN r.held + e.size > 20000 THEN e.size ELSE r.held + e.size END, r.part + CASE WHEN r.held + e.size > 20000 THEN 1 ELSE 0 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.page = r.page + 1)
+  SELECT doc_id, page, size, part FROM r""")
+def split_parts(spark, sf_dir):
+    """Documents of a source, split into parts of 20,000 bytes; every third page is not measured."""
+    d = load(spark, sf_dir, "documents")
+    order = Window.partitionBy("source").orderBy("doc_id")
+    pages = d.select(F.col("source").alias("doc_id"), (F.row_number().over(order) - 1).cast("long").alias("page"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    return splitting.split(pages.withColumn("size", F.when(F.col("page") % 3 != 1, F.col("size"))), 20_000).select("doc_id", "page", "size", "part")
+
+
+_STANDING = "SELECT concat('report', CAST(o_orderkey % 9000 AS VARCHAR(9)), CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat(' (', CAST(o_custkey % 4 AS VARCHAR(9)), ')') END, '.txt') AS name FROM orders WHERE o_orderstatus = 'F'"
+
+
+@query(f"""WITH w AS (SELECT c_custkey AS doc_id, concat('report', CAST(c_custkey % 500 AS VARCHAR(9))) AS root, row_number() OVER (PARTITION BY c_custkey % 500 ORDER BY c_custkey) AS turn FROM customer),
+  s AS (SELECT DISTINCT name FROM ({_STANDING})),
+  n AS (SELECT root, unnest(range(0, count(*) + 5)) AS n FROM w GROUP BY 1),
+  f AS (SELECT root, n, row_number() OVER (PARTITION BY root ORDER BY n) AS turn FROM n WHERE concat(root, CASE WHEN n = 0 THEN '' ELSE concat(' (', CAST(n AS VARCHAR), ')') END, '.txt') NOT IN (SELECT name FROM s))
+  SELECT doc_id, concat(w.root, CASE WHEN n = 0 THEN '' ELSE concat(' (', CAST(n AS VARCHAR), ')') END, '.txt') AS file_name FROM w JOIN f ON w.root = f.root AND w.turn = f.turn""")
+def export_names(spark, sf_dir):
+    """Names of many reports where others stand already."""
+    wanted = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("report"), (F.col("c_custkey") % 500).cast("string")).alias("stem"), F.lit(".txt").alias("extension"))
+    return export.numbered_names(wanted, _table(spark, sf_dir, _STANDING)).select("doc_id", "file_name")
