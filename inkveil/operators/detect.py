@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.operators import spans
+from inkveil.operators.keys import join_nulls
 from inkveil.operators.prefilter import Prefilter
 from inkveil.operators.store import spread
 
@@ -78,3 +80,20 @@ def one_pattern(pages: DataFrame, pattern: str, kind: str) -> DataFrame:
     rows = rows.select("doc_id", "page_number", F.posexplode(F.zip_with("m", F.slice("gap", 1, F.size("m")), lambda m, g: F.struct(m.alias("text"), F.length(g).alias("gap")))).alias("ord", "e"), "m", "gap")
     before = F.aggregate(F.slice("gap", 1, F.col("ord") + 1), F.lit(0), lambda s, g: s + F.length(g)) + F.aggregate(F.slice("m", 1, F.col("ord")), F.lit(0), lambda s, m: s + F.length(m))
     return rows.select("doc_id", "page_number", "ord", before.alias("start"), (before + F.length("e.text")).alias("end"), F.col("e.text").alias("text"), F.lit(kind).alias("pii_type"))
+
+
+def boosts(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Spans (doc_id, page_number, start, end, pii_type and others) with `boost`, what the words near them add to their confidence.
+
+    Only the text within reach travels with a span."""
+    text, reach = pages.select("doc_id", "page_number", F.col("text").alias("__text")), spans.WINDOW + 1
+    near = join_nulls(found, text, ["doc_id", "page_number"]).withColumn("__from", F.greatest(F.lit(0), F.col("start") - reach))
+    near = near.withColumn("__text", F.substring("__text", F.col("__from") + 1, F.col("end") - F.col("__from") + reach))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("__text", "__from", "start", "end", "pii_type")), strict=True)
+            added = [spans.boost(t, a - at, b - at, kind) for t, at, a, b, kind in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(added, pa.float64())], names=[*batch.schema.names[:-2], "boost"])
+
+    return near.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("boost", T.DoubleType())]))

@@ -234,11 +234,12 @@ def page_boxes(words: list[Word], config, max_height: float = 28.0, width: float
     """Detected spans of a page with their boxes: read by column, cut to coherent runs, one box a line, grouped,
     in shape (shapes.enforce), not overlapping. A page reaches as far as its words do, `width` and `height` at least."""
     from inkveil.operators.shapes import Region, enforce
-    from inkveil.operators.spans import detect_page
+    from inkveil.operators.spans import detect_page, is_region_noise
 
     width, height = max([width, *(w.x1 for w in words)]), max([height, *(w.y1 for w in words)])
     text, offsets, spans = page_spans(words, config, width)
     found = []
+    set_off = {c.start for c in spans if c.emphasis and len(c.text.split()) >= 2}
     for ord_, c in enumerate(spans):
         start, end = coherent(c.start, c.end, c.kind, offsets)
         boxes = [b for b in line_boxes(start, end, offsets) if b.y1 - b.y0 < max_height]
@@ -249,6 +250,7 @@ def page_boxes(words: list[Word], config, max_height: float = 28.0, width: float
                 found.append((ord_, shared, boxes[i], start, end, text[start:end], c.kind, c.confidence, c.source))
     linked = [(f[3], f[4]) for f in found if f[1]]
     found = [f for f in found if not (f[6] == "ORG" and f[1] is None and any(a <= f[3] and f[4] <= b for a, b in linked))]
+    found = [f for f in found if not is_region_noise(f[6], f[5], f[3] in set_off, config.lexicon)]
 
     def again(chunk: str) -> tuple[str, float, str] | None:
         best = max(detect_page(chunk, config), key=lambda c: c.confidence, default=None)

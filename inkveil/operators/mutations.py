@@ -107,6 +107,12 @@ def redetected(regions: DataFrame, found: DataFrame, pages: DataFrame) -> DataFr
     return kept.select(*regions.columns).unionByName(join_nulls(found, again, ["doc_id", "page_number"]).select(*regions.columns))
 
 
+def on_pages(regions: DataFrame, pages: list[int], document: str | None = None) -> DataFrame:
+    """Regions of some pages, of all documents or of one, by page and ord; without a page number they are on none."""
+    rows = regions.where(F.col("page_number").isin(*pages) if pages else F.lit(False))
+    return (rows if document is None else rows.where(F.col("doc_id") == document)).orderBy("doc_id", "page_number", "ord")
+
+
 def debug_listing(regions: DataFrame) -> DataFrame:
     """pii_type, confidence, source and the first 80 characters of the text, surest first, then by type."""
     rows = regions.select("pii_type", "confidence", "source", F.substring("text", 1, 80).alias("text"), "page_number", "ord")

@@ -45,6 +45,9 @@ class Config:
 
     language: str | None = None  # None or "auto": detect
     allowed: frozenset[str] | None = None
+    #: Types that model layers may give (None or empty: all), and pattern types ticked (None: all): the others go from all layers.
+    model_types: frozenset[str] | None = None
+    pattern_types: frozenset[str] | None = None
     custom: tuple[Custom, ...] = ()
     threshold: float = 0.55
     keep_custom: bool = False
@@ -193,6 +196,21 @@ def heuristic_names(text: str, first_names: frozenset[str]) -> list[Span]:
     return out
 
 
+# The types that patterns are ticked by.
+PATTERN_TYPES = frozenset(["EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IBAN", "DATE", "IP_ADDRESS", "PASSPORT", "DRIVER_LICENSE", "ADDRESS"])
+
+
+def ticked(layers: dict[str, list[Span]], config: Config) -> dict[str, list[Span]]:
+    """Layers without the types that are not ticked: names and zero-shot finds by model_types, all but patterns by pattern_types."""
+    off = PATTERN_TYPES - config.pattern_types if config.pattern_types is not None else frozenset()
+    out = {}
+    for name, found in layers.items():
+        if name in ("NER", "GLINER") and config.model_types:
+            found = [s for s in found if s.kind in config.model_types]
+        out[name] = found if name == "REGEX" else [s for s in found if s.kind not in off]
+    return out
+
+
 def add_if_free(spans: list[Span], more: list[Span]) -> list[Span]:
     """Spans of `more` that overlap none before them, added one by one: each added one blocks later ones."""
     out = list(spans)
@@ -370,6 +388,17 @@ def is_noise(c: Candidate, lexicon: Lexicon = Lexicon()) -> bool:  # noqa: B008
     return False
 
 
+def is_region_noise(kind: str, text: str, emphasised: bool, lexicon: Lexicon = Lexicon()) -> bool:  # noqa: B008
+    """The gates once more, on what regions are after trimming and splitting. emphasised: a candidate of two words or more that
+    began here was set off on its page, so the rules on names of firms do not judge it."""
+    t = text.strip()
+    if kind == "ORG" and (len(t) <= 2 or t.isdigit()):
+        return True
+    if kind == "SSN":
+        return _digits(text) < MIN_DIGITS["SSN"] or bool(re.search("[$€£\n]", text))
+    return is_noise(Candidate(0, len(text), text, kind, 1.0, "REGEX", 0, emphasised), lexicon)
+
+
 def address_ok(text: str) -> bool:
     """An address has letters and digits and no word of a loan schedule."""
     return bool(re.search("[A-Za-zÀ-ÿ]", text) and re.search(r"\d", text)) and not _LOAN.search(text.strip().lower())
@@ -424,7 +453,7 @@ def detect_page(text: str, config: Config, models: dict[str, list[Span]] | None
     layers["REGEX"] = add_if_free(patterns, firms)
     if config.names:
         layers["NER"] = add_if_free(layers.get("NER", []), heuristic_names(text, config.names))
-    found = candidates(layers)
+    found = candidates(ticked(layers, config))
     if not found:
         return []
     layer_boost(found)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil.operators import accounts, mutations, splitting, structured
+from inkveil.functions import validators
+from inkveil.lexicon.words import CONTEXT, PHONE_LABELS
+from inkveil.operators import accounts, detect, document, mutations, spans, splitting, structured
 from inkveil.sources import export, sinks
-from inkveil.sources.tables import load
+from inkveil.sources.tables import document_pages, load, web_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,3 +263,61 @@ def export_names(spark, sf_dir):
     """Names of many reports where others stand already."""
     wanted = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("report"), (F.col("c_custkey") % 500).cast("string")).alias("stem"), F.lit(".txt").alias("extension"))
     return export.numbered_names(wanted, _table(spark, sf_dir, _STANDING)).select("doc_id", "file_name")
+
+
+# Rules of the engine on rows that have both outcomes.
+
+_FORMS = "SELECT c_custkey, concat(c_name, CASE c_custkey % 7 WHEN 0 THEN ' Inc' WHEN 1 THEN ' GmbH' WHEN 2 THEN ' Income' WHEN 3 THEN ', Ltd.' WHEN 4 THEN ' S.A.' WHEN 5 THEN ' Agora' ELSE '' END) AS name FROM customer"
+
+
+@query(f"SELECT c_custkey, regexp_matches(name, '(?i){spans.LEGAL.pattern}') AS legal FROM ({_FORMS})")
+def legal_forms(spark, sf_dir):
+    return _table(spark, sf_dir, _FORMS).select("c_custkey", document.legal_suffix(F.col("name")).alias("legal"))
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS valid FROM customer")
+def iban_check_digits(spark, sf_dir):
+    """German numbers with the right check digits, or the next ones, for every other customer."""
+    c = load(spark, sf_dir, "customer").withColumn("bban", F.lpad((F.col("c_custkey") * 7919 + 1).cast("string"), 18, "0"))
+    rest = F.concat("bban", F.lit("131400")).cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")
+    digits = (98 - rest.cast("int") + F.col("c_custkey") % 2) % 100
+    number = F.concat(F.lit("DE"), F.lpad(digits.cast("string"), 2, "0"), "bban")
+    return c.select("c_custkey", validators.iban(number).alias("valid"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE contains(lower(p_name), 'ring')")
+def file_search(spark, sf_dir):
+    """Names that hold what a user typed, in whatever case."""
+    p = load(spark, sf_dir, "part")
+    return p.where(F.contains(F.lower("p_name"), F.lower(F.lit("RING")))).select("p_partkey", "p_name", "p_size")
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM s""")
+def web_text(spark, sf_dir):
+    """The whole text of each web page."""
+    return web_pages(load(spark, sf_dir, "pages")).select(F.col("page_number").alias("page_id"), "text")
+
+
+def _either(words: list[str]) -> str:
+    listed = "|".join(sorted({re.escape(w) for w in words}, key=lambda w: (-len(w), w))).replace("'", "''").replace("\\ ", " ").replace("\\-", "-")
+    return rf"(?i)(^|[^\p{{L}}\p{{N}}_])({listed})($|[^\p{{L}}\p{{N}}_])"
+
+
+_PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_PHONE}') AS m, string_split_regex(text, '{_PHONE}') AS g FROM documents WHERE regexp_matches(text, '{_PHONE}')),
+  k AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+  s AS (SELECT doc_id, text, CAST(i - 1 AS INTEGER) AS ord, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, length(m[i]) AS n FROM k),
+  w AS (SELECT doc_id, ord, substr(text, greatest(start - {spans.WINDOW}, 0) + 1, least(start, {spans.WINDOW})) AS before, substr(text, start + n + 1, {spans.WINDOW}) AS after FROM s)
+  SELECT doc_id AS page_number, ord, CASE WHEN regexp_matches(before, '{_either(CONTEXT["PHONE"] + PHONE_LABELS)}') OR regexp_matches(after, '{_either(PHONE_LABELS)}') THEN CAST({spans.BOOST} AS DOUBLE) ELSE CAST(-{spans.PHONE_PENALTY} AS DOUBLE) END AS boost FROM w""")
+def phone_boosts(spark, sf_dir):
+    """What labels near them add to telephone numbers, by the detector's own rule."""
+    pages = document_pages(load(spark, sf_dir, "documents"))
+    return detect.boosts(detect.one_pattern(pages, _PHONE, "PHONE"), pages).select("page_number", "ord", "boost")
+
+
+@query(f"SELECT region_id, page_number FROM ({_REGIONS}) WHERE page_number IN (2, 4)")
+def regions_on_pages(spark, sf_dir):
+    return mutations.on_pages(_table(spark, sf_dir, _REGIONS), [2, 4]).select("region_id", "page_number")

@@ -59,3 +59,13 @@ def test_updates_in_order_and_once(spark):
     events = [(1, 1, datetime(2024, 1, 2), "active", None), (1, 1, datetime(2024, 1, 2), "active", None), (2, 1, datetime(2024, 1, 3), "past_due", None), (3, 9, T, "active", T), (4, 2, T, None, datetime(2025, 1, 1))]
     out = accounts.apply_updates(subs, spark.createDataFrame(events, "event_id long, subscription_id long, happened timestamp, status string, current_period_end timestamp"))
     assert sorted(map(tuple, out.collect())) == [(1, "pro", "past_due", None), (2, "pro", "active", datetime(2025, 1, 1))]
+
+
+def test_regions_on_pages(spark):
+    from inkveil.operators import mutations
+
+    rows = [("a", "d", 1, 0), ("b", "d", 2, 1), ("c", "d", 2, 0), ("d", "e", 2, 0), ("e", None, 2, 0), ("f", "d", None, 0)]
+    r = spark.createDataFrame(rows, "region_id string, doc_id string, page_number long, ord int")
+    ids = lambda df: [x.region_id for x in df.collect()]
+    assert ids(mutations.on_pages(r, [2])) == ["e", "c", "b", "d"] and ids(mutations.on_pages(r, [1, 2], "d")) == ["a", "c", "b"]
+    assert ids(mutations.on_pages(r, [])) == []

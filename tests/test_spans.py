@@ -109,3 +109,21 @@ def test_address_content(text, ok):
 
 def test_chunks():
     assert spans.chunks(10, 4, 1) == [(0, 4), (3, 7), (6, 10)] and spans.chunks(0, 4, 1) == [(0, 0)]
+
+
+def test_types_that_are_not_ticked():
+    layers = {k: [spans.Span(0, 3, "abc", kind, 0.9) for kind in ("EMAIL", "PERSON", "DATE")] for k in ("REGEX", "NER", "GLINER", "LLM")}
+    kinds = lambda config: {k: [s.kind for s in v] for k, v in spans.ticked(layers, config).items()}
+    assert kinds(spans.Config()) == kinds(spans.Config(model_types=frozenset())) == {k: ["EMAIL", "PERSON", "DATE"] for k in layers}
+    got = kinds(spans.Config(model_types=frozenset({"PERSON"})))
+    assert got["NER"] == got["GLINER"] == ["PERSON"] and got["LLM"] == got["REGEX"] == ["EMAIL", "PERSON", "DATE"]
+    got = kinds(spans.Config(pattern_types=frozenset({"DATE"})))
+    assert got["REGEX"] == ["EMAIL", "PERSON", "DATE"] and all(got[k] == ["PERSON", "DATE"] for k in ("NER", "GLINER", "LLM"))
+
+
+def test_gates_on_regions():
+    noise = spans.is_region_noise
+    bad = [("EMAIL", "nobody"), ("CREDIT_CARD", "4111 1111"), ("PASSPORT", "A 1 2"), ("PHONE", "2024-01-02"), ("PHONE", "12 34"), ("ORG", "AB"), ("ORG", "12345"), ("PERSON", "A1"), ("SSN", "1.234.567 €"), ("SSN", "123\n45678"), ("PHONE", "555\n1234567"), ("ADDRESS", "12345"), ("DRIVER_LICENSE", "A123")]
+    good = [("EMAIL", "a@b.org"), ("PHONE", "+1 555 123 4567"), ("SSN", "12 345 678"), ("SSN", "123-45-6789"), ("ADDRESS", "12 Main Street"), ("ORG", "Acme Widgets Inc"), ("PERSON", "Anna Smith")]
+    assert all(noise(k, t, False) for k, t in bad) and not any(noise(k, t, False) for k, t in good)
+    assert noise("ORG", "Alpha est Beta", False) and not noise("ORG", "Alpha est Beta", True)
