@@ -18,9 +18,12 @@ from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
 from inkveil.lexicon.words import TOKEN_LETTERS
 from inkveil.operators.spans import Span
 from inkveil.operators.store import spread
+from inkveil.operators.value_index import index_of, key_words, plain
 
 _SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
 
+_INNER = re.compile(r"\w+")
+
 
 def _lower(text: str) -> str:
     """Lower case, of the same length."""
@@ -282,3 +285,30 @@ def split_sizes(sizes: list[int], budget: int) -> list[tuple[int, int]]:
             first, held = i, 0
         held += n
     return [*out, (first, len(sizes) - 1)] if sizes else []
+
+
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms with the hash of two neighbouring words inside them (of one word, if there are no two): the longest, as long words
+    are rare. Words at the edges may be parts of longer ones in a text, so they are no seeds; 0 stands in every text."""
+    for batch in batches:
+        seeds = []
+        for term in batch.column("term").to_pylist():
+            inner = _INNER.findall(plain(term).lower())[1:-1]
+            pairs = [f"{a} {b}" for a, b in zip(inner, inner[1:])] or inner  # noqa: B905
+            seeds.append(key_words(max(pairs, key=lambda p: (len(p), p))) if pairs else 0)
+        yield batch.append_column("words", pa.array(seeds, pa.int64()))
+
+
+def containing_terms(rows: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term_id and row_id of all rows whose text contains a term of the table terms (term_id, term), as it is written.
+
+    Terms and texts meet in an equi-join of a pair of words inside the term with the distinct words of each text, and what
+    met is compared. Neither terms nor texts pass through the driver or meet in one task. An empty term is in every text, a
+    null one in none; terms of one or two words are compared with every text."""
+    base = rows.select(F.lit("").alias("doc_id"), F.col(id_col).cast("long").alias("page_number"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    known = terms.select(F.col("term_id").cast("long").alias("term_id"), "term").where("term IS NOT NULL")
+    seeds = known.mapInArrow(_seeded, "term_id long, term string, words long").select("term_id", "words")
+    index = index_of(spread(base.withColumn("text", F.when(F.col("text") == "", " ").otherwise(F.col("text")))))
+    met = index.join(seeds, "words").select("term_id", "page_number").distinct()
+    pairs = met.join(base.select("page_number", "text"), "page_number").join(known, "term_id")
+    return pairs.where(F.contains("text", "term")).select("term_id", F.col("page_number").alias("row_id")).distinct()

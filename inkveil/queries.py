@@ -470,7 +470,9 @@ def rate_limit_hits(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def blacklist_exact(spark, sf_dir):
-    found = search.containing(load(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id")
+    """The passages of the benchmark stand for a user's list of terms."""
+    terms = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
+    found = search.containing_terms(load(spark, sf_dir, "documents"), terms)
     return found.select(F.col("term_id").alias("item_id"), F.col("row_id").alias("doc_id"))
 
 

@@ -132,3 +132,15 @@ def test_long_passages_with_errors_and_lists_in_parts(spark, monkeypatch):
     got = search.containing(docs, [(1, "abc"), (2, "bc"), (3, ""), (4, "bc")], "n", "t").collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2)]
     assert search.containing(docs, [], "n", "t").count() == 0
+
+
+def test_terms_of_a_table_in_texts(spark):
+    from inkveil.operators.search import containing_terms
+
+    texts = {1: "the quick brown foxes run", 2: "QUICK brown fox", 3: "", 4: None, 5: "a b c d e", 6: "déjà vu encore une fois", 7: "x" * 1000, 8: "a, b; c"}
+    terms = {1: "quick brown fox", 2: "ick brown fo", 3: "", 4: None, 5: "b c d", 6: "jà vu encore un", 7: "xx", 8: ", b; ", 9: "none of these words", 10: "brown fox"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(list(terms.items()), "term_id long, term string")
+    got = {tuple(r) for r in containing_terms(rows, table).collect()}
+    assert got == {(k, i) for k, term in terms.items() for i, t in texts.items() if t is not None and term is not None and term in t}
+    assert containing_terms(rows.limit(0), table).count() == containing_terms(rows, table.limit(0)).count() == 0
