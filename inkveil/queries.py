@@ -333,12 +333,6 @@ def redact_without_ids(spark, sf_dir):
     return vault.redact(pages, r).select("page_number", "text")
 
 
-@query()
-def tokenize(spark, sf_dir):
-    pages, regions, _ = _tokens(spark, sf_dir)
-    return vault.redact(pages, regions)
-
-
 _LETTER = "CASE pii_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TOKEN_LETTERS.items()) + " ELSE 'U' END"
 
 
@@ -351,6 +345,19 @@ def minted_tokens(spark, sf_dir):
 _NUMBER = f"CASE WHEN rank < {vault.SPACE} THEN '[' || letter || lpad(CAST((rank * {vault.STEP} + {vault.SHIFT}) % {vault.SPACE} AS VARCHAR), 5, '0') || ']' ELSE '[ANON_' || letter || '_' || lpad(hex(rank - {vault.SPACE}), 12, '0') || ']' END"
 
 
+@query(f"""WITH t AS (SELECT *, {_LETTER} AS letter FROM {REGIONS_SQL} WHERE action IN ('REMOVE', 'TOKENIZE')),
+  n AS (SELECT *, row_number() OVER (PARTITION BY letter, action ORDER BY doc_id, page_number, start, "end", ord) - 1 AS rank FROM t),
+  b AS (SELECT doc_id, page_number, start, "end", action, CASE WHEN action = 'REMOVE' THEN '---' ELSE {_NUMBER} END AS put FROM n),
+  o AS (SELECT *, coalesce(max("end") OVER (PARTITION BY page_number ORDER BY start, "end", put ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM b),
+  k AS (SELECT o.*, d.text AS page FROM o JOIN documents d ON d.doc_id = o.page_number WHERE start >= prior),
+  s AS (SELECT page_number, string_agg(substr(page, prior + 1, start - prior) || put, '' ORDER BY start) AS done, max("end") AS last, count(*) FILTER (WHERE action = 'TOKENIZE') AS tokens, count(*) FILTER (WHERE action = 'REMOVE') AS removed FROM k GROUP BY 1)
+  SELECT d.source AS doc_id, d.doc_id AS page_number, coalesce(s.done || substr(d.text, s.last + 1), d.text, '') AS text, CAST(coalesce(s.tokens, 0) AS INTEGER) AS tokens_created, CAST(coalesce(s.removed, 0) AS INTEGER) AS regions_removed
+  FROM documents d LEFT JOIN s ON s.page_number = d.doc_id""")
+def tokenize(spark, sf_dir):
+    pages, regions, _ = _tokens(spark, sf_dir)
+    return vault.redact(pages, regions)
+
+
 @query(f"""WITH r AS (SELECT *, {_LETTER} AS letter FROM {REGIONS_SQL} WHERE action = 'TOKENIZE'),
   n AS (SELECT letter, count(*) FILTER (WHERE page_number % 2 = 0) AS n FROM r GROUP BY 1),
   m AS (SELECT r.*, n.n, row_number() OVER (PARTITION BY letter ORDER BY doc_id, page_number, start, "end", ord) - 1 AS j FROM r JOIN n USING (letter) WHERE page_number % 2 = 1)
