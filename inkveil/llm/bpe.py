@@ -4,8 +4,9 @@ Documents are split into words as the tokenizer's pre-tokenizer does; each block
 its own word list, and a document becomes positions in its block's list. The lists are dealt out by
 a hash of the word, so that all rows of a word meet: there each distinct word is encoded once, and
 its ids go back to every block and position that asked. A document's ids are put together by
-position; pieces come from an id-to-piece join, a lookup in the tokenizer's piece table, whose size
-is a constant of the tokenizer.
+position. Decoding joins ids to pieces: the distinct ids of a block, as rows, meet the tokenizer's table
+of pieces (whose size is a constant of the tokenizer, so it is broadcast), and the block's documents are put
+together from the pieces that came back, a row a block, at most as many as there are ids.
 
 Blocks hold at most BLOCK_WORDS distinct words and BLOCK_POSITIONS words, or one document. The
 distinct words grow with the corpus and are never broadcast; a frequent word is one entry a block,
@@ -154,11 +155,20 @@ def _encode(path: str):
     return run
 
 
-def _assemble(pieces):
+def _used(words: pa.Table) -> pa.Table:
+    """The distinct ids of a block."""
+    ids = np.unique(np.concatenate([unpack(x) for x in words.column("ids").to_pylist()]))
+    return pa.table({"owner": pa.array([words.column("owner")[0].as_py()] * len(ids), pa.int64()), "id": pa.array(ids, pa.int64())})
+
+
+def _assemble():
     def kernel(docs: pa.Table, words: pa.Table) -> pa.Table:
-        """Documents of a block with the ids of its words."""
-        name, found = pieces.value, {}
-        for pos, counts, ids in zip(*(words.column(c).to_pylist() for c in ("pos", "counts", "ids")), strict=True):
+        """Documents of a block with the ids of its words, and the pieces of these."""
+        name, found = {}, {}
+        for pos, counts, ids, pieces in zip(*(words.column(c).to_pylist() for c in ("pos", "counts", "ids", "pieces")), strict=True):
+            if pieces is not None:
+                name = {p["id"]: p["piece"] for p in pieces}
+                continue
             ends = np.cumsum(unpack(counts))
             for p, part in zip(np.cumsum(unpack(pos)).tolist(), np.split(unpack(ids), ends[:-1]), strict=True):
                 found[p] = part.tobytes()
@@ -204,9 +214,13 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", carry: lis
     back = scratch.save(lists.mapInArrow(_encode(path), "owner long, pos binary, counts binary, ids binary"), "back")
     scratch.drop("split/kind=1")
     out = T.StructType([T.StructField("row", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    pieces = spark.sparkContext.broadcast(id_pieces(path))  # as many as the tokenizer has ids
+    pieces = spark.createDataFrame(list(enumerate(id_pieces(path))), "id long, piece string")
+    used = back.select("owner", "ids").groupBy("owner").applyInArrow(_used, "owner long, id long").join(F.broadcast(pieces), "id")  # as many as the tokenizer has ids
+    named = used.groupBy("owner").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    none = F.lit(None).cast("binary")
+    found = back.withColumn("pieces", F.lit(None).cast(named.schema["pieces"].dataType)).unionByName(named.select("owner", none.alias("pos"), none.alias("counts"), none.alias("ids"), "pieces"))
     stored = spark.table(table).where("kind = 0").select("block", "rows", "at", "words")
-    return stored.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(_assemble(pieces), out)
+    return stored.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(_assemble(), out)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
