@@ -350,3 +350,37 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = digests(own, found).withColumnRenamed("conv", "d_conv")
     out = found.join(sha, on=F.col("conv").eqNullSafe(F.col("d_conv")))
     return out.select(F.col("conv").alias("conv_id"), "gaps", *COUNTS, "audit", "repaired_sha256")
+
+
+_EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: The same edits by comparing whole strings: g has, for each state, the least (cost, edits) of what follows a turn.
+ORACLE_OP13 = f"""
+WITH RECURSIVE t(i, c, k) AS (SELECT i, CAST(i AS UBIGINT), 0 FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS e FROM t WHERE k = 8),
+q AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS word FROM conversations),
+z AS (SELECT q.*, CAST(xor(list_reduce(list_transform(range(1, length(word) + 1), lambda i: CAST(ascii(substr(word, i, 1)) AS UBIGINT)),
+  lambda s, x: xor(s >> 8, tab.e[CAST(xor(s, x) % 256 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 20 AS INTEGER) AS kind FROM q, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM z WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {_EDGE}) AS solid, substr(role, 1, 1) AS first FROM d),
+f AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first AS two FROM o),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+dp(conv_id, i, g) AS (SELECT conv_id, n + 1, [{{'c': 0, 'a': ''}}, {{'c': 6, 'a': 'II'}}, {{'c': 3, 'a': 'I'}}, {{'c': 0, 'a': ''}}] FROM s UNION ALL
+  SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda p: list_min([r[p], {{'c': r[[3, 3, 4, 3][p]].c + 3, 'a': 'I' || r[[3, 3, 4, 3][p]].a}}, {{'c': r[[4, 4, 3, 4][p]].c + 6, 'a': 'II' || r[[4, 4, 3, 4][p]].a}}])) FROM (
+    SELECT dp.conv_id, f.i, list_transform([1, 2, 3, 4], lambda p: list_min([{{'c': g[p].c + 4, 'a': 'D' || g[p].a}},
+      {{'c': CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE g[[3, 3, 4, 3][p]].c + CASE WHEN fault = '' THEN 0 ELSE 3 END + CASE WHEN first = ['u', 'u', 'a', 'u'][p] THEN 0 ELSE 3 END END, 'a': CASE WHEN first = ['u', 'u', 'a', 'u'][p] THEN 'K' ELSE 'R' END || g[[3, 3, 4, 3][p]].a}},
+      {{'c': CASE WHEN p > 1 OR first <> 's' OR fault IN ('blank', 'duplicate') THEN 1000000 ELSE g[2].c + CASE WHEN fault = '' THEN 0 ELSE 3 END END, 'a': 'K' || g[2].a}}])) AS r
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i - 1)),
+e AS (SELECT conv_id, g[1].c AS cost, g[1].a AS audit FROM dp WHERE i = 1),
+w(conv_id, audit, k, p, i) AS (SELECT conv_id, audit, 1, 1, CAST(1 AS BIGINT) FROM e UNION ALL
+  SELECT w.conv_id, audit, k + 1, CASE WHEN substr(audit, k, 1) = 'D' THEN p WHEN substr(audit, k, 1) = 'K' AND p = 1 AND first = 's' THEN 2 ELSE [3, 3, 4, 3][p] END, w.i + CASE WHEN substr(audit, k, 1) = 'I' THEN 0 ELSE 1 END
+  FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE k <= length(audit)),
+m AS (SELECT w.conv_id, k, CASE substr(audit, k, 1) WHEN 'K' THEN role || ':' || text WHEN 'R' THEN ['user', 'user', 'assistant', 'user'][p] || ':' || text ELSE ['user', 'user', 'assistant', 'user'][p] || ':' END AS line
+  FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE k <= length(audit) AND substr(audit, k, 1) <> 'D'),
+h AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS lines FROM m GROUP BY 1),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: What SQL can express of op3, op5 and op12, by the same operators.
 QUERIES |= {"shards_by_bytes": sharding.shards_by_bytes, "secret_counts": secrets.secret_counts, "url_rules": url_filter.url_rules}
 
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7, "shards_by_bytes": sharding.ORACLE_SHARDS, "secret_counts": secrets.ORACLE_COUNTS, "op11_importance_resampling": importance.ORACLE_OP11, "url_rules": url_filter.ORACLE_RULES}
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_OP7, "shards_by_bytes": sharding.ORACLE_SHARDS, "secret_counts": secrets.ORACLE_COUNTS, "op11_importance_resampling": importance.ORACLE_OP11, "op13_conversation_repair": conversations.ORACLE_OP13, "url_rules": url_filter.ORACLE_RULES}
