@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def replaced(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of both, but of new ones the last by `order` for each key, which takes the place of stored ones with that key."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
+    """Rows of both, but of new ones the last by `order` for each key (of equal ones the one that is greatest as JSON), which
+    takes the place of stored ones with that key."""
+    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.to_json(F.struct(*new.columns))))
     once = new.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
     return stored.join(once.select(key), key, "left_anti").select(*stored.columns).unionByName(once.select(*stored.columns))
 
 
 class DocumentTable:
     """Documents (rows with an id) in a folder: each save or deletion appends what changed, as one Spark write that
-    is there whole or not at all; reading takes the last state of each id. Rows without an id are not kept."""
+    is there whole or not at all; reading takes the last state of each id: by time, then by the order of the writes (`__seq`, the
+    writer's clock), then the row that is greatest as JSON. Rows without an id are not kept."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path, key
 
     def _append(self, rows: DataFrame, at: Column, gone: bool) -> None:
-        marked = rows.where(F.col(self.key).isNotNull()).withColumns({"__at": at, "__gone": F.lit(gone)})
+        marked = rows.where(F.col(self.key).isNotNull()).withColumns({"__at": at, "__gone": F.lit(gone), "__seq": F.lit(time.time_ns())})
         marked.write.mode("append").option("mergeSchema", "true").parquet(self.path)
 
     def save(self, rows: DataFrame, at: Column | None = None) -> None:
@@ -35,9 +39,10 @@ class DocumentTable:
     def read(self) -> DataFrame:
         """All documents as last saved."""
         rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
-        last = Window.partitionBy(self.key).orderBy(F.desc("__at"))
+        seq = F.col("__seq") if "__seq" in rows.columns else F.lit(0)
+        last = Window.partitionBy(self.key).orderBy(F.desc("__at"), F.desc(F.coalesce(seq, F.lit(0))), F.desc(F.to_json(F.struct(*rows.columns))))
         live = rows.withColumn("__r", F.row_number().over(last)).where("__r = 1 AND NOT __gone")
-        return live.drop("__r", "__at", "__gone")
+        return live.drop("__r", "__at", "__gone", "__seq")
 
     def compact(self, path: str) -> DocumentTable:
         """The same documents in a new folder, without what was replaced or deleted."""

@@ -31,3 +31,18 @@ def test_register_tokens_and_manifest(spark):
     row = sinks.manifest(tokens).first()
     assert [x["original_text"] for x in json.loads(row.value)["tokens"]] == ["a@x", "b@x"]
     assert sinks.manifest(tokens.limit(0)).count() == 0
+
+
+def test_later_writes_of_one_time_win(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from inkveil.sources.sinks import DocumentTable
+
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    held = DocumentTable(spark, f"file://{tmp_path}/documents")
+    for k in range(3):
+        held.save(spark.createDataFrame([("a", f"v{k}"), ("b", f"v{k}")], "doc_id string, text string"), at)
+    held.delete(spark.createDataFrame([("b",)], "doc_id string"), at)
+    assert [tuple(r) for r in held.read().collect()] == [("a", "v2")]
+    held.save(spark.createDataFrame([("b", "x"), ("b", "y")], "doc_id string, text string"), at)
+    assert {tuple(r) for r in held.read().collect()} == {("a", "v2"), ("b", "y")}
