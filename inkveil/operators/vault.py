@@ -27,7 +27,7 @@ def free_ranks(vault: DataFrame | None, cursors: dict[str, tuple[int, int]], let
 
     At most SPACE rows a letter."""
     first = spark.createDataFrame([(k, cursors.get(k, (0, 0))[0]) for k in letters], "letter string, short long")
-    ranks = first.join(spark.range(SPACE).withColumnRenamed("id", "rank"), F.col("rank") >= F.col("short")).select("letter", "rank")
+    ranks = first.where(F.col("short") < SPACE).select("letter", F.explode(F.sequence(F.col("short"), F.lit(SPACE - 1).cast("long"))).alias("rank"))
     if vault is not None:
         number = F.regexp_extract("token_string", r"^\[[A-Z]([0-9]{5})\]$", 1)
         held = vault.where(number != "").select(F.substring("token_string", 2, 1).alias("letter"), F.pmod((number.cast("long") - SHIFT) * pow(STEP, -1, SPACE), F.lit(SPACE)).alias("rank"))
