@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -58,37 +58,56 @@ def best_place(key: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]
     return (end - length, end) if length else None
 
 
+def plain_text(text: str) -> str:
+    """The form in which terms are searched; as long as the text."""
+    return strip_accents_py(text).translate(_SPACES)
+
+
+_pattern = lru_cache(maxsize=4096)(flex_pattern)
+
+
+@lru_cache(maxsize=4096)
+def term_seeds(term: str, fuzziness: float) -> tuple[str, int, tuple[tuple[str, int], ...]]:
+    """A term's key, the edits it may have, and its seeds with their offsets: its longest word (offset -1), and, for
+    misspelled places, its edits + 1 parts, one of which stands unchanged in any place with so few edits."""
+    key = " ".join(_lower(plain_text(term)).split())
+    if not key:
+        return "", 0, ()
+    fuzzy = fuzziness < 0.98
+    edits = max(1, round(len(key) * (1 - fuzziness))) if fuzzy else 0
+    seeds = [(max(key.split(" "), key=len), -1)]
+    if fuzzy and len(key) > edits:
+        cuts = [len(key) * j // (edits + 1) for j in range(edits + 2)]
+        seeds += [(key[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return key, edits, tuple(seeds)
+
+
 class TermFinder:
     """Places of many terms in a text, whatever their case, accents, quotes and white space; below a fuzziness
     of 0.98 also places with up to one edit, or that share of a term's length, if more.
 
-    One automaton looks for a seed of every term: its longest word, and, for misspelled places, its edits + 1
-    parts, one of which stands unchanged in any place with so few edits. Only around seeds is a term compared."""
+    One automaton looks for the seeds of every term (see term_seeds). Only around seeds is a term compared."""
 
     def __init__(self, terms: list[tuple[int, str]], fuzziness: float = 1.0):
         self.fuzzy, self.terms = fuzziness < 0.98, []
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, term in terms:
-            key = " ".join(_lower(strip_accents_py(term)).translate(_SPACES).split())
+            key, edits, parts = term_seeds(term, fuzziness)
             if not key:
                 continue
-            edits = max(1, round(len(key) * (1 - fuzziness))) if self.fuzzy else 0
             k = len(self.terms)
-            self.terms.append((i, key, flex_pattern(key), _codes(key), edits))
-            seeds.setdefault(max(key.split(" "), key=len), []).append((k, -1))
-            if self.fuzzy and len(key) > edits:
-                cuts = [len(key) * j // (edits + 1) for j in range(edits + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    seeds.setdefault(key[a:b], []).append((k, a))
+            self.terms.append((i, key, _codes(key), edits))
+            for part, offset in parts:
+                seeds.setdefault(part, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for seed, who in seeds.items():
             self.automaton.add_word(seed, (len(seed), who))
         self.automaton.make_automaton()
-        self.tiny = [k for k, t in enumerate(self.terms) if self.fuzzy and len(t[1]) <= t[4]]
+        self.tiny = [k for k, t in enumerate(self.terms) if self.fuzzy and len(t[1]) <= t[3]]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(term id, number of the place, start, end), terms in order, places from left to right."""
-        plain = strip_accents_py(text).translate(_SPACES)
+        plain = plain_text(text)
         low = _lower(plain)
         exact: set[int] = set()
         near: dict[int, list[int]] = {k: [0] for k in self.tiny}
@@ -100,8 +119,8 @@ class TermFinder:
                     near.setdefault(k, []).append(end + 1 - n - offset)
         out, codes = [], None
         for k in sorted(exact | near.keys()):
-            i, key, pattern, coded, edits = self.terms[k]
-            found = [m.span() for m in pattern.finditer(plain)] if k in exact else []
+            i, key, coded, edits = self.terms[k]
+            found = [m.span() for m in _pattern(key).finditer(plain)] if k in exact else []
             if k in near:
                 codes = _codes(low) if codes is None else codes
                 whole = [(0, len(low))] if k in self.tiny else _windows(near[k], len(key), edits, len(low))
@@ -225,28 +244,15 @@ def _in_lots(rows: DataFrame, terms: list[tuple[int, str]], kernel, schema: str)
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
-def search_terms(pages: DataFrame, terms: list[tuple[int, str]], fuzziness: float = 1.0) -> DataFrame:
-    """All places of a user's list of terms on all pages; the list travels with the kernel, in parts.
+def search_terms(pages: DataFrame, terms: DataFrame | list[tuple[int, str]], fuzziness: float = 1.0) -> DataFrame:
+    """All places of a table of terms (term_id, term), or of a user's short list, on all pages (see term_seeds.search_table).
 
-    Terms that differ only in case or white space are searched once, under the first id."""
-    seen: dict[str, tuple[int, str]] = {}
-    for i, t in terms:
-        if t and t.strip():
-            seen.setdefault(" ".join(t.lower().split()), (i, t))
-
-    def kernel(lot: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            finder = TermFinder(lot, fuzziness)
-            for batch in batches:
-                rows = [(i, doc, page, k, a, b, text[a:b]) for doc, page, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "text")), strict=True) if text for i, k, a, b in finder.find(text)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
-
-        return run
+    Terms that differ only in case or white space are searched once, under the least id."""
+    from inkveil.operators.term_seeds import search_table
 
-    rows = spread(pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text"))
-    return _in_lots(rows, list(seen.values()), kernel, FOUND)
+    if not isinstance(terms, DataFrame):
+        terms = pages.sparkSession.createDataFrame(terms, "term_id long, term string")
+    return search_table(pages, terms, fuzziness)
 
 
 def containing(rows: DataFrame, terms: list[tuple[int, str]], id_col: str, text_col: str = "text") -> DataFrame:

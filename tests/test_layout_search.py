@@ -144,3 +144,30 @@ def test_terms_of_a_table_in_texts(spark):
     got = {tuple(r) for r in containing_terms(rows, table).collect()}
     assert got == {(k, i) for k, term in terms.items() for i, t in texts.items() if t is not None and term is not None and term in t}
     assert containing_terms(rows.limit(0), table).count() == containing_terms(rows, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fuzziness", [1.0, 0.9, 0.7])
+def test_tables_of_terms_are_searched_as_lists_are(spark, monkeypatch, fuzziness):
+    import random
+
+    from inkveil.operators import term_seeds
+
+    rng = random.Random(12)
+    words = ["acme", "Öl", "widgets", "gmbh", "a", "north", "ﬁne", "x1", "of", "the"]
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    terms = [(i, phrase(rng.randrange(1, 7))) for i in range(40)] + [(50, "é"), (51, ""), (52, None), (53, " \n"), (None, "north of the widgets"), (54, "x" * 300)]
+    pages = [(rng.choice(["d", "e", None]), i, phrase(30).replace("c", rng.choice(["c", "k", ""])).replace(" ", rng.choice([" ", "\n", "  "]))) for i in range(25)]
+    pages += [("d", None, terms[3][1]), ("r", 1, "the Acme"), ("r", 1, "the Acme"), ("z", 1, None), ("z", 2, ""), ("y", 1, "x" * 5000), ("y", 2, "E")]
+    monkeypatch.setattr(term_seeds, "ROWS", 40)
+    monkeypatch.setattr(term_seeds, "TERM_CHARS", 60)
+    table = spark.createDataFrame([(i, t, "z") for i, t in terms], "term_id long, term string, seed string")
+    got = search.search_terms(spark.createDataFrame([(*p, 0) for p in pages], "doc_id string, page_number long, text string, r1 int"), table, fuzziness)
+    once: dict[str, tuple] = {}
+    for i, t in sorted((x for x in terms if x[1] and x[1].strip()), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+        once.setdefault(" ".join(t.lower().split()), (i, t))
+    finder = search.TermFinder(list(once.values()), fuzziness)
+    want = [(i, d, n, k, a, b, text[a:b]) for d, n, text in pages if text for i, k, a, b in finder.find(text)]
+    none_last = lambda row: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in (row[0], str(row[1]), *row[2:]))
+    assert want and sorted(map(tuple, got.collect()), key=none_last) == sorted(want, key=none_last)
+    assert search.search_terms(spark.createDataFrame(pages, "doc_id string, page_number long, text string"), [], fuzziness).count() == 0
+    assert search.search_terms(spark.createDataFrame([], "doc_id string, page_number long, text string"), table, fuzziness).count() == 0
