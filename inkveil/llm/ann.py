@@ -19,9 +19,11 @@ precision.
 The graph is the approximate part of the method, and its recall is measured against brute force in the
 tests. Copies of a vector stand behind their node with their least ids, as many as a result can hold.
 
-Defined results: vectors that are null, all zero, or hold null or non-finite components take no part,
-nor do those whose dimension is not the most common one, as no inner product with the others exists;
-fewer candidates than k give all of them; ties go to the smaller id; null ids take no part; rows that
+Vectors of different dimensions have no inner product: each dimension has its own cells, edges, entries and end of
+rounds, all worked on in the same jobs. What the driver holds is one centre a dimension.
+
+Defined results: vectors that are null, all zero, or hold null or non-finite components take no part;
+a vector is near to those of its own dimension only; fewer candidates than k give all of them; ties go to the smaller id; null ids take no part; rows that
 repeat an id count once; other columns are ignored; an empty table gives an empty result. Made for
 vectors of like length: with lengths that differ much, short vectors may be found less often.
 """
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +61,24 @@ def halves(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.float16).reshape(len(col), -1).astype(np.float32)
 
 
-FOUND = "node long, ids binary, sims binary, fresh binary"
+def of_widths(widths: np.ndarray) -> Iterator[tuple[int, pa.Array]]:
+    """Each different width, with the rows that have it."""
+    for d in np.unique(widths).tolist():
+        yield d, pa.array(np.flatnonzero(widths == d))
+
+
+FOUND = "dim int, node long, ids binary, sims binary, fresh binary"
 
 
-def packed(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
-    """One row for each run of equal nodes, with its ids (int64), sims (float32) and flags."""
+def packed(dim: int, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    """One row for each run of equal nodes of one dimension, with its ids (int64), sims (float32) and flags."""
     cut = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))[: len(nodes)] if len(nodes) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(nodes)) if len(cut) else cut
     columns = []
     for values, kind in ((ids, np.int64), (sims, np.float32), (fresh, np.uint8)):
         raw, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
         columns.append(pa.array([raw[a * width : b * width] for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()))
-    return pa.table([pa.array(nodes[cut], pa.int64()), *columns], names=["node", "ids", "sims", "fresh"])
+    return pa.table([pa.array(np.full(len(cut), dim), pa.int32()), pa.array(nodes[cut], pa.int64()), *columns], names=["dim", "node", "ids", "sims", "fresh"])
 
 
 def unpacked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,22 +88,23 @@ def unpacked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, n
     return np.repeat(rows.column("node").to_numpy(), n), ids, sims, fresh
 
 
-def _cell(degree: int, centre: np.ndarray):
+def _cell(degree: int, centres: dict[int, np.ndarray]):
     """All pairs of a cell, the best `degree` of each node."""
 
     def kernel(group: pa.Table) -> pa.Table:
         nodes, v = group.column("node").to_numpy(), halves(group.column("half"))
-        sims = (v + centre) @ v.T
+        dim = v.shape[1]
+        sims = (v + centres[dim]) @ v.T
         np.fill_diagonal(sims, -np.inf)
         k = min(degree, len(nodes) - 1)
         at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.empty((len(nodes), 0), np.int64)
-        return packed(np.repeat(nodes, k), nodes[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(at.size))
+        return packed(dim, np.repeat(nodes, k), nodes[at].ravel(), np.take_along_axis(sims, at, 1).ravel(), np.ones(at.size))
 
     return kernel
 
 
 def _merge(degree: int):
-    """The best `degree` of all that a group of nodes has and has learnt. Ids that were there keep their flag, 0; learnt ones are new."""
+    """The best `degree` of all that a group of nodes of one dimension has and has learnt. Ids that were there keep their flag, 0; learnt ones are new."""
 
     def kernel(group: pa.Table) -> pa.Table:
         node, ids, sims, fresh = unpacked(group)
@@ -107,17 +117,18 @@ def _merge(degree: int):
         node, ids, sims, fresh = node[order], ids[order], sims[order], fresh[order]
         rank = np.arange(len(node)) - np.searchsorted(node, node)
         keep = rank < degree
-        return packed(node[keep], ids[keep], sims[keep], fresh[keep])
+        return packed(group.column("dim")[0].as_py(), node[keep], ids[keep], sims[keep], fresh[keep])
 
     return kernel
 
 
-def _meet(learn: int, centre: np.ndarray):
+def _meet(learn: int, centres: dict[int, np.ndarray]):
     """Of the nodes that meet at a node each learns of the best others, where one of the two is new there."""
 
     def kernel(group: pa.Table) -> pa.Table:
         at, member = group.column("node").to_numpy(), group.column("member").to_numpy()
         fresh, least, v = group.column("fresh").to_numpy().astype(bool), group.column("least").to_numpy(), halves(group.column("half"))
+        dim, centre = v.shape[1], centres[v.shape[1]]
         order = np.lexsort((~fresh, member, at))
         once = np.ones(len(order), bool)
         once[1:] = (at[order][1:] != at[order][:-1]) | (member[order][1:] != member[order][:-1])
@@ -131,7 +142,7 @@ def _meet(learn: int, centre: np.ndarray):
             if out:
                 node, ids, sims = (np.concatenate(c) for c in zip(*out, strict=True))
                 order = np.lexsort((ids, node))
-                news.append(packed(node[order], ids[order], sims[order], np.ones(len(order))))
+                news.append(packed(dim, node[order], ids[order], sims[order], np.ones(len(order))))
                 out.clear()
 
         for k, end in enumerate(ends.tolist()):
@@ -150,18 +161,19 @@ def _meet(learn: int, centre: np.ndarray):
             if k % PACKED == PACKED - 1:
                 pack()
         pack()
-        return pa.concat_tables(news) if news else packed(*(np.empty(0, np.int64),) * 4)
+        return pa.concat_tables(news) if news else packed(dim, *(np.empty(0, np.int64),) * 4)
 
     return kernel
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: np.ndarray | float = 0.0
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        if batch.num_rows:
-            total = total + matrix(batch.column("vec")).sum(axis=0, dtype=np.float64)
-    if isinstance(total, np.ndarray):
-        yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["dim", "total"])
+        vec = batch.column("vec")
+        for d, rows in of_widths(pc.list_value_length(vec).to_numpy()):
+            total[d] = total.get(d, 0.0) + matrix(vec.take(rows)).sum(axis=0, dtype=np.float64)
+    for d, sums in total.items():
+        yield pa.record_batch([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(sums)], names=["dim", "at", "total"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,60 +192,64 @@ def _least(degree: int):
                 sims = [np.frombuffer(x, np.float32) for x in batch.column("sims").to_pylist()]
                 fresh = [sum(x) for x in batch.column("fresh").to_pylist()]
                 least = [float(s.min()) if len(s) >= degree else float("-inf") for s in sims]
-                yield pa.record_batch([batch.column("node"), pa.array(least, pa.float32()), pa.array(fresh, pa.int64())], names=["node", "least", "n_fresh"])
+                yield pa.record_batch([batch.column("dim"), batch.column("node"), pa.array(least, pa.float32()), pa.array(fresh, pa.int64())], names=["dim", "node", "least", "n_fresh"])
 
     return run
 
 
-def start_graph(nodes: DataFrame, n: int, degree: int, centre: np.ndarray, starts: int = STARTS, cell: int = CELL) -> DataFrame:
-    """Rows of FOUND from random cuts. Sides of hyperplanes, as many as leave a cell's nodes on one side
-    of all if nodes lie evenly, name a region; a region with more is dealt into cells by hash."""
-    planes = max(0, int(np.ceil(np.log2(max(1, n / cell)))))
+def start_graph(nodes: DataFrame, counts: dict[int, int], degree: int, centres: dict[int, np.ndarray], starts: int = STARTS, cell: int = CELL) -> DataFrame:
+    """Rows of FOUND from random cuts. nodes: (dim, node, half); counts: nodes of each dimension. Sides of hyperplanes, as many as
+    leave a cell's nodes on one side of all if nodes lie evenly, name a region; a region with more is dealt into cells by hash."""
+    planes = {d: max(0, int(np.ceil(np.log2(max(1, n / cell))))) for d, n in counts.items()}
 
     def sides(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    v = halves(batch.column("half"))
-                    cuts = np.random.default_rng(977 + turn).normal(size=(v.shape[1], planes))
-                    region = ((v @ cuts > 0) @ (1 << np.arange(planes, dtype=np.int64))).astype(np.int64)
-                    yield pa.record_batch([pa.array(region), batch.column("node"), batch.column("half")], names=["region", "node", "half"])
+                for d, rows in of_widths(batch.column("dim").to_numpy()):
+                    part = batch.take(rows)
+                    v = halves(part.column("half"))
+                    cuts = np.random.default_rng(977 + turn).normal(size=(d, planes[d]))
+                    region = ((v @ cuts > 0) @ (1 << np.arange(planes[d], dtype=np.int64))).astype(np.int64)
+                    yield pa.record_batch([part.column("dim"), pa.array(region), part.column("node"), part.column("half")], names=["dim", "region", "node", "half"])
 
         return run
 
     lists = None
     for turn in range(starts):
-        dealt = nodes.mapInArrow(sides(turn), "region long, node long, half binary")
-        sizes = dealt.groupBy("region").agg(F.count("*").alias("n"))
-        dealt = dealt.join(sizes, "region").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (2 * cell))))
-        found = dealt.groupBy("region", "cell").applyInArrow(_cell(degree, centre), FOUND)
+        dealt = nodes.mapInArrow(sides(turn), "dim int, region long, node long, half binary")
+        sizes = dealt.groupBy("dim", "region").agg(F.count("*").alias("n"))
+        dealt = dealt.join(sizes, ["dim", "region"]).withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (2 * cell))))
+        found = dealt.groupBy("dim", "region", "cell").applyInArrow(_cell(degree, centres), FOUND)
         lists = found if lists is None else lists.union(found)
     return lists
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED, rounds: int | None = None) -> DataFrame:
     """Rows of FOUND: about the `degree` nearest nodes of each node. nodes: (node, vec). rounds: the most that are made, if given."""
-    peak = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m"), F.count("*").alias("n")).first()
-    n, scale = peak.n, peak.m or 1.0
-    means = nodes.select("vec").mapInArrow(_sums, "dim int, total double").groupBy("dim").agg(F.sum("total").alias("total")).orderBy("dim").collect()
-    centre = np.array([r.total / n / scale for r in means], np.float32)
+    peaks = nodes.groupBy(F.size("vec").alias("dim")).agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m"), F.count("*").alias("n")).collect()
+    counts, scales = {r.dim: r.n for r in peaks}, {r.dim: r.m or 1.0 for r in peaks}
+    n = sum(counts.values())
+    means: dict[int, list[float]] = {d: [] for d in counts}
+    for r in nodes.select("vec").mapInArrow(_sums, "dim int, at int, total double").groupBy("dim", "at").agg(F.sum("total").alias("total")).orderBy("dim", "at").collect():
+        means[r.dim].append(r.total / counts[r.dim] / scales[r.dim])
+    centres = {d: np.array(m, np.float32) for d, m in means.items()}
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                v = (matrix(batch.column("vec")) / scale - centre).astype(np.float16)
-                raw, width = v.tobytes(), v.shape[1] * 2
-                yield pa.record_batch([batch.column("node"), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["node", "half"])
+            for d, rows in of_widths(pc.list_value_length(batch.column("vec")).to_numpy()):
+                part = batch.take(rows)
+                raw, width = (matrix(part.column("vec")) / scales[d] - centres[d]).astype(np.float16).tobytes(), 2 * d
+                yield pa.record_batch([pa.array(np.full(len(rows), d, np.int32)), part.column("node"), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["dim", "node", "half"])
 
-    half = scratch.save(nodes.mapInArrow(shrink, "node long, half binary"), "halves")
+    half = scratch.save(nodes.mapInArrow(shrink, "dim int, node long, half binary"), "halves")
     groups = F.pmod(F.xxhash64("node"), F.lit(1 + n // GROUP)).alias("group")
-    graph = start_graph(half, n, degree, centre).groupBy(groups).applyInArrow(_merge(degree), FOUND)
+    graph = start_graph(half, counts, degree, centres).groupBy("dim", groups).applyInArrow(_merge(degree), FOUND)
     graph = scratch.save(graph, "graph-0")
     k = 0
     while True:
-        known = scratch.save(graph.select("node", "sims", "fresh").mapInArrow(_least(degree), "node long, least float, n_fresh long"), f"known-{k}", tidy=False)
-        fresh = known.agg(F.sum("n_fresh")).first()[0] or 0
-        if fresh <= settled * n * degree or k == rounds:
+        known = scratch.save(graph.select("dim", "node", "sims", "fresh").mapInArrow(_least(degree), "dim int, node long, least float, n_fresh long"), f"known-{k}", tidy=False)
+        fresh = known.groupBy("dim").agg(F.sum("n_fresh").alias("n")).collect()
+        if all(r.n <= settled * counts[r.dim] * degree for r in fresh) or k == rounds:
             return graph
         k += 1
         edges = graph.mapInArrow(_edges, "node long, to long, fresh boolean")
@@ -243,27 +259,31 @@ def build_graph(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settle
         back = back.withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= REVERSE).drop("rank")
         meets = edges.select("node", F.col("to").alias("member"), "fresh").union(back)
         active = meets.where("fresh").select("node").distinct()
-        about = half.join(known.select("node", "least"), "node", "left").select(F.col("node").alias("member"), "half", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
+        about = half.join(known.select("node", "least"), "node", "left").select(F.col("node").alias("member"), "dim", "half", F.coalesce("least", F.lit(float("-inf")).cast("float")).alias("least"))
         met = meets.join(active, "node", "left_semi").join(about, "member")
-        learnt = met.groupBy(groups).applyInArrow(_meet(LEARN, centre), FOUND)
+        learnt = met.groupBy("dim", groups).applyInArrow(_meet(LEARN, centres), FOUND)
         # Edges that were there have been met now: they are no longer new.
-        old = graph.select("node", "ids", "sims", F.expr("unhex(repeat('00', cast(octet_length(ids) div 8 as int)))").alias("fresh"))
-        nxt = scratch.save(learnt.union(old).groupBy(groups).applyInArrow(_merge(degree), FOUND), f"graph-{k}")
+        old = graph.select("dim", "node", "ids", "sims", F.expr("unhex(repeat('00', cast(octet_length(ids) div 8 as int)))").alias("fresh"))
+        nxt = scratch.save(learnt.union(old).groupBy("dim", groups).applyInArrow(_merge(degree), FOUND), f"graph-{k}")
         scratch.drop(f"graph-{k - 1}")
         graph = nxt
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            sims = np.einsum("ij,ij->i", matrix(batch.column("q")).astype(np.float64), matrix(batch.column("vec")).astype(np.float64))
-            yield pa.record_batch([batch.column("query"), batch.column("cand"), pa.array(sims)], names=["query", "cand", "sim"])
+        for _, rows in of_widths(pc.list_value_length(batch.column("q")).to_numpy()):
+            part = batch.take(rows)
+            sims = np.einsum("ij,ij->i", matrix(part.column("q")).astype(np.float64), matrix(part.column("vec")).astype(np.float64))
+            yield pa.record_batch([part.column("query"), part.column("cand"), pa.array(sims)], names=["query", "cand", "sim"])
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int) -> DataFrame:
     """(query, cand, sim, done): the beam of each query (query, q, home) after the search; home may be null."""
-    doors = [r.node for r in nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node").collect()]
-    start = queries.select("query", F.explode(F.array(*map(F.lit, doors)).cast("array<long>")).alias("cand"))
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node")
+    doors = nodes.select(F.size("vec").alias("dim"), "node").withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= ENTRIES)
+    doors = scratch.save(doors.select("dim", F.col("node").alias("cand")), "doors")
+    # ENTRIES rows for each dimension: small whatever the table.
+    start = queries.select("query", F.size("q").alias("dim")).join(F.broadcast(doors), "dim").select("query", "cand")
     start = start.union(queries.where("home IS NOT NULL").select("query", "home"))
     start = start.union(queries.select("query", F.col("home").alias("node")).join(graph.select("node", "ids"), "node").transform(_targets))
 
@@ -307,8 +327,6 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & good)
-    usual = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    rows = rows.where(F.size("vec") == (usual[0].d if usual else 0))
     # Copies: the least k + 1 ids of each vector, cut per scan partition first.
     local = rows.withColumn("part", F.spark_partition_id()).groupBy("vec", "part").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     classes = local.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))

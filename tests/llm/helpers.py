@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import random
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, m string, secrets string"
+#: Names that operators use for columns inside or give to results.
+CLASHING = (
+    "row m secrets rk r1 r2 h h1 blob digest tie group votes pos counts ids owner pieces id piece part n n_before size shard slot law first hub node key label least most marks copy"
+    " n_words n_tokens n_bytes n_removed kept_text kept kept_sha256 over_limit text_crc32 own_bytes bytes ranges spans rules sequence_id offset start length kind seq bucket rank score"
+    " weight place large small a b left right chunk component_id n_shingles base_failed p_good decoded n_features"
+).split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def table(spark, rows, schema=DOCS):
     """Rows of (doc_id, text), with further columns whose names clash with those that operators use."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "m", "x") for i, t in rows], schema)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *CLASHING) for i, t in rows], schema)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -12,6 +12,8 @@ import corpus_pipeline
 from inkveil.llm import ann, warc
 
 VECTORS = "vec_id long, embedding array<float>, label int"
+#: Names that the search uses for columns of its own.
+CLASHING = "node vec cand query q home ids dim half group part sim done rank k near score least member".split()
 
 
 def test_nearest_recall_ties_and_odd_rows(spark):
@@ -48,6 +50,28 @@ def test_nearest_small_and_empty(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_each_dimension_has_its_own_neighbours(spark):
+    """Vectors of three dimensions in one table, one of them rare and one with a single vector, and columns with the search's own names."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(0, 900)] + [(i, rng.normal(size=9).tolist()) for i in range(900, 1250)]
+    rows = [(i, (np.array(v) / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in rows] + [(2000, [1.0]), (2020, [1.0, 2.0]), (2021, [3.0, -1.0]), (2022, [0.0, 1.0]), (2040, [])]
+    rng.shuffle(rows)
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    table = spark.createDataFrame([(int(i), [float(x) for x in v], 0, *CLASHING) for i, v in rows], f"{VECTORS}, {names}").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 1250, 20)) | {2020}
+    assert got[2020] == [(2022, 2.0), (2021, 1.0)]
+    exact, hits, wanted = {i: np.array(v, np.float32).astype(np.float64) for i, v in rows}, 0, 0
+    for q, found in got.items():
+        others = sorted((-(v @ exact[q]), i) for i, v in exact.items() if i != q and len(v) == len(exact[q]))[:20]
+        assert len(found) == len(others) and all(abs(exact[i] @ exact[q] - s) < 1e-12 for i, s in found)
+        hits += len({i for i, _ in found} & {i for _, i in others})
+        wanted += len(others)
+    assert hits >= 0.95 * wanted
+
+
 def unit_vectors(n, dim, seed):
     v = np.random.default_rng(seed).normal(size=(n, dim))
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
