@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.operators.keys import join_nulls
 
@@ -17,31 +23,113 @@ LOW = 0.7
 SPREAD = 0.65
 
 
+def _changes(keys: list[pa.Array]) -> np.ndarray:
+    """For each row but the first whether its keys differ from those of the row before; nulls are equal."""
+    out = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        a, b = k.slice(1), k.slice(0, len(k) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        out |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _words(rows: pa.Table, counted: int) -> tuple[pa.Table | None, int]:
+    """The words of whole words' characters in order, and how many the last page has; `counted`: how many the first page had before."""
+    rows = rows.combine_chunks()
+    column = lambda c: rows.column(c).chunk(0)
+    page = np.concatenate([[0], np.cumsum(_changes([column(c) for c in PAGE]))])
+    blank = column("blank").to_numpy(zero_copy_only=False)
+    opens = ~blank
+    opens[1:] &= blank[:-1] | (page[1:] != page[:-1])
+    first = np.flatnonzero(opens)
+    pages = page[first]
+    number = np.arange(len(first)) - np.searchsorted(pages, pages) + np.where(pages == 0, counted, 0)
+    count = int((pages == page[-1]).sum()) + (counted if page[-1] == 0 else 0)
+    if not len(first):
+        return None, count
+    inked = np.flatnonzero(~blank)
+    at = np.searchsorted(inked, first)
+    size = np.diff(at, append=len(inked))
+    word = np.repeat(np.arange(len(at)), size)
+    take = pa.array(inked)
+    real = lambda c: column(c).take(take).to_numpy(zero_copy_only=False).astype(float)
+    flag = lambda c: np.add.reduceat(pc.fill_null(column(c).take(take), False).to_numpy(zero_copy_only=False).astype(np.int64), at) * 2 > size
+    bottom, top = real("bottom"), real("top")
+    height, high_page = top - bottom, np.fmax.reduceat(real("page_height"), at)
+    known = np.add.reduceat((~np.isnan(height)).astype(np.int64), at)
+    ranked = height[np.lexsort((height, word))]
+    low, high = ranked[at + np.maximum(known - 1, 0) // 2], ranked[at + np.minimum(known // 2, size - 1)]
+    median = np.where(low == high, low, low * 0.5 + high * 0.5)
+    says = height >= np.repeat(median, size) * LOW
+    said = np.add.reduceat(says.astype(np.int64), at)
+    centre = (bottom + top) / 2
+    spread_ = np.maximum.reduceat(np.where(says, centre, -np.inf), at) - np.minimum.reduceat(np.where(says, centre, np.inf), at)
+    rotated = (said >= 2) & (spread_ > np.add.reduceat(np.where(says, height, 0.0), at) / np.maximum(said, 1) * SPREAD)
+    ch = column("ch").take(take)
+    _, offsets, held = ch.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[ch.offset : ch.offset + len(ch) + 1]
+    text = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(offsets[at], offsets[-1]).astype(np.int32).tobytes()), held)
+    box = [np.fmin.reduceat(real("left"), at), high_page - np.fmax.reduceat(top, at), np.fmax.reduceat(real("right"), at), high_page - np.fmin.reduceat(bottom, at)]
+    head = rows.take(pa.array(first))
+    out = [*(head.column(c) for c in PAGE), pa.array(number.astype(np.int32)), text, *(pa.array(x, from_pandas=True) for x in box), pa.array(flag("bold")), pa.array(flag("italic")), head.column("font_size"), head.column("font_family")]
+    return pa.table(out, names=[*PAGE, "word_index", "text", *BOX, "is_bold", "is_italic", "font_size", "font_family"]).filter(pa.array(~rotated)), count
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of characters in order; the characters of a word that a batch does not end are held."""
+    held, before, count = [], None, 0  # batches of an unfinished word, the last row settled, words of its page
+
+    def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal before, count
+        rows = pa.Table.from_batches(parts)
+        if before is not None and _changes([pa.concat_arrays([before.column(c), rows.column(c).chunk(0).slice(0, 1)]) for c in PAGE])[0]:
+            count = 0
+        words, count = _words(rows, count)
+        before = parts[-1].slice(parts[-1].num_rows - 1)
+        if words is not None:
+            yield from words.combine_chunks().to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = batch.column("blank").to_numpy(zero_copy_only=False).copy()  # rows that are blank or begin a page
+        ends[1:] |= _changes([batch.column(c) for c in PAGE])
+        if held:
+            ends[0] |= _changes([pa.concat_arrays([held[-1].column(c).slice(held[-1].num_rows - 1), batch.column(c).slice(0, 1)]) for c in PAGE])[0]
+        elif not ends[0]:
+            ends[0] = True
+        if ends.any():
+            cut = len(ends) - 1 - int(ends[::-1].argmax())
+            cut += bool(batch.column("blank")[cut].as_py())
+            if cut or held:
+                yield from settled([*held, batch.slice(0, cut)] if cut else held)
+            held = [batch.slice(cut)] if cut < batch.num_rows else []
+        else:
+            held.append(batch)
+    if held:
+        yield from settled(held)
+
+
+def assemble_in_order(chars: DataFrame) -> DataFrame:
+    """assemble_words for characters whose pages stand together in their partitions, in order of i, as an extractor or an
+    explosion of pages gives them: nothing is shuffled or sorted, and a task holds a batch and the word that it does not end."""
+    blank = F.coalesce(F.col("ch"), F.lit("")).rlike("(?U)^[\\s\\x1c-\\x1f]*$")
+    real = [F.col(c).cast("double") for c in ("left", "bottom", "right", "top", "page_height")]
+    rows = chars.select(*PAGE, "ch", *real, "bold", "italic", "font_size", "font_family", blank.alias("blank"))
+    kinds = [(c, rows.schema[c].dataType) for c in PAGE] + [("word_index", T.IntegerType()), ("text", T.StringType()), *((c, T.DoubleType()) for c in BOX)]
+    kinds += [("is_bold", T.BooleanType()), ("is_italic", T.BooleanType()), *((c, rows.schema[c].dataType) for c in ("font_size", "font_family"))]
+    return rows.mapInArrow(_assembled, T.StructType([T.StructField(*k) for k in kinds]))
+
+
 def assemble_words(chars: DataFrame) -> DataFrame:
     """Words (doc_id, page_number, word_index, text, x0, y0, x1, y1, is_bold, is_italic, font_size, font_family) of characters
     (doc_id, page_number, i, ch, left, bottom, right, top, bold, italic, font_size, font_family, page_height), rotated ones left out.
 
-    Words are the islands between blank characters: a running count of blanks numbers them, so a page is sorted once
-    and a word is one group. y grows upwards for characters and downwards for words. Styles go by majority, font and
+    Words are the islands between blank characters: characters in order are cut at blanks, and each word is reduced to its box.
+    y grows upwards for characters and downwards for words. Styles go by majority, font and
     size by the first character. Rotated words keep their number in word_index. Null characters count as blank,
     null boxes leave corners to the other characters; repeated positions are taken in any order."""
-    page = Window.partitionBy(*PAGE).orderBy("i")
-    blank = F.coalesce(F.col("ch"), F.lit("")).rlike("(?U)^[\\s\\x1c-\\x1f]*$")
-    rows = chars.withColumn("blank", blank).withColumn("island", F.count_if("blank").over(page.rowsBetween(Window.unboundedPreceding, 0))).where("NOT blank")
-    first = lambda c: F.min_by(c, "i").alias(c)
-    one = F.struct("i", "ch", ((F.col("bottom") + F.col("top")) / 2).alias("centre"), (F.col("top") - F.col("bottom")).alias("height"))
-    words = rows.groupBy(*PAGE, "island").agg(
-        F.sort_array(F.collect_list(one)).alias("chars"), F.percentile(F.col("top") - F.col("bottom"), 0.5).alias("median"), F.min("left").alias("x0"), F.max("right").alias("x1"),
-        (F.max("page_height") - F.max("top")).alias("y0"), (F.max("page_height") - F.min("bottom")).alias("y1"),
-        (F.count_if("bold") > F.count("*") / 2).alias("is_bold"), (F.count_if("italic") > F.count("*") / 2).alias("is_italic"), first("font_size"), first("font_family"),
-    )
-    words = words.withColumn("word_index", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("island")) - 1).cast("int"))
-    high = F.filter("chars", lambda c: c["height"] >= F.col("median") * LOW)
-    words = words.withColumn("high", high).withColumn("centres", F.transform("high", lambda c: c["centre"]))
-    mean = F.aggregate("high", F.lit(0.0), lambda s, c: s + c["height"]) / F.size("high")
-    rotated = (F.size("high") >= 2) & (F.array_max("centres") - F.array_min("centres") > mean * SPREAD)
-    text = F.array_join(F.transform("chars", lambda c: c["ch"]), "")
-    return words.where(~F.coalesce(rotated, F.lit(False))).select(*PAGE, "word_index", text.alias("text"), *BOX, "is_bold", "is_italic", "font_size", "font_family")
+    return assemble_in_order(chars.repartition(*PAGE).sortWithinPartitions(*PAGE, "i"))
 
 
 def _cells(low: str, high: str, size: Column) -> Column:

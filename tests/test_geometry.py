@@ -88,6 +88,28 @@ def test_rotated_words_keep_their_number(spark):
     assert {t: r.word_index for t, r in got.items()} == {"ab": 0, "cd": 2}
 
 
+def test_words_in_order_cross_batches_and_pages(spark):
+    """Characters that stand in order are not shuffled; words may end with a batch, a page or neither."""
+    rng = random.Random(7)
+    rows = []
+    for d in (None, "a", "b"):
+        for p in (1, None, 3):
+            text = "".join(rng.choice("ab. \t,") if rng.random() < 0.5 else "c" for _ in range(rng.randrange(0, 120)))
+            chars = set_chars(text, rng.choice([0.0, 4.0]), {".": 3.0, ",": 7.0}, bold=range(0, 90, 2))
+            rows += [(d, p, r[2], r[3] if rng.random() < 0.95 else None, *(None if rng.random() < 0.05 else x for x in r[4:8]), *r[8:]) for r in chars]
+    df = spark.createDataFrame(rows, CHARS)
+    apart = sorted(map(repr, geometry.assemble_words(df.repartition(5)).collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for n in (1, 2, 7, 10_000):
+            spark.conf.set(size, n)
+            found = geometry.assemble_in_order(df.coalesce(1))
+            assert sorted(map(repr, found.collect())) == apart and len(apart) > 20
+    finally:
+        spark.conf.unset(size)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 WORDS = "doc_id string, page_number long, n int, text string, x0 double, y0 double, x1 double, y1 double"
 DRAWN = "box_id int, doc_id string, page_number long, x0 double, y0 double, x1 double, y1 double, pii_type string, text string"
 PAGES = "doc_id string, page_number long, width double, height double"
