@@ -1,10 +1,15 @@
 """Where values of a document stand on its pages: an inverted index as a join, then one sweep a page.
 
-Every page gives its distinct words and pairs of neighbouring words, every value the pair (or the only word)
-that it starts with. They meet by (document, words) in an equi-join, so a value is only tried on pages
-that hold its first words, and no task or row holds a document's values. What met is ordered by page: its text, the
-spans it has, then the values in their order, and one pass over this stream settles each page with its text
-and taken spans in memory, however many values there are.
+Every value gives the hash of its document and all its words (of the first RUN, if it has more), every page those of its runs
+of as many neighbouring words, as far as a table of bits of all values' hashes has them. They meet in an equi-join, so a
+value is only tried on pages that hold its words one after another: what meets grows as the places that values have, however
+many values start alike, and no task or row holds a document's values. What passes through the driver is the table of
+bits, of MOST bits at most; with more values than it can tell apart more runs reach the join, where hashes are compared in
+full. What met is ordered by page: its text, the spans it has, then the values in their order, and one pass over this
+stream settles each page with its text and taken spans in memory, however many values there are.
+
+An index that is stored before the values are known (index_of, for plans.incremental) has the distinct words and pairs of
+neighbouring words of each page, and values meet it by the pair (or the only word) that they start with.
 
 Words are told apart by 64-bit hashes; values are verified on the text, so equal hashes only cost a try.
 """
@@ -17,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,11 +31,18 @@ from pyspark.sql import types as T
 
 from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
 from inkveil.operators.detect import _KINDS, _NAMES, REGIONS
-from inkveil.operators.store import spread
+from inkveil.operators.store import spread, stored
 
 _SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
 _WORDS = re.compile(r"\w+")
 ROWS = 5000
+#: Rows of the index that a task holds at once.
+INDEX_ROWS = 100_000
+#: Words of a value that are compared in the index; the logarithms of the least and most bits of the table, and of one part of it.
+RUN, LEAST, MOST, PART = 16, 20, 28, 20
+_FACTORS = np.random.Generator(np.random.PCG64(37)).integers(1, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What patterns that ignore case take for an i; casefold knows the other characters that they take for each other.
+_ALIKE = {ord("İ"): "i", ord("ı"): "i"}
 
 
 def plain(text: str) -> str:
@@ -53,6 +66,10 @@ def key_words(key: str) -> int:
     return _hash(" ".join(words)) if words else 0
 
 
+def _index_rows(docs: list[str], pages: list[int], hashes: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "page_number", "words"])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, pages, hashes = [], [], []
@@ -62,8 +79,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs += [doc] * len(found)
                 pages += [page] * len(found)
                 hashes += found
+            if len(docs) >= INDEX_ROWS:
+                yield _index_rows(docs, pages, hashes)
+                docs, pages, hashes = [], [], []
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], names=["doc_id", "page_number", "words"])
+            yield _index_rows(docs, pages, hashes)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +102,129 @@ def candidates(keys: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(keyed, ["doc_id", "words"]).drop("words")
 
 
+def _alike(words: str) -> str:
+    """A form that words share which are the same but for case."""
+    return words.translate(_ALIKE).casefold()
+
+
+class _Words(dict):
+    """Hashes of words, kept up to a million."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(_alike(word))
+        return h
+
+
+def _mixed(total: np.ndarray, doc: str) -> np.ndarray:
+    h = total ^ np.uint64(xxhash.xxh64_intdigest(doc, 1))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def run_hashes(words: np.ndarray, doc: str, lengths: set[int]) -> Iterator[np.ndarray]:
+    """For each length, if there are as many words, the hashes of all runs of words (given by hashes) in a document."""
+    total = np.zeros(len(words), np.uint64)
+    for n in range(1, min(max(lengths, default=0), len(words)) + 1):
+        total = total[: len(words) - n + 1] + words[n - 1 :] * _FACTORS[n - 1]
+        if n in lengths:
+            yield _mixed(total, doc)
+
+
+def slots(h: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of hashes in a table of 2^log."""
+    return h >> np.uint64(64 - log), (h >> np.uint64(4)) & np.uint64((1 << log) - 1)
+
+
+def _run_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with the hash of their document and words, and how many words that are; 0 and 0 for keys without words."""
+    known = _Words()
+    for batch in batches:
+        found, sizes = [], []
+        for doc, key in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            words = _WORDS.findall(key)[:RUN]
+            h = np.array([known[w] for w in words], np.uint64)
+            found.append(int(next(run_hashes(h, doc, {len(words)})).view(np.int64)[0]) if words else 0)
+            sizes.append(len(words))
+        yield batch.append_column("words", pa.array(found, pa.int64())).append_column("n", pa.array(sizes, pa.int32()))
+
+
+def _bits(log: int):
+    """Parts of the table of bits: number and bytes, from rows dealt out by the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            for part in np.unique(slot >> PART).tolist():
+                bits = parts.setdefault(part, np.zeros(1 << PART, bool))
+                bits[slot[slot >> PART == part] & ((1 << PART) - 1)] = True
+        for part, bits in parts.items():
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def bit_table(keyed: DataFrame, log: int) -> bytes:
+    """2^log bits, of which those of the hashes of all keys are set."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(slots(batch.column("words").to_numpy().view(np.uint64), log))).astype(np.int64))], names=["slot"])
+
+    rows = keyed.where("n > 0").select("words").mapInArrow(both, "slot long")
+    table = bytearray((1 << log) // 8)
+    size = (1 << PART) // 8
+    for row in rows.repartition(F.shiftright("slot", PART)).mapInArrow(_bits(log), "part long, bits binary").toLocalIterator():  # 2^(log - PART) rows at most
+        table[row.part * size : (row.part + 1) * size] = row.bits
+    return bytes(table)
+
+
+def _held(lengths: set[int], log: int, table):
+    """Rows (doc_id, page_number, words) of pages: hashes of their runs that are in the table of bits; 0 if there are keys without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.frombuffer(table.value, np.uint8), _Words()
+
+        def hit(slot: np.ndarray) -> np.ndarray:
+            return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        for batch in batches:
+            docs, pages, hashes = [], [], []
+            for doc, page, text in zip(*(batch.column(c) for c in ("doc_id", "page_number", "text")), strict=True):
+                doc, page, text = doc.as_py(), page.as_py(), text.as_py()
+                if doc is None or not text:
+                    continue
+                found = {0} if 0 in lengths else set()
+                words = np.array([known[w] for w in _WORDS.findall(plain(text))], np.uint64)
+                for h in run_hashes(words, doc, lengths):
+                    a, b = slots(h, log)
+                    may = np.flatnonzero(hit(a))
+                    found.update(h[may[hit(b[may])]].view(np.int64).tolist())
+                docs += [doc] * len(found)
+                pages += [page] * len(found)
+                hashes += found
+                if len(docs) >= INDEX_ROWS:
+                    yield _index_rows(docs, pages, hashes)
+                    docs, pages, hashes = [], [], []
+            if docs:
+                yield _index_rows(docs, pages, hashes)
+
+    return run
+
+
+def met(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """keys (doc_id, key and others) with page_number of each page of the document that holds their words one after another."""
+    keyed = stored(keys.mapInArrow(_run_keyed, T.StructType([*keys.schema.fields, T.StructField("words", T.LongType()), T.StructField("n", T.IntegerType())])))
+    sizes = {r.n: r.rows for r in keyed.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # RUN + 1 rows at most
+    log = min(MOST, max(LEAST, (16 * sum(sizes.values())).bit_length()))
+    table = keys.sparkSession.sparkContext.broadcast(bit_table(keyed, log))
+    index = spread(pages).mapInArrow(_held(set(sizes), log, table), "doc_id string, page_number long, words long")
+    return index.join(keyed.drop("n"), ["doc_id", "words"]).drop("words")
+
+
 _pattern = lru_cache(maxsize=4096)(flex_pattern)
 
 
@@ -90,21 +233,36 @@ class Page:
 
     def __init__(self, text: str):
         self.text, self.plain = text, plain(text)
-        self.at: dict[str, list[int]] = defaultdict(list)
+        low = self.plain.lower()
+        self.low = low if len(low) == len(text) else ""
+        self.at: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        last = None
         for m in _WORDS.finditer(self.plain):
-            self.at[m.group().lower()].append(m.start())
+            word = _alike(m.group())
+            self.at[(word,)].append(m.start())
+            if last:
+                self.at[last[0], word].append(last[1])
+            last = word, m.start()
+
+    def end(self, key: str, at: int) -> int:
+        """Where key ends if it stands at a place, else 0. Texts that are written like the key need no pattern."""
+        end = at + len(key)
+        if self.low.startswith(key, at) and not (at and _WORDS.match(self.plain[at - 1])) and not _WORDS.match(self.plain, end):
+            return end
+        m = _pattern(key).match(self.plain, at)
+        return m.end() if m else 0
 
     def find(self, key: str) -> Iterator[tuple[int, int]]:
         first = _WORDS.search(key)
         if first is None or " " in key[: first.start()]:
             yield from (m.span() for m in _pattern(key).finditer(self.plain))
             return
-        end = 0
-        for at in self.at.get(first.group(), ()):
+        done = 0
+        for at in self.at.get(tuple(map(_alike, _WORDS.findall(key)[:2])), ()):
             at -= first.start()
-            if at >= end and (m := _pattern(key).match(self.plain, at)):
-                end = m.end()
-                yield m.span()
+            if at >= done and (end := self.end(key, at)):
+                done = end
+                yield at, end
 
 
 class Taken:
@@ -167,14 +325,12 @@ def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: in
     share its numbers and spans. index: that of these pages, if it is stored."""
     pages = pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     keys = keys.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    if index is None:
-        index = index_of(spread(pages).join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
-    found = candidates(keys, index)
+    found = stored(met(keys, pages) if index is None else candidates(keys, index))
     none = lambda kind: F.lit(None).cast(kind)
     turn = keys.schema["turn"].dataType
     value = found.select("doc_id", "page_number", F.lit(2).alias("step"), F.col("key").alias("text"), none("int").alias("start"), none("int").alias("end"), none("int").alias("ord"), "pii_type", "confidence", "source", "turn")
-    met = found.select("doc_id", "page_number").distinct()
-    text = pages.join(met, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(0).alias("step"), "text", *(none(k).alias(c) for c, k in (("start", "int"), ("end", "int"), ("ord", "int"), ("pii_type", "string"), ("confidence", "double"), ("source", "string"), ("turn", turn))))
-    own = regions.join(met, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(1).alias("step"), none("string").alias("text"), "start", "end", "ord", "pii_type", none("double").alias("confidence"), none("string").alias("source"), none(turn).alias("turn"))
+    here = found.select("doc_id", "page_number").distinct()
+    text = pages.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(0).alias("step"), "text", *(none(k).alias(c) for c, k in (("start", "int"), ("end", "int"), ("ord", "int"), ("pii_type", "string"), ("confidence", "double"), ("source", "string"), ("turn", turn))))
+    own = regions.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(1).alias("step"), none("string").alias("text"), "start", "end", "ord", "pii_type", none("double").alias("confidence"), none("string").alias("source"), none(turn).alias("turn"))
     rows = text.unionByName(own).unionByName(value).repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "step", "turn", "text")
     return rows.drop("turn").mapInArrow(lambda batches: _sweep(batches, least), REGIONS)

@@ -93,3 +93,33 @@ def test_parts_number_on_after_values(spark):
 def test_empty_tables(spark):
     pages, regions = spark.createDataFrame([], PAGES), spark.createDataFrame([], REGIONS)
     assert document.propagate(regions, pages).count() == 0 and propagate_parts(regions, pages).count() == 0
+
+
+def test_values_that_start_alike_meet_only_their_pages(spark):
+    """Values meet the pages that hold all their words, not all pages that hold their first two."""
+    n = 60
+    keys = spark.createDataFrame([("d", f"de la casa {i}" + " x" * 20) for i in range(n)] + [("d", "de la"), ("e", "de la casa 1"), ("d", "((")], "doc_id string, key string")
+    pages = spark.createDataFrame([("d", i, f"De  la (casa {i}" + " x" * 20) for i in range(n)], PAGES)
+    found = value_index.met(keys, pages).collect()
+    assert sorted((r.key, r.page_number) for r in found if "casa" in r.key) == sorted((f"de la casa {i}" + " x" * 20, i) for i in range(n))
+    assert sum(r.key == "de la" for r in found) == sum(r.key == "((" for r in found) == n and len(found) == 3 * n
+    assert value_index.met(keys.limit(0), pages).count() == value_index.met(keys, pages.limit(0)).count() == 0
+
+
+def test_places_are_those_of_the_pattern():
+    """A text written like the key is settled without a pattern; others by it."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B", "ſ", "s", "K", "é", "_", " ", "  ", "\n", ".", "(", "1", "İ", "ß", "σ", "ς"]) for _ in range(rng.randrange(1, 14)))
+        key = " ".join(value_index.plain("".join(rng.choice(["a", "b", "s", "k", "e", "_", " ", ".", "(", "1", "i", "σ"]) for _ in range(rng.randrange(1, 5)))).lower().split())
+        if key:
+            assert list(value_index.Page(text).find(key)) == [m.span() for m in flex_pattern(key).finditer(value_index.plain(text))], (text, key)
+
+
+def test_the_index_is_given_out_in_parts():
+    import pyarrow as pa
+
+    n = value_index.INDEX_ROWS // 1000
+    batch = pa.table({"doc_id": ["d"] * 3 * n, "page_number": list(range(3 * n)), "text": [" ".join(f"w{i}x{k}" for k in range(600)) for i in range(3 * n)]}).to_batches()[0]
+    parts = [b.num_rows for b in value_index._index(iter([batch]))]
+    assert sum(parts) == 3 * n * 1200 and max(parts) < value_index.INDEX_ROWS + 1200 and len(parts) > 1
