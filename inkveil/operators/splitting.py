@@ -31,7 +31,9 @@ def with_sizes(pages: DataFrame) -> DataFrame:
     the first or after the last of them its own size, 0 in a document without any."""
     order = Window.partitionBy("doc_id").orderBy("page")
     known = F.when(F.col("size").isNotNull(), F.struct("page", F.col("size").cast("long").alias("size")))
-    lo, hi = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Both run from an end of the document to the page: a frame that runs on to the end is read again for every page.
+    back = Window.partitionBy("doc_id").orderBy(F.desc("page"))
+    lo, hi = (F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (order, back))
     out = pages.withColumns({"__lo": lo, "__hi": hi})
     lo, hi = F.coalesce("__lo", "__hi"), F.coalesce("__hi", "__lo")
     between = lo["size"] + (F.col("page") - lo["page"]) / (hi["page"] - lo["page"]) * (hi["size"] - lo["size"])

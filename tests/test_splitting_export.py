@@ -75,3 +75,11 @@ def test_numbers_fill_gaps(spark):
     standing = spark.createDataFrame([("x.zip",), ("x (2).zip",), ("x (9).zip",)], "name string")
     got = {r.doc_id: r.file_name for r in export.numbered_names(wanted, standing).collect()}
     assert got == {"1": "x (1).zip", "2": "x (3).zip", "3": "x.pdf", "4": "x (4).zip"}
+
+
+def test_no_window_is_read_again_for_every_page(spark):
+    """A frame that runs on to the end of a document costs the square of its pages."""
+    pages = spark.createDataFrame([("d", k, 10 if k % 3 else None) for k in range(7)], "doc_id string, page long, size long")
+    sized = splitting.with_sizes(pages)
+    assert "unboundedfollowing" not in sized._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r["size"] for r in sized.orderBy("page").collect()] == [10] * 7
