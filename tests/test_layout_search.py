@@ -171,3 +171,14 @@ def test_tables_of_terms_are_searched_as_lists_are(spark, monkeypatch, fuzziness
     assert want and sorted(map(tuple, got.collect()), key=none_last) == sorted(want, key=none_last)
     assert search.search_terms(spark.createDataFrame(pages, "doc_id string, page_number long, text string"), [], fuzziness).count() == 0
     assert search.search_terms(spark.createDataFrame([], "doc_id string, page_number long, text string"), table, fuzziness).count() == 0
+
+
+def test_words_of_pages_are_given_out_in_parts():
+    """A batch of large pages never stands as objects all at once."""
+    import pyarrow as pa
+
+    text = "word " * (layout.CHARS // 10)
+    batch = pa.record_batch([pa.array(["d"] * 7), pa.array(range(7), pa.int64()), pa.array([text, None, text, "a b", text, text, ""])], names=["doc_id", "page_number", "text"])
+    parts = list(layout._gridded(iter([batch])))
+    assert [b.column("page_number").to_pylist() for b in parts] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert [len(w) for b in parts for w in b.column("words").to_pylist()] == [layout.CHARS // 10, 0, layout.CHARS // 10, 2, layout.CHARS // 10, layout.CHARS // 10, 0]
