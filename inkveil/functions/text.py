@@ -25,13 +25,28 @@ def base_letter(ch: str) -> str:
     return base if len(base) == 1 else ch
 
 
-_LATIN = {i: base_letter(chr(i)) for i in range(0xC0, 0x250)}
+class _Letters(dict):
+    """What single characters become, worked out when first met."""
+
+    def __init__(self, change):
+        self.change = change
+
+    def __missing__(self, code: int) -> str:
+        self[code] = c = self.change(chr(code))
+        return c
+
+
+_BASE = _Letters(base_letter)
+_SEARCHED = _Letters(lambda c: " " if (b := base_letter(c)) in QUOTES else b)
 
 
 def strip_accents_py(text: str) -> str:
-    if text.isascii():
-        return text
-    return "".join(_LATIN.get(ord(c)) or base_letter(c) for c in text)
+    return text if text.isascii() else text.translate(_BASE)
+
+
+def plain_py(text: str) -> str:
+    """The form in which terms and values are searched, without accents and with quotes as spaces; as long as the text."""
+    return text.translate(_SEARCHED)
 
 
 @cache

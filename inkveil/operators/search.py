@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
+from inkveil.functions.text import flex_pattern
+from inkveil.functions.text import plain_py as plain_text
 from inkveil.lexicon.words import TOKEN_LETTERS
 from inkveil.operators.spans import Span
 from inkveil.operators.store import spread
-from inkveil.operators.value_index import index_of, key_words, plain
-
-_SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
+from inkveil.operators.value_index import index_of, key_words
 
 _INNER = re.compile(r"\w+")
 
@@ -58,14 +57,53 @@ def best_place(key: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]
     return (end - length, end) if length else None
 
 
-def plain_text(text: str) -> str:
-    """The form in which terms are searched; as long as the text."""
-    return strip_accents_py(text).translate(_SPACES)
+def least_edits(key: str, text: str, most: int) -> int:
+    """The least edits from key to a beginning of text, or most + 1: by edits and shift, how much of key is reached."""
+    n, size, far = len(key), len(text), {0: 0}
+    for e in range(most + 1):
+        new = {}
+        for d in range(-e, e + 1) if e else (0,):
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) if e else 0
+            i = min(i, n, size - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < size and key[i] == text[i + d]:
+                i += 1
+            if i == n:
+                return e
+            new[d] = i
+        far = new
+    return most + 1
+
+
+def may_stand(key: str, cuts: tuple[int, ...], part: int, text: str, at: int) -> bool:
+    """Whether key, with one edit less than it has parts, stands in text so that its part `part` stands unchanged at `at`
+    and, of parts halved again and again, each half that holds this part has one edit less than parts.
+
+    Every place with so few edits has such a part: where two halves have fewer edits than parts together, one of them has."""
+    lo, hi, halves = 0, len(cuts) - 1, []
+    while hi - lo > 1:
+        halves.append((lo, hi))
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if part < mid else (mid, hi)
+    end = at + cuts[part + 1] - cuts[part]
+    for lo, hi in reversed(halves):
+        most = hi - lo - 1
+        before, after = key[cuts[lo] : cuts[part]], key[cuts[part + 1] : cuts[hi]]
+        used = least_edits(before[::-1], text[max(0, at - len(before) - most) : at][::-1], most)
+        if used > most or used + least_edits(after, text[end : end + len(after) + most], most - used) > most:
+            return False
+    return True
 
 
 _pattern = lru_cache(maxsize=4096)(flex_pattern)
 
 
+def _cuts(key: str, edits: int) -> tuple[int, ...]:
+    """Where a key is cut into its edits + 1 parts."""
+    return tuple(len(key) * j // (edits + 1) for j in range(edits + 2))
+
+
 @lru_cache(maxsize=4096)
 def term_seeds(term: str, fuzziness: float) -> tuple[str, int, tuple[tuple[str, int], ...]]:
     """A term's key, the edits it may have, and its seeds with their offsets: its longest word (offset -1), and, for
@@ -77,7 +115,7 @@ def term_seeds(term: str, fuzziness: float) -> tuple[str, int, tuple[tuple[str,
     edits = max(1, round(len(key) * (1 - fuzziness))) if fuzzy else 0
     seeds = [(max(key.split(" "), key=len), -1)]
     if fuzzy and len(key) > edits:
-        cuts = [len(key) * j // (edits + 1) for j in range(edits + 2)]
+        cuts = _cuts(key, edits)
         seeds += [(key[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
     return key, edits, tuple(seeds)
 
@@ -86,7 +124,8 @@ class TermFinder:
     """Places of many terms in a text, whatever their case, accents, quotes and white space; below a fuzziness
     of 0.98 also places with up to one edit, or that share of a term's length, if more.
 
-    One automaton looks for the seeds of every term (see term_seeds). Only around seeds is a term compared."""
+    One automaton looks for the seeds of every term (see term_seeds). Only around seeds from which a term can be
+    followed on (see may_stand) is it compared."""
 
     def __init__(self, terms: list[tuple[int, str]], fuzziness: float = 1.0):
         self.fuzzy, self.terms = fuzziness < 0.98, []
@@ -96,14 +135,14 @@ class TermFinder:
             if not key:
                 continue
             k = len(self.terms)
-            self.terms.append((i, key, _codes(key), edits))
-            for part, offset in parts:
-                seeds.setdefault(part, []).append((k, offset))
+            self.terms.append((i, key, edits, _cuts(key, edits)))
+            for j, (part, offset) in enumerate(parts):
+                seeds.setdefault(part, []).append((k, j - 1 if offset >= 0 else -1))
         self.automaton = ahocorasick.Automaton()
         for seed, who in seeds.items():
             self.automaton.add_word(seed, (len(seed), who))
         self.automaton.make_automaton()
-        self.tiny = [k for k, t in enumerate(self.terms) if self.fuzzy and len(t[1]) <= t[3]]
+        self.tiny = [k for k, t in enumerate(self.terms) if self.fuzzy and len(t[1]) <= t[2]]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(term id, number of the place, start, end), terms in order, places from left to right."""
@@ -112,19 +151,21 @@ class TermFinder:
         exact: set[int] = set()
         near: dict[int, list[int]] = {k: [0] for k in self.tiny}
         for end, (n, who) in self.automaton.iter(low) if len(self.automaton) else ():
-            for k, offset in who:
-                if offset < 0:
+            for k, part in who:
+                if part < 0:
                     exact.add(k)
-                else:
-                    near.setdefault(k, []).append(end + 1 - n - offset)
+                    continue
+                _, key, _, cuts = self.terms[k]
+                if may_stand(key, cuts, part, low, end + 1 - n):
+                    near.setdefault(k, []).append(end + 1 - n - cuts[part])
         out, codes = [], None
         for k in sorted(exact | near.keys()):
-            i, key, coded, edits = self.terms[k]
+            i, key, edits, _ = self.terms[k]
             found = [m.span() for m in _pattern(key).finditer(plain)] if k in exact else []
             if k in near:
                 codes = _codes(low) if codes is None else codes
                 whole = [(0, len(low))] if k in self.tiny else _windows(near[k], len(key), edits, len(low))
-                found = self._misspelled(found, whole, coded, codes, edits)
+                found = self._misspelled(found, whole, _codes(key), codes, edits)
             out += [(i, j, a, b) for j, (a, b) in enumerate(sorted(found))]
         return out
 
@@ -299,7 +340,7 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seeds = []
         for term in batch.column("term").to_pylist():
-            inner = _INNER.findall(plain(term).lower())[1:-1]
+            inner = _INNER.findall(plain_text(term).lower())[1:-1]
             pairs = [f"{a} {b}" for a, b in zip(inner, inner[1:])] or inner  # noqa: B905
             seeds.append(key_words(max(pairs, key=lambda p: (len(p), p))) if pairs else 0)
         yield batch.append_column("words", pa.array(seeds, pa.int64()))

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.functions.text import QUOTES, flex_pattern, strip_accents_py
+from inkveil.functions.text import flex_pattern
+from inkveil.functions.text import plain_py as plain
 from inkveil.operators.detect import _KINDS, _NAMES, REGIONS
 from inkveil.operators.store import spread, stored
 
-_SPACES = str.maketrans(QUOTES, " " * len(QUOTES))
 _WORDS = re.compile(r"\w+")
 ROWS = 5000
 #: Rows of the index that a task holds at once.
@@ -45,11 +45,6 @@ _FACTORS = np.random.Generator(np.random.PCG64(37)).integers(1, 1 << 63, RUN, dt
 _ALIKE = {ord("İ"): "i", ord("ı"): "i"}
 
 
-def plain(text: str) -> str:
-    """The form in which values are searched; as long as the text."""
-    return strip_accents_py(text).translate(_SPACES)
-
-
 def _hash(words: str) -> int:
     return xxhash.xxh64_intdigest(words) - (1 << 63)
 

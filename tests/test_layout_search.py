@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from inkveil.functions.text import QUOTES, base_letter, plain_py
 from inkveil.operators import layout, search, spans
 from inkveil.operators.layout import Box, Word
 
@@ -182,3 +185,22 @@ def test_words_of_pages_are_given_out_in_parts():
     parts = list(layout._gridded(iter([batch])))
     assert [b.column("page_number").to_pylist() for b in parts] == [[0, 1, 2], [3, 4, 5], [6]]
     assert [len(w) for b in parts for w in b.column("words").to_pylist()] == [layout.CHARS // 10, 0, layout.CHARS // 10, 2, layout.CHARS // 10, layout.CHARS // 10, 0]
+
+
+def test_places_are_followed_on_from_a_seed_before_they_are_compared(monkeypatch):
+    rng, calls = random.Random(11), []
+    best = search.best_place
+    monkeypatch.setattr(search, "best_place", lambda *a: calls.append(a) or best(*a))
+    term = "the quick brown fox jumps over the lazy dog and the cat that sat on the mat"
+    parts = [p for p, offset in search.term_seeds(term, 0.9)[2] if offset >= 0]
+    assert search.find_term(term, " xyzzy ".join(parts * 3), 0.9) == [] and calls == []
+    assert search.find_term(term, "so " + term.replace("brown", "brawm") + " it was", 0.9) == [(3, 3 + len(term))] and calls
+    for _ in range(300):
+        key, text = ("".join(rng.choices("ab ", k=rng.randint(0, n))) for n in (9, 14))
+        least = int(search.edit_costs(search._codes(key), search._codes(text), False).min())
+        assert all(search.least_edits(key, text, most) == min(least, most + 1) for most in range(5))
+
+
+def test_plain_texts_of_all_characters():
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    assert plain_py("".join(every)) == "".join(" " if (b := base_letter(c)) in QUOTES else b for c in every)
