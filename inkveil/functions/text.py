@@ -25,7 +25,7 @@ def base_letter(ch: str) -> str:
     return base if len(base) == 1 else ch
 
 
-class _Letters(dict):
+class Letters(dict):
     """What single characters become, worked out when first met."""
 
     def __init__(self, change):
@@ -36,8 +36,8 @@ class _Letters(dict):
         return c
 
 
-_BASE = _Letters(base_letter)
-_SEARCHED = _Letters(lambda c: " " if (b := base_letter(c)) in QUOTES else b)
+_BASE = Letters(base_letter)
+_SEARCHED = Letters(lambda c: " " if (b := base_letter(c)) in QUOTES else b)
 
 
 def strip_accents_py(text: str) -> str:

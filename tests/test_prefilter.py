@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -44,3 +45,30 @@ def test_filter_hides_no_match():
 def test_patterns_without_literals():
     own = prefilter.Prefilter([re.compile(r"\d+"), re.compile(r"[a-z]+")])
     assert own.may_match("abc") == [False, True] and prefilter.Prefilter([]).may_match("abc") == []
+
+
+def test_marks_and_literals_as_they_are_written():
+    own = prefilter.Prefilter([re.compile(r"\b(?:[0-9a-f]{1,4}:){3}"), re.compile(r"\b(?:FR|DE)[A-Z0-9]{8}\b"), re.compile(r"\b(?:MR|PAT)\s*[-:]\s*\w", re.I), re.compile(r"(?:(?i:no)|Nr)\.?x")])
+    assert own.may_match("from the paris order") == [False, False, False, True]
+    assert own.may_match("FR12345678 and a:b:c:") == [True, True, True, True] and own.may_match("pat - x") == [False, False, True, True]
+
+
+def test_tails_are_only_looked_for_where_one_may_begin():
+    tails = list(spans._ALL.tails.values())
+    folded, exact = spans._ALL.guards
+    assert not exact.search("as se sa company") and not folded.search(prefilter.fold("The Income of Cox and Sales, ever Sagas"))
+    forms = ["SA", "as", "GmbH", "&", "Co.", "KG", "e.", "V.", "e.V", "eV", "S.", "S.A.R.L.", "S.A", "Ltée", "LTÉE", "inc", "Inc.", "Income", "a/s", "N.V.", "the", "Coop", "S.Coop.", "ſas", "K", "aK", "ENR.G", "Oyj", "corps", "Corp,"]
+    rng, held = random.Random(3), 0
+    for _ in range(20000):
+        text = "".join(rng.choice(forms) + rng.choice([" ", " ", "\n", " ", "", ".", "-"]) for _ in range(rng.randint(1, 4)))
+        if any(t.search(text) for t in tails):
+            held += 1
+            assert folded.search(prefilter.fold(text)) or exact.search(text), text
+    assert held > 3000
+
+
+def test_no_line_break_is_looked_at_without_a_firm(monkeypatch):
+    looked, may = [], prefilter.Prefilter.may_match
+    monkeypatch.setattr(prefilter.Prefilter, "may_match", lambda self, text: looked.append(text) or may(self, text))
+    assert spans.cross_line_firms("one two\nthree four\n" * 50) == [] and len(looked) == 1
+    assert [s.text for s in spans.cross_line_firms("by Acme\nWidget Inc. and\nothers")] == ["Acme\nWidget Inc."]
