@@ -20,7 +20,7 @@ import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,10 @@ from inkveil.operators.detect import _KINDS, _NAMES, REGIONS
 from inkveil.operators.store import spread, stored
 
 _WORDS = re.compile(r"\w+")
+_WHITE = re.compile(r"[^\S ]")
 ROWS = 5000
+#: Values of a page that are looked for one by one.
+FEW = 64
 #: Rows of the index that a task holds at once.
 INDEX_ROWS = 100_000
 #: Words of a value that are compared in the index; the logarithms of the least and most bits of the table, and of one part of it.
@@ -99,7 +102,7 @@ def candidates(keys: DataFrame, index: DataFrame) -> DataFrame:
 
 def _alike(words: str) -> str:
     """A form that words share which are the same but for case."""
-    return words.translate(_ALIKE).casefold()
+    return words.lower() if words.isascii() else words.translate(_ALIKE).casefold()
 
 
 class _Words(dict):
@@ -224,20 +227,42 @@ _pattern = lru_cache(maxsize=4096)(flex_pattern)
 
 
 class Page:
-    """One page in the sweep: its text, where its words stand, and the spans that each type has taken."""
+    """One page in the sweep: its text, and where its words stand. The first FEW values are looked for in a form of the text in
+    which case and kinds of white space are alike; where its words stand is only worked out for more of them, or if they
+    may stand with more white space between their words."""
 
     def __init__(self, text: str):
         self.text, self.plain = text, plain(text)
         low = self.plain.lower()
         self.low = low if len(low) == len(text) else ""
-        self.at: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        same = self.low if self.plain.isascii() else _alike(self.plain)
+        self.flat = _WHITE.sub(" ", same) if len(same) == len(text) else None
+        self.single, self.asked = self.flat is not None and "  " not in self.flat, 0
+
+    @cached_property
+    def at(self) -> dict[tuple[str, ...], list[int]]:
+        at: dict[tuple[str, ...], list[int]] = defaultdict(list)
         last = None
         for m in _WORDS.finditer(self.plain):
             word = _alike(m.group())
-            self.at[(word,)].append(m.start())
+            at[(word,)].append(m.start())
             if last:
-                self.at[last[0], word].append(last[1])
+                at[last[0], word].append(last[1])
             last = word, m.start()
+        return at
+
+    def starts(self, key: str, first: re.Match) -> Iterator[int]:
+        """Places where key may start, from left to right."""
+        self.asked += 1
+        if self.asked <= FEW and self.flat is not None and (self.single or " " not in key):
+            same = _alike(key)
+            at = self.flat.find(same)
+            while at >= 0:
+                yield at
+                at = self.flat.find(same, at + 1)
+            return
+        for at in self.at.get(tuple(map(_alike, _WORDS.findall(key)[:2])), ()):
+            yield at - first.start()
 
     def end(self, key: str, at: int) -> int:
         """Where key ends if it stands at a place, else 0. Texts that are written like the key need no pattern."""
@@ -253,8 +278,7 @@ class Page:
             yield from (m.span() for m in _pattern(key).finditer(self.plain))
             return
         done = 0
-        for at in self.at.get(tuple(map(_alike, _WORDS.findall(key)[:2])), ()):
-            at -= first.start()
+        for at in self.starts(key, first):
             if at >= done and (end := self.end(key, at)):
                 done = end
                 yield at, end

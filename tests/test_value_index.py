@@ -123,3 +123,17 @@ def test_the_index_is_given_out_in_parts():
     batch = pa.table({"doc_id": ["d"] * 3 * n, "page_number": list(range(3 * n)), "text": [" ".join(f"w{i}x{k}" for k in range(600)) for i in range(3 * n)]}).to_batches()[0]
     parts = [b.num_rows for b in value_index._index(iter([batch]))]
     assert sum(parts) == 3 * n * 1200 and max(parts) < value_index.INDEX_ROWS + 1200 and len(parts) > 1
+
+
+def test_few_values_need_no_table_of_words():
+    rng = random.Random(6)
+    words = ["Anna", "SMITH", "a_b", "(Lead", "trail)", "x-y", "S.A.", "Élan", "Straße", "İstanbul", "ıx", "日本", "O'Neil", "ﬁn", "FIN", "ſas", "ΣΑΣ", "Σας", "1", "aa", "ŉ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "  ", "\xa0", ",", ""]) for _ in range(rng.randint(0, 9)))
+        key = " ".join(value_index.plain(" ".join(rng.choices(words, k=rng.randint(1, 3)))).lower().split())
+        one, many = value_index.Page(text), value_index.Page(text)
+        many.asked = value_index.FEW
+        assert list(one.find(key)) == list(many.find(key))
+    page = value_index.Page("Anna Smith met\nANNA\nsmith")
+    assert list(page.find("anna smith")) == [(0, 10), (15, 25)] and "at" not in vars(page)
+    assert list(value_index.Page("Anna  Smith").find("anna smith")) == [(0, 11)]
