@@ -272,6 +272,11 @@ class Page:
         m = _pattern(key).match(self.plain, at)
         return m.end() if m else 0
 
+    def read(self, key: str) -> Iterator[tuple[int, int]]:
+        """Places of key as read from left to right, within words too; those that are bounded count, the others use up their text."""
+        spaced = r"\s+".join(map(re.escape, key.split(" ")))
+        return (m.span() for m in re.finditer(spaced, self.plain, re.IGNORECASE) if self.end(key, m.start()))
+
     def find(self, key: str) -> Iterator[tuple[int, int]]:
         first = _WORDS.search(key)
         if first is None or " " in key[: first.start()]:
@@ -306,7 +311,7 @@ class Taken:
         return False
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _sweep(batches: Iterator[pa.RecordBatch], least: int, in_words: bool = False) -> Iterator[pa.RecordBatch]:
     """New regions of pages, from rows ordered by page and step: 0 texts, 1 taken spans, 2 values in their order."""
     names = ("doc_id", "page_number", "step", "text", "start", "end", "ord", "pii_type", "confidence", "source")
     here, pages, taken, number, rows = None, [], {}, least, []
@@ -322,7 +327,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             else:
                 spans = taken[kind]
                 for p in pages:
-                    for s, e in p.find(text):
+                    for s, e in p.read(text) if in_words else p.find(text):
                         if not spans.covers_half(s, e):
                             spans.add(s, e)
                             rows.append((doc, page, number, s, e, p.text[s:e], kind, confidence, source))
@@ -334,14 +339,15 @@ def _sweep(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: int, index: DataFrame | None = None) -> DataFrame:
+def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: int, index: DataFrame | None = None, in_words: bool = False) -> DataFrame:
     """New regions for all occurrences of keys on all pages of their documents.
 
     keys: doc_id, key, pii_type, confidence, source and turn, the order in which values are tried on a page; an
     occurrence counts unless a span of its type covers half of it: one of regions, or one found before it. New
     regions are numbered on after those of their page, from `least` at least, so (document, page, ord) stays unique.
     Values or pages without a doc_id, and values or texts that are null, give nothing; rows that repeat a page
-    share its numbers and spans. index: that of these pages, if it is stored."""
+    share its numbers and spans. index: that of these pages, if it is stored. in_words: values are read within words
+    too (see Page.read)."""
     pages = pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     keys = keys.where("doc_id IS NOT NULL AND key IS NOT NULL")
     found = stored(met(keys, pages) if index is None else candidates(keys, index))
@@ -352,4 +358,4 @@ def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: in
     text = pages.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(0).alias("step"), "text", *(none(k).alias(c) for c, k in (("start", "int"), ("end", "int"), ("ord", "int"), ("pii_type", "string"), ("confidence", "double"), ("source", "string"), ("turn", turn))))
     own = regions.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(1).alias("step"), none("string").alias("text"), "start", "end", "ord", "pii_type", none("double").alias("confidence"), none("string").alias("source"), none(turn).alias("turn"))
     rows = text.unionByName(own).unionByName(value).repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "step", "turn", "text")
-    return rows.drop("turn").mapInArrow(lambda batches: _sweep(batches, least), REGIONS)
+    return rows.drop("turn").mapInArrow(lambda batches: _sweep(batches, least, in_words), REGIONS)

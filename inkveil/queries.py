@@ -277,7 +277,7 @@ def propagate_values(spark, sf_dir):
     """Names found on even pages, on all pages of their documents."""
     pages = document_pages(load(spark, sf_dir, "documents"))
     held = detect.one_pattern(pages, SIMPLE["ORG"], "ORG").where("page_number % 2 = 0").withColumn("confidence", F.lit(0.9)).withColumn("source", F.lit("REGEX"))
-    found = document.occurrences(document.templates(held), held, pages, 1_000_000)
+    found = document.occurrences(document.templates(held), held, pages, 1_000_000, in_words=True)
     return found.select("doc_id", "page_number", "pii_type", "start", "end", "text")
 
 

@@ -137,3 +137,9 @@ def test_few_values_need_no_table_of_words():
     page = value_index.Page("Anna Smith met\nANNA\nsmith")
     assert list(page.find("anna smith")) == [(0, 10), (15, 25)] and "at" not in vars(page)
     assert list(value_index.Page("Anna  Smith").find("anna smith")) == [(0, 11)]
+
+
+def test_values_read_within_words_use_up_their_text():
+    page = value_index.Page("eresat at at th")
+    assert list(page.find("at at")) == [(7, 12)] and list(page.read("at at")) == []
+    assert list(value_index.Page("At\nat, at at").read("at at")) == [(0, 5), (7, 12)]
