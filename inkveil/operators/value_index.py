@@ -44,6 +44,8 @@ INDEX_ROWS = 100_000
 #: Words of a value that are compared in the index; the logarithms of the least and most bits of the table, and of one part of it.
 RUN, LEAST, MOST, PART = 16, 20, 28, 20
 _FACTORS = np.random.Generator(np.random.PCG64(37)).integers(1, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Characters of texts whose words are hashed at once; the base of the hash; what _Letters has for characters that were not met.
+CHUNK, BASE, _UNMET = 1_000_000, np.uint64(0xA24BAED4963EE407), np.uint32(0xFFFFFFFF)
 #: What patterns that ignore case take for an i; casefold knows the other characters that they take for each other.
 _ALIKE = {ord("İ"): "i", ord("ı"): "i"}
 
@@ -105,30 +107,73 @@ def _alike(words: str) -> str:
     return words.lower() if words.isascii() else words.translate(_ALIKE).casefold()
 
 
-class _Words(dict):
-    """Hashes of words, kept up to a million."""
+class _Letters:
+    """What each character counts as in a word: a number that characters share which are the same but for case and accents;
+    0 if it stands in none. Worked out when a character is first met."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(_alike(word))
-        return h
-
-
-def _mixed(total: np.ndarray, doc: str) -> np.ndarray:
-    h = total ^ np.uint64(xxhash.xxh64_intdigest(doc, 1))
+    def __init__(self):
+        self.table = np.full(0x110000, _UNMET, np.uint32)
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        found = self.table[codes]
+        unmet = found == _UNMET
+        if unmet.any():
+            for code in np.unique(codes[unmet]).tolist():
+                c = plain(chr(code))
+                same = _alike(c) if _WORDS.match(c) else "\0"
+                self.table[code] = ord(same) if len(same) == 1 else xxhash.xxh32_intdigest(same) >> 1
+            found = self.table[codes]
+        return found
+
+
+_letters = _Letters()
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE, and of its inverse."""
+    out = np.full((2, n), [[BASE], [np.uint64(pow(int(BASE), -1, 1 << 64))]], np.uint64)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, 1))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts, one after another, and where the words of each text begin and end among them."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    letters = _letters[codes]
+    inside = np.concatenate([[False], letters != 0])
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bounds = np.searchsorted(starts, first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    up, down = _powers(1 << max(16, len(codes).bit_length()))
+    h = np.add.reduceat(letters * up[: len(codes)], starts) * down[starts]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15), bounds
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of CHUNK characters or one text."""
+    begun = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield begun, k
+            begun, size = k, 0
+        size += len(t) + 1
+    if size:
+        yield begun, len(texts)
+
+
+def _mixed(total: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    h = total ^ docs
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def run_hashes(words: np.ndarray, doc: str, lengths: set[int]) -> Iterator[np.ndarray]:
-    """For each length, if there are as many words, the hashes of all runs of words (given by hashes) in a document."""
-    total = np.zeros(len(words), np.uint64)
-    for n in range(1, min(max(lengths, default=0), len(words)) + 1):
-        total = total[: len(words) - n + 1] + words[n - 1 :] * _FACTORS[n - 1]
-        if n in lengths:
-            yield _mixed(total, doc)
+def _doc_hashes(docs: list[str]) -> np.ndarray:
+    known = {d: xxhash.xxh64_intdigest(d, 1) for d in set(docs)}
+    return np.array([known[d] for d in docs], np.uint64)
 
 
 def slots(h: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +181,28 @@ def slots(h: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - log), (h >> np.uint64(4)) & np.uint64((1 << log) - 1)
 
 
+def _begins(pairs: np.ndarray) -> np.ndarray:
+    """Hashes for the table of bits by which pairs of words are known to begin longer values."""
+    return pairs * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _run_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with the hash of their document and words, and how many words that are; 0 and 0 for keys without words."""
-    known = _Words()
+    """Keys with the hash of their document and words, how many words that are, and of the first two words of more; 0 and 0 for
+    keys without words."""
     for batch in batches:
-        found, sizes = [], []
-        for doc, key in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            words = _WORDS.findall(key)[:RUN]
-            h = np.array([known[w] for w in words], np.uint64)
-            found.append(int(next(run_hashes(h, doc, {len(words)})).view(np.int64)[0]) if words else 0)
-            sizes.append(len(words))
-        yield batch.append_column("words", pa.array(found, pa.int64())).append_column("n", pa.array(sizes, pa.int32()))
+        keys, docs = batch.column("key").to_pylist(), _doc_hashes(batch.column("doc_id").to_pylist())
+        found, sizes, pairs = (np.zeros(len(keys), t) for t in (np.uint64, np.int32, np.uint64))
+        for lo, hi in chunks(keys):
+            words, bounds = word_hashes(keys[lo:hi])
+            first, n = bounds[:-1], np.minimum(np.diff(bounds), RUN)
+            total, doc = np.zeros(hi - lo, np.uint64), docs[lo:hi]
+            for k in range(int(n.max())):
+                more = np.flatnonzero(n > k)
+                total[more] += words[first[more] + k] * _FACTORS[k]
+                if k == 1:
+                    pairs[lo:hi] = np.where(n > 2, _mixed(total, doc), 0)
+            found[lo:hi], sizes[lo:hi] = np.where(n > 0, _mixed(total, doc), 0), n
+        yield batch.append_column("words", pa.array(found.view(np.int64))).append_column("n", pa.array(sizes)).append_column("pair", pa.array(pairs.view(np.int64)))
 
 
 def _bits(log: int):
@@ -166,13 +222,15 @@ def _bits(log: int):
 
 
 def bit_table(keyed: DataFrame, log: int) -> bytes:
-    """2^log bits, of which those of the hashes of all keys are set."""
+    """2^log bits, of which those of the hashes of all keys, and of the pairs that longer ones begin with, are set."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(np.unique(np.concatenate(slots(batch.column("words").to_numpy().view(np.uint64), log))).astype(np.int64))], names=["slot"])
+            words, n, pairs = (batch.column(c).to_numpy() for c in ("words", "n", "pair"))
+            found = np.concatenate([words.view(np.uint64), _begins(np.unique(pairs[n > 2]).view(np.uint64))])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(slots(found, log))).astype(np.int64))], names=["slot"])
 
-    rows = keyed.where("n > 0").select("words").mapInArrow(both, "slot long")
+    rows = keyed.where("n > 0").select("words", "n", "pair").mapInArrow(both, "slot long")
     table = bytearray((1 << log) // 8)
     size = (1 << PART) // 8
     for row in rows.repartition(F.shiftright("slot", PART)).mapInArrow(_bits(log), "part long, bits binary").toLocalIterator():  # 2^(log - PART) rows at most
@@ -181,51 +239,84 @@ def bit_table(keyed: DataFrame, log: int) -> bytes:
 
 
 def _held(lengths: set[int], log: int, table):
-    """Rows (doc_id, page_number, words) of pages: hashes of their runs that are in the table of bits; 0 if there are keys without words."""
+    """Rows (doc_id, page_number, words) of pages: hashes of their runs that are in the table of bits; 0 if there are keys without
+    words. Runs of three words or more are only made where two stand that a value begins with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = np.frombuffer(table.value, np.uint8), _Words()
+        bits = np.frombuffer(table.value, np.uint8)
 
-        def hit(slot: np.ndarray) -> np.ndarray:
+        def set_(slot: np.ndarray) -> np.ndarray:
             return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+        def hits(h: np.ndarray) -> np.ndarray:
+            a, b = slots(h, log)
+            may = np.flatnonzero(set_(a))
+            return may[set_(b[may])]
+
+        def runs(texts: list[str], docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            words, bounds = word_hashes(texts)
+            page = np.repeat(np.arange(len(texts)), np.diff(bounds))
+            at, total, left = np.arange(len(words)), np.zeros(len(words), np.uint64), bounds[1:][page] - np.arange(len(words))
+            for n in range(1, max(lengths, default=0) + 1):
+                longer = left >= n
+                at, total, left = at[longer], total[longer], left[longer]
+                total += words[at + (n - 1)] * _FACTORS[n - 1]
+                if n not in lengths and n != 2:
+                    continue
+                h = _mixed(total, docs[page[at]])
+                if n in lengths:
+                    may = hits(h)
+                    yield page[at[may]], h[may].view(np.int64)
+                if n == 2:
+                    may = hits(_begins(h))
+                    at, total, left = at[may], total[may], left[may]
+
         for batch in batches:
-            docs, pages, hashes = [], [], []
-            for doc, page, text in zip(*(batch.column(c) for c in ("doc_id", "page_number", "text")), strict=True):
-                doc, page, text = doc.as_py(), page.as_py(), text.as_py()
-                if doc is None or not text:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            docs = batch.column("doc_id").to_pylist()
+            seeds = _doc_hashes([d or "" for d in docs])
+            for lo, hi in chunks(texts):
+                found = [*runs(texts[lo:hi], seeds[lo:hi])]
+                if 0 in lengths:
+                    found.append((np.arange(hi - lo), np.zeros(hi - lo, np.int64)))
+                if not found:
                     continue
-                found = {0} if 0 in lengths else set()
-                words = np.array([known[w] for w in _WORDS.findall(plain(text))], np.uint64)
-                for h in run_hashes(words, doc, lengths):
-                    a, b = slots(h, log)
-                    may = np.flatnonzero(hit(a))
-                    found.update(h[may[hit(b[may])]].view(np.int64).tolist())
-                docs += [doc] * len(found)
-                pages += [page] * len(found)
-                hashes += found
-                if len(docs) >= INDEX_ROWS:
-                    yield _index_rows(docs, pages, hashes)
-                    docs, pages, hashes = [], [], []
-            if docs:
-                yield _index_rows(docs, pages, hashes)
+                page, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((h, page))
+                page, h = page[order], h[order]
+                new = np.concatenate([[True], (page[1:] != page[:-1]) | (h[1:] != h[:-1])])[: len(page)]
+                page, h = page[new] + lo, h[new]
+                for k in range(0, len(page), INDEX_ROWS):
+                    here = pa.array(page[k : k + INDEX_ROWS])
+                    rows = pa.table([batch.column("doc_id").take(here), batch.column("page_number").take(here), pa.array(h[k : k + INDEX_ROWS])], names=["doc_id", "page_number", "words"])
+                    yield from rows.to_batches()
 
     return run
 
 
 def met(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """keys (doc_id, key and others) with page_number of each page of the document that holds their words one after another."""
-    keyed = stored(keys.mapInArrow(_run_keyed, T.StructType([*keys.schema.fields, T.StructField("words", T.LongType()), T.StructField("n", T.IntegerType())])))
+    keyed = stored(keys.mapInArrow(_run_keyed, T.StructType([*keys.schema.fields, T.StructField("words", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pair", T.LongType())])))
     sizes = {r.n: r.rows for r in keyed.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # RUN + 1 rows at most
-    log = min(MOST, max(LEAST, (16 * sum(sizes.values())).bit_length()))
+    log = min(MOST, max(LEAST, (16 * sum(rows * (1 + (n > 2)) for n, rows in sizes.items())).bit_length()))
     table = keys.sparkSession.sparkContext.broadcast(bit_table(keyed, log))
     index = spread(pages).mapInArrow(_held(set(sizes), log, table), "doc_id string, page_number long, words long")
-    return index.join(keyed.drop("n"), ["doc_id", "words"]).drop("words")
+    return index.join(keyed.drop("n", "pair"), ["doc_id", "words"]).drop("words")
 
 
 _pattern = lru_cache(maxsize=4096)(flex_pattern)
 
 
+@lru_cache(maxsize=100_000)
+def _searched(key: str) -> str | None:
+    """The form in which a key is looked for in Page.flat; None if it has white space that stays as it is."""
+    return None if _WHITE.search(key) or "  " in key else _alike(key)
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 class Page:
     """One page in the sweep: its text, and where its words stand. The first FEW values are looked for in a form of the text in
     which case and kinds of white space are alike; where its words stand is only worked out for more of them, or if they
@@ -233,9 +324,9 @@ class Page:
 
     def __init__(self, text: str):
         self.text, self.plain = text, plain(text)
-        low = self.plain.lower()
+        low, self.ascii = self.plain.lower(), self.plain.isascii()
         self.low = low if len(low) == len(text) else ""
-        same = self.low if self.plain.isascii() else _alike(self.plain)
+        same = self.low if self.ascii else _alike(self.plain)
         self.flat = _WHITE.sub(" ", same) if len(same) == len(text) else None
         self.single, self.asked = self.flat is not None and "  " not in self.flat, 0
 
@@ -251,11 +342,14 @@ class Page:
             last = word, m.start()
         return at
 
+    def like(self, key: str) -> str | None:
+        """What stands in `flat` wherever key stands in the text, if that can be told."""
+        return _searched(key) if self.flat is not None and (self.single or " " not in key) else None
+
     def starts(self, key: str, first: re.Match) -> Iterator[int]:
         """Places where key may start, from left to right."""
         self.asked += 1
-        if self.asked <= FEW and self.flat is not None and (self.single or " " not in key):
-            same = _alike(key)
+        if self.asked <= FEW and (same := self.like(key)) is not None:
             at = self.flat.find(same)
             while at >= 0:
                 yield at
@@ -265,12 +359,19 @@ class Page:
             yield at - first.start()
 
     def end(self, key: str, at: int) -> int:
-        """Where key ends if it stands at a place, else 0. Texts that are written like the key need no pattern."""
+        """Where key ends if it stands at a place, else 0. A pattern is only needed for letters beyond ASCII and for white space
+        of varying length, and only where the text is like the key."""
+        if at < 0 or at and _in_word(self.plain[at - 1]):
+            return 0
         end = at + len(key)
-        if self.low.startswith(key, at) and not (at and _WORDS.match(self.plain[at - 1])) and not _WORDS.match(self.plain, end):
-            return end
-        m = _pattern(key).match(self.plain, at)
-        return m.end() if m else 0
+        if not self.low.startswith(key, at):
+            same = self.like(key)
+            if same is not None and not self.flat.startswith(same, at):
+                return 0
+            if same is None or not (self.ascii and key.isascii()):
+                m = _pattern(key).match(self.plain, at)
+                return m.end() if m else 0
+        return 0 if end < len(self.plain) and _in_word(self.plain[end]) else end
 
     def read(self, key: str) -> Iterator[tuple[int, int]]:
         """Places of key as read from left to right, within words too; those that are bounded count, the others use up their text."""
