@@ -48,7 +48,7 @@ def _in(stops: str):
 
 def language_py(text: str) -> str:
     """The same for kernels."""
-    words = [w for w in (x.lower().strip(WORD_EDGES) for x in text[:SAMPLE].split()) if len(w) >= 2]
+    words = [w for x in text[:SAMPLE].lower().split() if len(w := x.strip(WORD_EDGES)) >= 2]
     if len(words) < LEAST_WORDS:
         return "en"
     best, share = "en", 0.0
