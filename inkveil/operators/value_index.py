@@ -38,7 +38,7 @@ _WORDS = re.compile(r"\w+")
 _WHITE = re.compile(r"[^\S ]")
 ROWS = 5000
 #: Values of a page that are looked for one by one.
-FEW = 64
+FEW = 256
 #: Rows of the index that a task holds at once.
 INDEX_ROWS = 100_000
 #: Words of a value that are compared in the index; the logarithms of the least and most bits of the table, and of one part of it.

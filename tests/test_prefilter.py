@@ -72,3 +72,18 @@ def test_no_line_break_is_looked_at_without_a_firm(monkeypatch):
     monkeypatch.setattr(prefilter.Prefilter, "may_match", lambda self, text: looked.append(text) or may(self, text))
     assert spans.cross_line_firms("one two\nthree four\n" * 50) == [] and len(looked) == 1
     assert [s.text for s in spans.cross_line_firms("by Acme\nWidget Inc. and\nothers")] == ["Acme\nWidget Inc."]
+
+
+def test_matches_are_found_by_their_beginnings():
+    rng = random.Random(8)
+    bits = ["DL", "dl: A1234567", "DL No. A1234567", "HOPITAL", "Hôpital", " Général", "Dr. ", "M. Dupont", "France", "Côte d'Ivoire", "United  States", "Tel: +33 1 23", "Fax.", "née le 12/03/1980", "ICE: Bob Jones", "Via Roma 12", "İ", "ſ", "K", "ß", "\n", "  ", ", ", "x", "CHU"]
+    patterns = [p for p, *_ in spans._STANDALONE] + [p for p, *_ in spans._LABELLED]
+    assert len(spans._ALL.begun) > 50
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25)))
+        for k in spans._ALL.begun:
+            expected = [m.span() for m in patterns[k].finditer(text)]
+            found += len(expected)
+            assert [m.span() for m in spans._ALL.hits(k, text, prefilter.fold(text))] == expected, (k, text)
+    assert found > 1000

@@ -143,3 +143,46 @@ def test_values_read_within_words_use_up_their_text():
     page = value_index.Page("eresat at at th")
     assert list(page.find("at at")) == [(7, 12)] and list(page.read("at at")) == []
     assert list(value_index.Page("At\nat, at at").read("at at")) == [(0, 5), (7, 12)]
+
+
+def test_places_within_longer_words_need_no_pattern(monkeypatch):
+    monkeypatch.setattr(value_index, "_pattern", None)
+    page = value_index.Page("xanna annas ANNA\nsmith anna-smith anna smiths")
+    assert list(page.find("anna")) == [(12, 16), (23, 27), (34, 38)] and list(page.find("anna smith")) == [(12, 22)]
+    page.asked = value_index.FEW
+    assert list(page.find("anna smith")) == [(12, 22)] and list(page.find("anna smith came")) == []
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    rng = random.Random(7)
+    bits = ["Anna", "SMITH", "Élan", "ſ", "s", "K", "k", "ı", "İ", "ß", "ŉ", "日本", "a_b", "1", "ﬁ", "ς", "σ", " ", "-", "\n", "’", "\u0345"]
+    texts = ["", *("".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(2000))]
+    hashes, bounds = value_index.word_hashes(texts)
+    seen = defaultdict(set)
+    for k, t in enumerate(texts):
+        words = value_index._WORDS.findall(value_index.plain(t))
+        assert len(words) == bounds[k + 1] - bounds[k]
+        for word, h in zip(words, hashes[bounds[k] : bounds[k + 1]].tolist(), strict=True):
+            seen[value_index._alike(word)].add(h)
+    assert all(len(h) == 1 for h in seen.values()) and len(set().union(*seen.values())) == len(seen)
+
+
+def test_longer_values_are_only_sought_where_their_first_words_stand(spark):
+    """Runs of three words or more that no value begins with are never made, and pairs alone reach no join."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = pa.table({"doc_id": ["d", "d"], "key": ["de la casa", "lone"]}).to_batches()[0]
+    (keyed,) = value_index._run_keyed(iter([keys]))
+    words, pairs = (keyed.column(c).to_numpy().view(np.uint64) for c in ("words", "pair"))
+    log = 20
+    bits = np.zeros(1 << log, bool)
+    for h in (words, value_index._begins(pairs[:1])):
+        bits[np.concatenate(value_index.slots(h, log)).astype(np.int64)] = True
+
+    class Table:
+        value = np.packbits(bits, bitorder="little").tobytes()
+
+    pages = pa.table({"doc_id": ["d", "d", "d", "e", None], "page_number": [1, 2, 3, 4, 5], "text": ["de la", "De  la (casa", "LONE, de la\ncasa", "de la casa", "lone"]}).to_batches()[0]
+    (found,) = value_index._held({1, 3}, log, Table)(iter([pages]))
+    assert sorted(zip(found.column("page_number").to_pylist(), found.column("words").to_pylist(), strict=True)) == sorted(zip([2, 3, 3], words.view(np.int64)[[0, 0, 1]].tolist(), strict=True))
