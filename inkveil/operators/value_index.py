@@ -458,5 +458,7 @@ def occurrences(keys: DataFrame, regions: DataFrame, pages: DataFrame, least: in
     here = found.select("doc_id", "page_number").distinct()
     text = pages.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(0).alias("step"), "text", *(none(k).alias(c) for c, k in (("start", "int"), ("end", "int"), ("ord", "int"), ("pii_type", "string"), ("confidence", "double"), ("source", "string"), ("turn", turn))))
     own = regions.join(here, ["doc_id", "page_number"], "left_semi").select("doc_id", "page_number", F.lit(1).alias("step"), none("string").alias("text"), "start", "end", "ord", "pii_type", none("double").alias("confidence"), none("string").alias("source"), none(turn).alias("turn"))
-    rows = text.unionByName(own).unionByName(value).repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "step", "turn", "text")
+    context = pages.sparkSession.sparkContext
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * context.defaultParallelism)  # by their bytes alone, rows would be too few tasks for what each costs
+    rows = text.unionByName(own).unionByName(value).repartition(parts, "doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", "step", "turn", "text")
     return rows.drop("turn").mapInArrow(lambda batches: _sweep(batches, least, in_words), REGIONS)
