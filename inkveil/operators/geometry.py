@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,51 +28,65 @@ def _changes(keys: list[pa.Array]) -> np.ndarray:
     out = np.zeros(len(keys[0]) - 1, bool)
     for k in keys:
         a, b = k.slice(1), k.slice(0, len(k) - 1)
-        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same = pc.equal(a, b)
+        if k.null_count:
+            same = pc.or_(pc.fill_null(same, False), pc.and_(pc.is_null(a), pc.is_null(b)))
         out |= ~same.to_numpy(zero_copy_only=False)
     return out
 
 
-def _words(rows: pa.Table, counted: int) -> tuple[pa.Table | None, int]:
+def _medians(height: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The median height of each word without regard to NaN; words begin at `at`."""
+    low, high = np.fmin.reduceat(height, at), np.fmax.reduceat(height, at)
+    mixed = np.flatnonzero(low < high)  # the heights of all other words are one
+    if len(mixed):
+        size = size[mixed]
+        begin = np.cumsum(size) - size
+        some = height[np.repeat(at[mixed] - begin, size) + np.arange(size.sum())]
+        kinds = np.unique(some)  # NaN is the last
+        code = np.repeat(np.arange(len(mixed)) * len(kinds), size) + np.searchsorted(kinds, some)
+        code.sort()
+        known = size - np.add.reduceat(np.isnan(some), begin, dtype=np.int64)
+        middle = [kinds[code[begin + k] % len(kinds)] for k in ((known - 1) // 2, known // 2)]
+        low[mixed] = np.where(middle[0] == middle[1], middle[0], middle[0] * 0.5 + middle[1] * 0.5)
+    return low
+
+
+def _words(rows: pa.RecordBatch, counted: int) -> tuple[pa.RecordBatch | None, int]:
     """The words of whole words' characters in order, and how many the last page has; `counted`: how many the first page had before."""
-    rows = rows.combine_chunks()
-    column = lambda c: rows.column(c).chunk(0)
-    page = np.concatenate([[0], np.cumsum(_changes([column(c) for c in PAGE]))])
-    blank = column("blank").to_numpy(zero_copy_only=False)
-    opens = ~blank
-    opens[1:] &= blank[:-1] | (page[1:] != page[:-1])
+    turns = _changes([rows.column(c) for c in PAGE])
+    inked = ~rows.column("blank").to_numpy(zero_copy_only=False)
+    opens, closes = inked.copy(), inked.copy()
+    opens[1:] &= ~inked[:-1] | turns
+    closes[:-1] &= ~inked[1:] | turns
     first = np.flatnonzero(opens)
-    pages = page[first]
+    size = np.flatnonzero(closes) - first + 1
+    starts = np.flatnonzero(turns) + 1
+    pages = np.searchsorted(starts, first, "right")
     number = np.arange(len(first)) - np.searchsorted(pages, pages) + np.where(pages == 0, counted, 0)
-    count = int((pages == page[-1]).sum()) + (counted if page[-1] == 0 else 0)
+    count = int((pages == len(starts)).sum()) + (counted if not len(starts) else 0)
     if not len(first):
         return None, count
-    inked = np.flatnonzero(~blank)
-    at = np.searchsorted(inked, first)
-    size = np.diff(at, append=len(inked))
-    word = np.repeat(np.arange(len(at)), size)
-    take = pa.array(inked)
-    real = lambda c: column(c).take(take).to_numpy(zero_copy_only=False).astype(float)
-    flag = lambda c: np.add.reduceat(pc.fill_null(column(c).take(take), False).to_numpy(zero_copy_only=False).astype(np.int64), at) * 2 > size
+    inked = np.flatnonzero(inked)
+    at = np.cumsum(size) - size
+    real = lambda c: np.asarray(rows.column(c).to_numpy(zero_copy_only=False), float)[inked]
+    flag = lambda c: np.add.reduceat(pc.fill_null(rows.column(c), False).to_numpy(zero_copy_only=False)[inked], at, dtype=np.int64) * 2 > size
     bottom, top = real("bottom"), real("top")
     height, high_page = top - bottom, np.fmax.reduceat(real("page_height"), at)
-    known = np.add.reduceat((~np.isnan(height)).astype(np.int64), at)
-    ranked = height[np.lexsort((height, word))]
-    low, high = ranked[at + np.maximum(known - 1, 0) // 2], ranked[at + np.minimum(known // 2, size - 1)]
-    median = np.where(low == high, low, low * 0.5 + high * 0.5)
-    says = height >= np.repeat(median, size) * LOW
-    said = np.add.reduceat(says.astype(np.int64), at)
+    says = height >= np.repeat(_medians(height, at, size) * LOW, size)
+    said = np.add.reduceat(says, at, dtype=np.int64)
     centre = (bottom + top) / 2
     spread_ = np.maximum.reduceat(np.where(says, centre, -np.inf), at) - np.minimum.reduceat(np.where(says, centre, np.inf), at)
     rotated = (said >= 2) & (spread_ > np.add.reduceat(np.where(says, height, 0.0), at) / np.maximum(said, 1) * SPREAD)
-    ch = column("ch").take(take)
+    ch = rows.column("ch").take(pa.array(inked))
     _, offsets, held = ch.buffers()
     offsets = np.frombuffer(offsets, np.int32)[ch.offset : ch.offset + len(ch) + 1]
     text = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(offsets[at], offsets[-1]).astype(np.int32).tobytes()), held)
     box = [np.fmin.reduceat(real("left"), at), high_page - np.fmax.reduceat(top, at), np.fmax.reduceat(real("right"), at), high_page - np.fmin.reduceat(bottom, at)]
-    head = rows.take(pa.array(first))
-    out = [*(head.column(c) for c in PAGE), pa.array(number.astype(np.int32)), text, *(pa.array(x, from_pandas=True) for x in box), pa.array(flag("bold")), pa.array(flag("italic")), head.column("font_size"), head.column("font_family")]
-    return pa.table(out, names=[*PAGE, "word_index", "text", *BOX, "is_bold", "is_italic", "font_size", "font_family"]).filter(pa.array(~rotated)), count
+    heads = pa.array(first)
+    head = lambda c: rows.column(c).take(heads)
+    out = [*map(head, PAGE), pa.array(number.astype(np.int32)), text, *(pa.array(x, from_pandas=True) for x in box), pa.array(flag("bold")), pa.array(flag("italic")), head("font_size"), head("font_family")]
+    return pa.record_batch(out, names=[*PAGE, "word_index", "text", *BOX, "is_bold", "is_italic", "font_size", "font_family"]).filter(pa.array(~rotated)), count
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +95,13 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal before, count
-        rows = pa.Table.from_batches(parts)
-        if before is not None and _changes([pa.concat_arrays([before.column(c), rows.column(c).chunk(0).slice(0, 1)]) for c in PAGE])[0]:
+        rows = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+        if before is not None and _changes([pa.concat_arrays([before.column(c), rows.column(c).slice(0, 1)]) for c in PAGE])[0]:
             count = 0
         words, count = _words(rows, count)
         before = parts[-1].slice(parts[-1].num_rows - 1)
-        if words is not None:
-            yield from words.combine_chunks().to_batches()
+        if words is not None and words.num_rows:
+            yield words
 
     for batch in batches:
         if not batch.num_rows:
@@ -110,15 +124,39 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settled(held)
 
 
+def _schema(pages: T.StructType, fonts: dict[str, T.DataType]) -> T.StructType:
+    kinds = [(c, pages[c].dataType) for c in PAGE] + [("word_index", T.IntegerType()), ("text", T.StringType()), *((c, T.DoubleType()) for c in BOX)]
+    kinds += [("is_bold", T.BooleanType()), ("is_italic", T.BooleanType()), *fonts.items()]
+    return T.StructType([T.StructField(*k) for k in kinds])
+
+
+def _marked(chars: pa.RecordBatch) -> pa.RecordBatch:
+    """chars with the column blank, as assemble_in_order has it."""
+    ch = chars.column("ch")
+    blank = pc.or_(pc.utf8_is_space(ch), pc.equal(pc.binary_length(ch), 0))
+    return chars.append_column("blank", pc.fill_null(blank, True))
+
+
+def assemble_extracted(pages: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """assemble_words for characters that are taken out of their pages by the task that reads those: only pages and words pass
+    between Spark and Python, and a character is never a row of Spark's.
+
+    `extract` gives the characters of a batch of `pages` (doc_id, page_number and whatever it reads) in order, in batches of a size that a
+    task may hold, with all columns of assemble_words but i; positions and page_height are doubles, font_size a double, font_family a string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _assembled(_marked(chars) for batch in batches for chars in extract(batch))
+
+    return pages.mapInArrow(run, _schema(pages.schema, {"font_size": T.DoubleType(), "font_family": T.StringType()}))
+
+
 def assemble_in_order(chars: DataFrame) -> DataFrame:
     """assemble_words for characters whose pages stand together in their partitions, in order of i, as an extractor or an
     explosion of pages gives them: nothing is shuffled or sorted, and a task holds a batch and the word that it does not end."""
     blank = F.coalesce(F.col("ch"), F.lit("")).rlike("(?U)^[\\s\\x1c-\\x1f]*$")
     real = [F.col(c).cast("double") for c in ("left", "bottom", "right", "top", "page_height")]
     rows = chars.select(*PAGE, "ch", *real, "bold", "italic", "font_size", "font_family", blank.alias("blank"))
-    kinds = [(c, rows.schema[c].dataType) for c in PAGE] + [("word_index", T.IntegerType()), ("text", T.StringType()), *((c, T.DoubleType()) for c in BOX)]
-    kinds += [("is_bold", T.BooleanType()), ("is_italic", T.BooleanType()), *((c, rows.schema[c].dataType) for c in ("font_size", "font_family"))]
-    return rows.mapInArrow(_assembled, T.StructType([T.StructField(*k) for k in kinds]))
+    return rows.mapInArrow(_assembled, _schema(rows.schema, {c: rows.schema[c].dataType for c in ("font_size", "font_family")}))
 
 
 def assemble_words(chars: DataFrame) -> DataFrame:

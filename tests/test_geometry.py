@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
+import statistics
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
+from inkveil import queries_geometry
 from inkveil.operators import boxes, geometry
 from inkveil.operators.spans import Config
 
@@ -110,6 +117,88 @@ def test_words_in_order_cross_batches_and_pages(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def random_pages(rng):
+    """Characters of pages in order, with gaps, nulls, askew lines and heights that differ."""
+    rows = []
+    for d in (None, "a", "b"):
+        for p in (1, None, 3):
+            text = "".join(rng.choice("ab. \t,") if rng.random() < 0.5 else "é" for _ in range(rng.randrange(0, 120)))
+            chars = set_chars(text, rng.choice([0.0, 4.0]), {".": 3.0, ",": 7.0, "a": 8.5}, bold=range(0, 90, 2))
+            rows += [(d, p, r[2], r[3] if rng.random() < 0.95 else None, *(None if rng.random() < 0.05 else x for x in r[4:8]), *r[8:]) for r in chars]
+    return rows
+
+
+def test_words_of_extracted_characters(spark):
+    """Characters that an extractor gives in the task are cut as those of a table, wherever its batches end."""
+    rows = random_pages(random.Random(11))
+    apart = sorted(map(repr, geometry.assemble_words(spark.createDataFrame(rows, CHARS).repartition(5)).collect()))
+    pages = spark.createDataFrame(list(dict.fromkeys(r[:2] for r in rows)), "doc_id string, page_number long").coalesce(1)
+    kinds = dict(doc_id=pa.string(), page_number=pa.int64(), ch=pa.string(), left=pa.float64(), bottom=pa.float64(), right=pa.float64(), top=pa.float64(), bold=pa.bool_(), italic=pa.bool_(), font_size=pa.float64(), font_family=pa.string(), page_height=pa.float64())
+    for n in (1, 2, 7, 10_000):
+
+        def extract(batch, n=n):
+            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("page_number").to_pylist(), strict=True))
+            chars = [r[:2] + r[3:] for k in keys for r in rows if r[:2] == k]
+            for k in range(0, len(chars), n):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*chars[k : k + n], strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        found = geometry.assemble_extracted(pages, extract)
+        assert sorted(map(repr, found.collect())) == apart and len(apart) > 20
+
+
+def test_blank_characters_are_those_of_tables(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000] + ["", "  ", " a", "\n", None]
+    found = geometry._marked(pa.record_batch({"ch": pa.array(every)})).column("blank").to_pylist()
+    blank = {c for c, b in zip(every, found, strict=True) if b}
+    chars = spark.createDataFrame([(c,) for c in [*blank, *every[:0x3100], *every[-5:]]], "ch string").distinct()
+    seen = {r.ch for r in chars.where("coalesce(ch, '') RLIKE '(?U)^[\\\\s\\\\x1c-\\\\x1f]*$'").collect()}
+    assert seen == blank and {None, "", " ", "\x1c", "\u3000"} < blank
+
+
+def test_medians():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 9, 500)
+    height = np.where(rng.random(size.sum()) < 0.1, np.nan, rng.choice([3.0, 7.0, 10.0, 0.1, np.inf], size.sum()))
+    height[rng.random(len(height)) < 0.2] = rng.random()
+    at = np.cumsum(size) - size
+    expected = [statistics.median([x for x in height[a : a + n] if x == x] or [np.nan]) for a, n in zip(at, size, strict=True)]
+    assert np.array_equal(geometry._medians(height, at, size), expected, equal_nan=True) and np.isnan(expected).any()
+
+
+ODD_TEXTS = [(0, "ill, al. "), (1, ""), (-6, "é漢😀 l\u00a0i"), (None, "null id. x"), (7, "x" * 200 + " " + "ab, " * 100), (-7, "ü"), (2**62, " big  "), (6, "a\nb\x1cc" * 40)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 1 << 16])
+def test_texts_are_set_from_any_window(size):
+    """Characters, places and styles are those of a loop over the characters of each text, wherever windows end."""
+    expected = []
+    for doc, text in ODD_TEXTS:
+        for i, c in enumerate(text):
+            slant = i % 90 * (1 + int(math.fmod(doc, 3))) if doc is not None and math.fmod(doc, 5) < 2 else 0
+            bottom = 780.0 - i // 90 % 60 * 12 + slant
+            styles = (doc is not None and (i * 7 + doc) % 3 == 0, doc is not None and (i + doc) % 2 == 0)
+            expected.append((doc, 1, c, i % 90 * 6.0, i % 90 * 6.0 + 5, bottom, bottom + {".": 3, ",": 3, "i": 7, "l": 7}.get(c, 10), 792.0, *styles, 9.0 + i // 90 % 3, "f"))
+    docs, texts = zip((9, "before"), *ODD_TEXTS, (9, "after"), strict=True)
+    batch = pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "page_number": pa.array([1] * len(docs), pa.int32()), "text": pa.array(texts)}).slice(1, len(ODD_TEXTS))
+    found = [tuple(r.values()) for c in queries_geometry._set(batch, size) for r in c.to_pylist()]
+    assert found == expected
+    assert not list(queries_geometry._set(batch.slice(1, 1), size)) and not list(queries_geometry._set(batch.slice(0, 0), size))
+
+
+def test_characters_are_no_rows(spark, tmp_path):
+    """A character that is a row of Spark's, or passes to Python as one, costs as much as hundreds of bytes of text."""
+    texts = [(d, t.replace("\u00a0", " ").replace("\x1c", "\t")) for d, t in ODD_TEXTS if d is not None] + [(8, None), (9, "  \n ")]  # blank in SQL, too
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()["assembled_words"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(entry.oracle_sql()["assembled_words"])
+    assert found.columns == expected.columns
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected.fetchall())) and len(found.collect()) > 150
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 WORDS = "doc_id string, page_number long, n int, text string, x0 double, y0 double, x1 double, y1 double"
 DRAWN = "box_id int, doc_id string, page_number long, x0 double, y0 double, x1 double, y1 double, pii_type string, text string"
 PAGES = "doc_id string, page_number long, width double, height double"
